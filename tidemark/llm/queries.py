@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, toxicity, url_filter
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .packing import pack
@@ -43,11 +43,29 @@ def op6_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: Fixed values of the URL query: (verdict, host, path) rules, and words whose hosts are labelled unwanted.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+UNWANTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "win")
+
+
+def weak_url_labels(pages: DataFrame) -> DataFrame:
+    """(url, label): the tables hold no URL labels, so a word of the host (between dots and hyphens) gives one."""
+    words = F.split(url_filter.host_of(F.col("url")), "[.-]")
+    return pages.select("url", F.arrays_overlap(words, F.array(*map(F.lit, UNWANTED_WORDS))).cast("int").alias("label"))
+
+
+def op10_gbt_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.fit(weak_url_labels(pages))
+    return url_filter.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "unwanted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_nb_char_toxicity": op2_nb_char_toxicity,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op6_bloom_exact_dedup": op6_bloom_exact_dedup,
+    "op10_gbt_url_filter": op10_gbt_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
