@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import langid, toxicity, url_filter
 from .common import held_out, table
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .packing import pack
+from .sharding import reshard
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +34,11 @@ def op2_nb_char_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_wrapper_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), key=F.col("doc_id"))
@@ -43,6 +50,12 @@ def op6_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reshard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+
+
 #: Fixed values of the URL query: (verdict, host, path) rules, and words whose hosts are labelled unwanted.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UNWANTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "win")
@@ -63,8 +76,10 @@ def op10_gbt_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_nb_char_toxicity": op2_nb_char_toxicity,
+    "op3_wrapper_html_text": op3_wrapper_html_text,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op6_bloom_exact_dedup": op6_bloom_exact_dedup,
+    "op7_min_cost_flow_resharding": op7_min_cost_flow_resharding,
     "op10_gbt_url_filter": op10_gbt_url_filter,
 }
 
