@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ CAPACITY = 1024
 MIN_TILE = 32
 END_ID = 0
 #: Words kept per Python worker; the memo is dropped and begun anew beyond this, and never holds longer words.
-MEMO_WORDS, MEMO_CHARS = 300_000, 48
+MEMO_WORDS, MEMO_CHARS = 800_000, 48
+MARKS = ".,;:!?"
 #: Characters tokenised at once, which bounds the memory of a worker besides its Arrow batch.
 GROUP_CHARS = 1 << 20
 
@@ -49,6 +51,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -58,34 +61,40 @@ class WordEncoder:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _learn(self, words: dict[str, None]) -> dict[str, bytes]:
+        """Ids of space-led words. A mark after a letter is a word of its own to the tokenizer."""
+        bare = {w: w[:-1] if w[-1:] in MARKS and w[-2:-1].isalpha() else w for w in words}
+        need = [w for w in dict.fromkeys(bare.values()) if w not in self.memo]
+        got = dict(zip(need, self._ids([f" {w}" for w in need]), strict=True))
+        return got | {w: (got.get(x) or self.memo[x]) + (self.marks[w[-1]] if x is not w else b"") for w, x in bare.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        split, missing, long = [], {}, {}
+        split, missing = [], {}
         for text in texts:
             plain = not _DOUBLE_SPACE.search(text) and not (text[:1].isspace() or text[-1:].isspace())
             words = text.split(" ") if plain else _JOINED_SPACE.split(text)
-            ids = list(map(memo.get, words))
-            ids[0] = None
-            for w, got in zip(words[1:], ids[1:], strict=True):
-                if got is None:
-                    (missing if len(w) <= MEMO_CHARS else long)[w] = None
-            split.append((words, ids))
-        if missing:
-            memo.update(zip(missing, self._ids([f" {w}" for w in missing]), strict=True))
-        if long:
-            long = dict(zip(long, self._ids([f" {w}" for w in long]), strict=True))
-        firsts = self._ids([words[0] for words, _ in split])
-        out = []
-        for (words, ids), first in zip(split, firsts, strict=True):
+            ids, gaps, at = list(map(memo.get, words)), [], 0
+            ids[0] = b""
+            try:
+                while True:
+                    at = ids.index(None, at)
+                    gaps.append(at)
+                    missing[words[at]] = None
+                    at += 1
+            except ValueError:
+                split.append((words, ids, gaps))
+        new = self._learn(missing)
+        for (words, ids, gaps), first in zip(split, self._ids([words[0] for words, _, _ in split]), strict=True):
             ids[0] = first
-            if None in ids:
-                ids = [memo.get(w) or long.get(w, b"") if got is None else got for w, got in zip(words, ids, strict=True)]
-            out.append(b"".join(ids))
-        return out
+            for at in gaps:
+                ids[at] = new[words[at]]
+        memo.update((w, x) for w, x in new.items() if len(w) <= MEMO_CHARS)
+        return [b"".join(ids) for _, ids, _ in split]
 
 
 def tiles(length: int, capacity: int, min_tile: int) -> list[int]:
