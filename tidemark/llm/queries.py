@@ -11,6 +11,7 @@ from . import langid, toxicity, url_filter
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .minhash import near_duplicates
 from .packing import pack
 from .sharding import reshard
 
@@ -46,6 +47,10 @@ def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, threshold=85)
+
+
 def op6_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -78,12 +83,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nb_char_toxicity": op2_nb_char_toxicity,
     "op3_wrapper_html_text": op3_wrapper_html_text,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
+    "op5_circulant_minhash": op5_circulant_minhash,
     "op6_bloom_exact_dedup": op6_bloom_exact_dedup,
     "op7_min_cost_flow_resharding": op7_min_cost_flow_resharding,
     "op10_gbt_url_filter": op10_gbt_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_circulant_minhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS x FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q USING (x) WHERE p.doc_id <> q.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 85 * (u.n + v.n - k)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id""",
     "op6_bloom_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
