@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity, url_filter
 from .common import held_out, table
+from .decontam import contamination
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .minhash import near_duplicates
@@ -61,6 +62,10 @@ def op7_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Fixed values of the URL query: (verdict, host, path) rules, and words whose hosts are labelled unwanted.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UNWANTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "win")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_bloom_exact_dedup": op6_bloom_exact_dedup,
     "op7_min_cost_flow_resharding": op7_min_cost_flow_resharding,
+    "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_gbt_url_filter": op10_gbt_url_filter,
 }
 
@@ -106,4 +112,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    # brute force: every window of an item's size in the documents that share a shingle with the item
+    "op9_simhash_decontamination": """
+        WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+        d AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS h FROM dw WHERE len(w) >= 5),
+        b AS (SELECT item_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS h FROM iw WHERE len(w) >= 5),
+        du AS (SELECT DISTINCT doc_id, unnest(h) AS x FROM d), bu AS (SELECT DISTINCT item_id, unnest(h) AS x FROM b),
+        pair AS (SELECT DISTINCT doc_id, item_id FROM du JOIN bu USING (x)),
+        win AS (SELECT doc_id, item_id, b.h AS bag, unnest(range(0, greatest(1, len(d.h) - len(b.h) + 1))) AS start, d.h AS h FROM pair JOIN d USING (doc_id) JOIN b USING (item_id)),
+        sim AS (
+            SELECT doc_id, item_id, start, bag, h[start + 1:start + len(bag)] AS v,
+                   list_sum(list_transform(list_distinct(bag), lambda x: least(len(list_filter(bag, lambda y: y = x)), len(list_filter(h[start + 1:start + len(bag)], lambda y: y = x))))) AS k FROM win),
+        s AS (SELECT doc_id, item_id, start, len(v) + 4 AS n_words, k::DOUBLE / (len(v) + len(bag) - k) AS similarity FROM sim WHERE k::DOUBLE / (len(v) + len(bag) - k) >= 0.8)
+        SELECT doc_id, item_id, start AS start_word, n_words, similarity FROM s
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
 }
