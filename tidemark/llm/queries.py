@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .minhash import near_duplicates
 from .packing import pack
+from .pii import pseudonymise
 from .sharding import reshard
 
 
@@ -62,6 +63,15 @@ def op7_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+#: The key of the registered query; a real run takes its own from a secret store.
+PSEUDONYM_KEY = "tidemark-public-example-key"
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), F.array_join("pii_kinds", " ").alias("kinds"))
+
+
 def op9_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_bloom_exact_dedup": op6_bloom_exact_dedup,
     "op7_min_cost_flow_resharding": op7_min_cost_flow_resharding,
+    "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_gbt_url_filter": op10_gbt_url_filter,
 }
