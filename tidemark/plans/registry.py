@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import profiles, scores
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in (profiles, scores):
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
