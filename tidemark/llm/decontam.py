@@ -2,8 +2,8 @@
 
 Everything is DataFrame functions. Texts become words (lower-cased runs of letters and digits); a window has as
 many words as a benchmark item. A window can only reach the least similarity if it shares a shingle with an item, so
-windows are laid where a run of shared shingles begins: item shingles are broadcast (their number is checked;
-beyond the limit they meet in a shuffle join). Each window gets a 64-bit SimHash of its shingles. Fingerprints
+windows are laid on the diagonals of shared shingles: item shingles are broadcast (their number is checked;
+beyond the limit they meet in a shuffle join), and documents that share one are read again. Each window gets a 64-bit SimHash of its shingles. Fingerprints
 are cut into radius + 1 blocks; two of them within the radius agree in one block at least, so the join on
 (item size, block number, block) finds every such pair. What lies within the radius is verified by the exact
 weighted Jaccard similarity of the shingle bags (a shingle weighs as often as it occurs).
@@ -24,6 +24,8 @@ WORDS, THRESHOLD = 5, 0.8
 RADIUS, BITS = 24, 64
 #: Item shingles up to this number are broadcast.
 BROADCAST_SHINGLES = 1_000_000
+#: Documents that share a shingle with an item: up to this number their window starts are broadcast.
+BROADCAST_DOCS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -69,7 +71,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return common.cast("double") / (F.size(a) + F.size(b) - common).cast("double")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, words: int = WORDS, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, words: int = WORDS, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_shingles: int = BROADCAST_SHINGLES, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """(<id_col>, <item_col>, start_word, n_words, similarity): for each document and item that have a window of
     weighted similarity >= threshold, the best such window, the first of equals.
 
@@ -78,19 +80,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     under null. Very long texts are read whole; an empty side gives no rows; further columns are not read."""
     items = cut(benchmark.select(F.col(item_col).alias("item"), shingled(F.col(item_text_col), words).alias("bag"))).filter(F.size("bag") > 0)
     items = cut(items.select("item", F.size("bag").alias("len"), "bag", simhash(F.col("bag")).alias("fingerprint")))
-    places = items.select("len", "bag", F.posexplode("bag").alias("q", "shingle"))
-    before = F.when(F.col("q") > 0, F.col("bag")[F.col("q") - 1])
-    places = cut(places.select("shingle", "len", "q", before.alias("before")).distinct())
+    places = cut(items.select("len", F.posexplode("bag").alias("q", "shingle")).distinct())
     small = places.count() <= broadcast_shingles
 
-    # posexplode_outer: the inner one infers a filter that would shingle every text a second time
-    texts = docs.select(F.col(id_col).alias("doc"), shingled(F.col(text_col), words).alias("h"))
-    hits = texts.select("doc", "h", F.posexplode_outer("h").alias("p", "shingle")).join(F.broadcast(places) if small else places, "shingle")
-    # where a run of shared shingles begins
-    begins = F.col("before").isNull() | (F.col("p") == 0) | (F.try_element_at("h", F.col("p")) != F.col("before"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("h") - F.col("len")))
-    bag = F.slice("h", start + 1, F.col("len"))
-    windows = hits.filter(begins).select("doc", "len", start.alias("start"), bag.alias("window")).distinct()
+    # the shingles go alone through the join, without their text; posexplode_outer: the inner one infers a
+    # filter that would shingle every text a second time
+    shingles = docs.select(F.col(id_col).alias("doc"), F.posexplode_outer(shingled(F.col(text_col), words)).alias("p", "shingle"))
+    hits = shingles.join(F.broadcast(places) if small else places, "shingle")
+    starts = hits.select("doc", "len", F.greatest(F.lit(0), F.col("p") - F.col("q")).alias("start")).distinct()
+    starts = cut(starts.groupBy("doc").agg(F.collect_list(F.struct("len", "start")).alias("at")))
+    near_docs = starts.select(F.col("doc").alias("doc_"), "at")
+    if starts.count() <= broadcast_docs:
+        near_docs = F.broadcast(near_docs)
+
+    # only documents that share a shingle are read for windows; a start past the last window is moved to it
+    def windows_of(h: Column) -> Column:
+        def one(w: Column) -> Column:
+            start = F.greatest(F.lit(0), F.least(w.start, F.size(h) - w.len))
+            return F.struct(w.len.alias("len"), start.alias("start"), F.slice(h, start + 1, w.len).alias("window"))
+
+        return F.transform(F.col("at"), one)
+
+    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(near_docs, F.col("doc").eqNullSafe(F.col("doc_")))
+    found = found.select("doc", F.explode_outer(F.transform(F.array(shingled(F.col("text"), words)), windows_of)[0]).alias("w"))
+    windows = found.select("doc", "w.len", "w.start", "w.window").filter(F.size("window") > 0).distinct()
     windows = windows.withColumn("print", simhash(F.col("window")))
 
     index = items.select("item", "len", "bag", "fingerprint", F.explode(blocks_of(F.col("fingerprint"), radius)).alias("b")).select("item", "len", "bag", "fingerprint", F.col("b.no").alias("no"), F.col("b.value").alias("value"))
