@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import profiles, scores
+from . import policies, profiles, scores
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (profiles, scores):
+for _m in (profiles, scores, policies):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
