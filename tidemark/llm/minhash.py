@@ -32,7 +32,7 @@ BANDS, ROWS = 36, 6
 #: Shingles that a block of a large cluster holds, about; bytes of text hashed at once.
 BLOCK_SHINGLES, GROUP_BYTES = 300_000, 4 << 20
 #: Candidate ids up to this number are broadcast to the texts; beyond it they meet in a shuffle join.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 250_000
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
