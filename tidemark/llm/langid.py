@@ -115,9 +115,11 @@ def _model(counts: pa.Table, order: int) -> Model:
     """Interpolated Kneser-Ney over the counts of the highest order; lower orders use continuation counts."""
     names = np.array(counts.column("lang").to_pylist(), dtype=object)
     languages = sorted(set(names))
+    if not languages:
+        return Model([], order, [], [], [], [], np.zeros(0, np.float32))
     grams = counts.column("gram").to_pylist()
     points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, order).astype(np.uint64)
-    lang = np.searchsorted(languages, names) if languages else np.zeros(0, int)
+    lang = np.searchsorted(languages, names)
     n_langs = len(languages)
     levels = []  # by order: (points, language, count), a row for each n-gram of a language
     count = counts.column("n").to_numpy().astype(np.float64)
@@ -125,7 +127,7 @@ def _model(counts: pa.Table, order: int) -> Model:
         levels.append((points, lang, count))
         tail = points[:, 1:]
         if n > 1:  # distinct left extensions
-            _, first, number = np.unique(_hash(tail) * np.uint64(max(n_langs, 1) * 2 + 1) + lang.astype(np.uint64), return_index=True, return_counts=True)
+            _, first, number = np.unique(_hash(tail) * np.uint64(n_langs * 2 + 1) + lang.astype(np.uint64), return_index=True, return_counts=True)
             points, lang, count = tail[first], lang[first], number.astype(np.float64)
     levels.reverse()
     keys, logp, context_keys, log_backoff = [], [], [], []
@@ -157,8 +159,7 @@ def _model(counts: pa.Table, order: int) -> Model:
             return p[np.searchsorted(key, _hash(points[:, 1:]))]  # each n-gram's tail has been counted one order below
 
     # the empty context is not looked up again: its weight is in the floor
-    if context_keys:
-        context_keys[0], log_backoff[0] = context_keys[0][:0], log_backoff[0][:0]
+    context_keys[0], log_backoff[0] = context_keys[0][:0], log_backoff[0][:0]
     return Model(languages, order, keys, logp, context_keys, log_backoff, floor.astype(np.float32))
 
 
