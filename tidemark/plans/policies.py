@@ -439,3 +439,122 @@ def s1(spark, sf):
     t.repartition(4).write.parquet(f"{base}/in")
     t.limit(100).write.mode("append").parquet(f"{base}/in")  # repeated events must not count twice
     return daily_counts(spark, f"{base}/in", t.schema, f"{base}/out", f"{base}/state").withColumn("day", F.col("day").cast("string"))
+
+
+# ---- further sources, populations and protocols
+@query("a3_sequence_csv_unfiltered", 'SELECT "user"::VARCHAR AS "user", CASE WHEN event_id % 4 = 0 THEN -ts ELSE ts END AS ts FROM $EV')
+def a3(spark, sf):
+    """Numeric times are never dropped for their sign."""
+    path = scratch(spark, "a3")
+    ts = F.when(F.col("event_id") % 4 == 0, -F.col("ts")).otherwise(F.col("ts"))
+    events(spark, sf).select(F.col("user").cast("string"), ts.cast("string").alias("ts"), F.col("action").cast("string")).write.option("header", True).csv(path)
+    return A.read_sequences(spark, path, positive_only=False).select("user", "ts")
+
+
+def archived(spark, sf, name):
+    """Events written as an archive of posts, two of each tenth second for names in two cases."""
+    path = scratch(spark, name)
+    e = events(spark, sf)
+    who = F.concat(F.when(F.col("event_id") % 2 == 0, "Name").otherwise("nAME"), F.col("user").cast("string"))
+    columns = [who.alias("user_screen_name"), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm").alias("tweet_time"), F.concat(F.lit("post "), "event_type", F.lit(" http://www.x"), (F.col("k") % 5).cast("string"), F.lit(".org/a")).alias("tweet_text")]
+    columns += [F.lit("[]").alias(c) for c in ("hashtags", "urls")] + [F.lit("false").alias("is_retweet"), F.when(F.col("k") % 5 == 0, "1").alias("in_reply_to_tweetid"), F.lit(None).cast("string").alias("quoted_tweet_tweetid")]
+    e.select(*columns).write.option("header", True).csv(path)
+    return path
+
+
+@query("a5_archive_distinct_times", "SELECT \"user\", ts FROM (SELECT DISTINCT 'name' || \"user\" AS \"user\", ts // 60 * 60 AS ts FROM $EV) QUALIFY count(*) OVER (PARTITION BY \"user\") >= 50")
+def a5(spark, sf):
+    from .cohorts import distinct_seconds
+
+    return distinct_seconds(A.read_archive(spark, archived(spark, sf, "a5")), 50)
+
+
+@query("a6_archive_with_duplicates", "SELECT 'name' || \"user\" AS \"user\", ts // 60 * 60 AS ts, count(*) AS n FROM $EV GROUP BY ALL")
+def a6(spark, sf):
+    return A.read_archive(spark, archived(spark, sf, "a6")).groupBy("user", "ts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a9_archive_posts", "SELECT 'name' || \"user\" AS \"user\", ts // 60 * 60 AS ts, 'http://www.x' || (k % 5) || '.org/a' AS url, (k % 5 = 0)::INT AS is_reply FROM $EV WHERE pop = 'op'")
+def a9(spark, sf):
+    members = events(spark, sf).filter("pop = 'op'").select(F.concat(F.lit("name"), F.col("user").cast("string")).alias("user")).distinct()
+    return A.read_posts(spark, archived(spark, sf, "a9"), members).select("user", "ts", F.explode("urls").alias("url"), "is_reply")
+
+
+@query("a10_label_dimension", "SELECT e.event_type, count(*) AS n FROM $EV e JOIN (SELECT DISTINCT event_type FROM events WHERE event_type LIKE '%i%') d USING (event_type) GROUP BY ALL")
+def a10(spark, sf):
+    path = scratch(spark, "a10")
+    e = events(spark, sf)
+    e.select("event_type").distinct().filter("event_type like '%i%'").write.option("header", True).csv(path)
+    labels = spark.read.schema("event_type string").option("header", True).csv(path)
+    return e.join(F.broadcast(labels), "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g21_feature_agreement", "SELECT round(corr(a.n, b.n), 6) AS r_n, round(corr(a.v, b.v), 6) + 0.0 AS r_v, count(*) AS accounts FROM (SELECT \"user\", count(*) AS n, avg(value) AS v FROM $EV GROUP BY ALL) a JOIN (SELECT \"user\", count(*) AS n, avg(value) AS v FROM $EV WHERE event_id % 3 > 0 GROUP BY ALL) b USING (\"user\")")
+def g21(spark, sf):
+    from .cohorts import agreement
+
+    e = events(spark, sf)
+    make = lambda d: d.groupBy("user").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
+    return rounded(agreement(make(e), make(e.filter("event_id % 3 > 0")), "user", ["n", "v"]))
+
+
+@query("p1_populations", "SELECT pop, count(DISTINCT acc) AS accounts, count(*) AS events FROM (SELECT platform || ':' || pop AS pop, \"user\" AS acc FROM $EV UNION ALL SELECT 'O:' || CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'urgent' WHEN o_orderpriority LIKE '%HIGH%' THEN 'high' ELSE 'other' END, o_custkey FROM orders) GROUP BY pop")
+def p1(spark, sf):
+    e = events(spark, sf).select(F.concat_ws(":", "platform", "pop").alias("pop"), F.col("user").alias("acc"))
+    text = F.lower("o_orderpriority")
+    actor = F.when(text.contains("urgent"), "urgent").when(text.contains("high"), "high").otherwise("other")
+    o = table(spark, sf, "orders").select(F.concat(F.lit("O:"), actor).alias("pop"), F.col("o_custkey").alias("acc"))
+    return e.unionByName(o).groupBy("pop").agg(F.count_distinct("acc").alias("accounts"), F.count(F.lit(1)).alias("events"))
+
+
+def action_vectors(spark, sf):
+    """Nine transition shares of each account, absent ones 0."""
+    p = Q.transitions(events(spark, sf), ["pop", "user"], "action", "action").withColumn("cell", F.concat(F.lit("t"), F.col("s").cast("string"), F.col("a").cast("string")))
+    cells = [f"t{s}{a}" for s in range(3) for a in range(3)]
+    return p.groupBy("pop", "user").pivot("cell", cells).agg(F.first("p")).na.fill(0.0), cells
+
+
+@query("m15_action_vectors", 'SELECT "user", ' + ", ".join(f"round(coalesce(max(CASE WHEN s = {s} AND a = {a} THEN p END), 0), 6) AS t{s}{a}" for s in range(3) for a in range(3)) + ' FROM (SELECT "user", s, a, n::DOUBLE / sum(n) OVER (PARTITION BY "user", s) AS p FROM (SELECT "user", action AS s, nxt AS a, count(*) AS n FROM (SELECT *, lead(action) OVER (PARTITION BY "user" ORDER BY ts, event_id) AS nxt FROM $EV) WHERE nxt IS NOT NULL GROUP BY ALL)) GROUP BY "user"')
+def m15(spark, sf):
+    v, _ = action_vectors(spark, sf)
+    return rounded(v.drop("pop"))
+
+
+@query("m16_length_matched_runs")
+def m16(spark, sf):
+    """Macro-F1 and AUC of a forest on length-matched pairs, a row for each run."""
+    from .cohorts import length_pairs
+
+    v, cells = action_vectors(spark, sf)
+    v = cut(v.withColumn("y", (F.col("pop") == "op").cast("int")))
+    n = events(spark, sf).groupBy("pop", "user").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut(length_pairs(n, "pop", "op", "organic", "user", "n", 2))
+    chosen = pairs.select("run", F.explode(F.array("member", "control")).alias("user")).join(v, "user")
+    folded = cut(chosen.withColumn("fold", F.pmod(S.draw("m16", F.col("run"), F.col("user")), F.lit(3))))
+    out = None
+    for run in range(2):
+        one = folded.filter(F.col("run") == run)
+        s = M.fit_score(one.filter("fold > 0"), one.filter("fold = 0"), cells, "rf", "user").withColumn("run", F.lit(run))
+        out = s if out is None else out.unionByName(s)
+    return V.auc(out, ["run"])
+
+
+@query("m18_vector_cross_validation")
+def m18(spark, sf):
+    """Mean and deviation of the fold AUCs of the vector classifier."""
+    names = [f"x{i}" for i in range(64)]
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)))
+    f = cut(S.folds(e, "y", "vec_id", 3, 1))
+    parts = [M.fit_score(f.filter(F.col("fold") != k), f.filter(F.col("fold") == k), names, "lr", "vec_id").withColumn("fold", F.lit(k)) for k in range(3)]
+    return V.auc(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["fold"]).agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"))
+
+
+@query("m9_content_classifier")
+def m9(spark, sf):
+    """Post features, a forest on posts, the mean score of each account (source)."""
+    d = table(spark, sf, "documents").filter("text is not null").join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    t, columns = F.col("text"), ["chars", "words", "upper", "digits", "hashes", "bangs", "questions"]
+    rows = cut(d.select("doc_id", "source", "y", F.length(t).cast("double").alias("chars"), F.size(F.split(t, " ")).cast("double").alias("words"), X.ratio_of(t, "A-Z").alias("upper"), X.ratio_of(t, "0-9").alias("digits"), *(X.count_of(t, c).cast("double").alias(n) for c, n in (("#", "hashes"), ("!", "bangs"), ("?", "questions")))))
+    held = F.pmod(S.draw("m9", F.col("doc_id")), F.lit(10)) < 3
+    s = M.fit_score(rows.filter(~held), rows.filter(held), columns, "rf", "doc_id")
+    return s.join(rows.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("posts"))

@@ -64,3 +64,11 @@ def stage(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.parquet(path)
+
+
+def read_posts(spark: SparkSession, paths: str | list[str], members: DataFrame, least_chars: int = 5) -> DataFrame:
+    """user, ts, text, urls, is_reply of members' posts of at least `least_chars` characters."""
+    raw = spark.read.schema(ARCHIVE).option("header", True).option("mode", "DROPMALFORMED").option("escape", '"').csv(paths)
+    text = F.col("tweet_text")
+    rows = raw.select(F.lower("user_screen_name").alias("user"), F.unix_timestamp(F.try_to_timestamp("tweet_time")).alias("ts"), text.alias("text"), F.regexp_extract_all(text, F.lit(r"(https?://\S+)"), 1).alias("urls"), F.col("in_reply_to_tweetid").isNotNull().cast("int").alias("is_reply"))
+    return rows.filter(F.col("ts").isNotNull() & (F.length("text") >= least_chars)).join(members, "user", "left_semi")
