@@ -8,8 +8,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
+from .common import release_memory
+
 #: Characters worked on at once; bounds a worker's memory besides its Arrow batch and one longest text.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 #: One odd 64-bit multiplier for each place of an n-gram, from the golden ratio by repeated multiplication.
 _GOLDEN = 0x9E3779B97F4A7C15
 PLACES = np.array([pow(_GOLDEN, k + 1, 1 << 64) | 1 for k in range(8)], dtype=np.uint64)
@@ -69,3 +71,4 @@ def groups(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa
                 chars += len(texts[-1])
                 at += 1
             yield batch.slice(begin, at - begin), texts
+    release_memory()

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import cut, fresh, release_memory
 from .graph import components
 
 WORDS, THRESHOLD = 5, 80  # the default: five words, a similarity of 0.80
 BANDS, ROWS = 36, 6
 #: Shingles that a block of a large cluster holds, about; bytes of text hashed at once.
-BLOCK_SHINGLES, GROUP_BYTES = 300_000, 4 << 20
+BLOCK_SHINGLES, GROUP_BYTES = 300_000, 1 << 20
 #: Candidate ids up to this number are broadcast to the texts; beyond it they meet in a shuffle join.
 BROADCAST_IDS = 250_000
 
@@ -144,6 +144,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, *, words: int, bands:
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n", "set_key", "bands"])
+        release_memory()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -239,6 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             same = [i for i, s in enumerate(found) if len(s) and blake2b(s.tobytes(), digest_size=16).digest() == batch.column(2)[i].as_py()]
             rest = batch.take(pa.array(same, pa.int64()))
             yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(3), rest.column(4), pa.array([found[i].tobytes() for i in same], pa.binary())], names=["id", "cluster", "tasks", "shingles"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     task_type = placed.schema["tasks"].dataType.simpleString()

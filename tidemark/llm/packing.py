@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release_memory
+
 CAPACITY = 1024
 MIN_TILE = 32
 END_ID = 0
 #: Words kept per Python worker; the memo is dropped and begun anew beyond this, and never holds longer words.
-MEMO_WORDS, MEMO_CHARS = 800_000, 48
+MEMO_WORDS, MEMO_CHARS = 400_000, 48
 MARKS = ".,;:!?"
 #: Characters tokenised at once, which bounds the memory of a worker besides its Arrow batch.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 
 _JOINED_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE_SPACE = re.compile(r"\s\s")
@@ -206,6 +208,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
         rows += bins.finish()
         if rows:
             yield flush()
+        release_memory()
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
