@@ -7,8 +7,8 @@ Documents of equal sets are one class and go on as one representative. Represent
 candidates; whatever candidates connect is a cluster, and each representative's whole set is sent once to its
 cluster, where intersections are counted over an inverted index and only links that join two parts are emitted,
 never all pairs. A cluster of more shingles than a task should hold is cut into blocks by size class and hash,
-and every pair of blocks whose sizes allow a link is a task of its own, so large clusters lose nothing. With
-BANDS x ROWS places a pair at the threshold 0.85 misses every band with a probability below 1e-7.
+and every pair of blocks whose sizes allow a link is a task of its own, so large clusters lose nothing. There
+are so many bands that a pair just at the threshold misses all of them with a probability of MISS at most.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import cut, fresh, release_memory
 from .graph import components
 
 WORDS, THRESHOLD = 5, 80  # the default: five words, a similarity of 0.80
-BANDS, ROWS = 36, 6
+ROWS, MISS = 6, 1e-7
 #: Shingles that a block of a large cluster holds, about; bytes of text hashed at once.
 BLOCK_SHINGLES, GROUP_BYTES = 300_000, 1 << 20
 #: Candidate ids up to this number are broadcast to the texts; beyond it they meet in a shuffle join.
@@ -124,7 +124,13 @@ def signature(shingles: np.ndarray, places: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, *, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def bands_for(threshold: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """(1 - t^rows)^bands <= miss."""
+    t = min(threshold / 100, 0.999999)
+    return math.ceil(math.log(miss) / math.log1p(-(t**rows)))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, *, words: int, bands: int, rows: int = ROWS) -> DataFrame:
     """(id, n, set_key, bands): set size, 16-byte digest of the set (null if empty) and a hash for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +195,7 @@ def _spanning_links(sets: list[np.ndarray], side: np.ndarray, threshold: int) ->
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, threshold: int = THRESHOLD, bands: int | None = None, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(<id_col>, n_shingles, component_id, kept), a row for each row of `docs`.
 
     Texts are linked if 100 * |intersection| >= threshold * |union| of their shingle sets; component_id is the
@@ -197,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     white space alone have the empty set and are linked with nothing. Rows of a null id are linked with nothing
     either: their component is null and they are kept. Rows that repeat an id share its fate. Very long texts
     count whole; an empty table gives no rows; further columns are not read."""
+    bands = bands or bands_for(threshold, rows)
     sketch = cut(sketches(docs, id_col, text_col, words=words, bands=bands, rows=rows))
     classes = sketch.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes)
