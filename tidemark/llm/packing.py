@@ -30,8 +30,9 @@ from .common import release_memory
 CAPACITY = 1024
 MIN_TILE = 32
 END_ID = 0
-#: Words kept per Python worker; the memo is dropped and begun anew beyond this, and never holds longer words.
-MEMO_WORDS, MEMO_CHARS = 400_000, 48
+#: Words kept per Python worker: a full memo becomes the older one, from which words in use come back; so it
+#: holds twice this at most, and never longer words.
+MEMO_WORDS, MEMO_CHARS = 300_000, 48
 MARKS = ".,;:!?"
 #: Characters tokenised at once, which bounds the memory of a worker besides its Arrow batch.
 GROUP_CHARS = 1 << 19
@@ -53,6 +54,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     @classmethod
@@ -67,15 +69,23 @@ class WordEncoder:
 
     def _learn(self, words: dict[str, None]) -> dict[str, bytes]:
         """Ids of space-led words. A mark after a letter is a word of its own to the tokenizer."""
-        bare = {w: w[:-1] if w[-1:] in MARKS and w[-2:-1].isalpha() else w for w in words}
-        need = [w for w in dict.fromkeys(bare.values()) if w not in self.memo]
-        got = dict(zip(need, self._ids([f" {w}" for w in need]), strict=True))
-        return got | {w: (got.get(x) or self.memo[x]) + (self.marks[w[-1]] if x is not w else b"") for w, x in bare.items()}
+        known = {w: x for w in words if (x := self.older.get(w))}
+        bare = {w: w[:-1] if w[-1:] in MARKS and w[-2:-1].isalpha() else w for w in words if w not in known}
+        need = []
+        for w in dict.fromkeys(bare.values()):
+            if w not in known:
+                if x := self.memo.get(w) or self.older.get(w):
+                    known[w] = x
+                else:
+                    need.append(w)
+        known.update(zip(need, self._ids([f" {w}" for w in need]), strict=True))
+        return known | {w: known[x] + self.marks[w[-1]] for w, x in bare.items() if x is not w}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
-            memo.clear()
+            self.older, self.memo = memo, {}
+            memo = self.memo
         split, missing = [], {}
         for text in texts:
             plain = not _DOUBLE_SPACE.search(text) and not (text[:1].isspace() or text[-1:].isspace())
