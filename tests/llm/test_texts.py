@@ -162,6 +162,36 @@ def test_decontamination(spark, messy, empty, words):
     assert contamination(empty, bench).count() == 0 and contamination(messy, bench.filter("false")).count() == 0
 
 
+def test_decontamination_matches_brute_force_over_every_window(spark, words):
+    import random
+
+    r = random.Random(11)
+    item, other = words[:200], [r.choice(words[:9]) for _ in range(60)]
+    sentences = [words[k : k + 40] for k in range(0, 200, 40)]
+    clean = lambda n: [r.choice(words) for _ in range(n)]
+    swapped = item[100:] + item[:100]
+    rows = [clean(70) + swapped + clean(90), [w for k in (2, 0, 4, 1, 3) for w in sentences[k]], clean(30) + other[30:] + other[:30] + clean(9), item[:185], item * 3 + clean(5), other * 4, clean(3) + item[:9] * 40, swapped[:180]]
+    bench = [item, other, words[300:340], other[:20] * 3]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)] + [(0, " ".join(rows[4])), (None, " ".join(rows[0])), (None, " ".join(rows[5]))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(bench)], "item_id long, text string")
+    shingles = lambda t: [tuple(t[i : i + 5]) for i in range(len(t) - 4)]
+    expected = {}
+    for d in docs.collect():
+        h = shingles(d.text.split())
+        for i, t in enumerate(bench):
+            b = shingles(t)
+            for start in range(max(1, len(h) - len(b) + 1)):
+                v = h[start : start + len(b)]
+                k = sum((Counter(v) & Counter(b)).values())
+                if k / (len(v) + len(b) - k) >= 0.8:
+                    best = expected.get((d.doc_id, i), (0, 0, 0))
+                    expected[d.doc_id, i] = max(best, (k / (len(v) + len(b) - k), -start, len(v) + 4))
+    assert {(0, 0), (1, 0), (3, 0), (7, 0), (None, 0)} <= set(expected)
+    for limits in ({}, {"broadcast_shingles": 0, "broadcast_docs": 0}):
+        got = {(x.doc_id, x.item_id): (x.similarity, -x.start_word, x.n_words) for x in contamination(docs, items, **limits).collect()}
+        assert got == expected
+
+
 def test_pipeline_stages(spark, messy, tmp_path):
     import corpus_pipeline as C
 

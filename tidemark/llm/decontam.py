@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Everything is DataFrame functions. Texts become words (lower-cased runs of letters and digits); a window has as
-many words as a benchmark item. A window can only reach the least similarity if it shares a shingle with an item, so
-windows are laid on the diagonals of shared shingles: item shingles are broadcast (their number is checked;
-beyond the limit they meet in a shuffle join), and documents that share one are read again. Each window gets a 64-bit SimHash of its shingles. Fingerprints
+many words as a benchmark item. Places of item shingles are found by a join (the
+set is broadcast; its number is checked, beyond the limit it meets the texts in a shuffle join), and a running sum
+over them counts what the window at every start shares with an item, in whatever order it stands. Where the best
+start of a document and an item can reach the least similarity, the document is read again for that window. Each window gets a 64-bit SimHash of its shingles. Fingerprints
 are cut into radius + 1 blocks; two of them within the radius agree in one block at least, so the join on
 (item size, block number, block) finds every such pair. What lies within the radius is verified by the exact
 weighted Jaccard similarity of the shingle bags (a shingle weighs as often as it occurs).
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, fresh
 
@@ -24,7 +26,7 @@ WORDS, THRESHOLD = 5, 0.8
 RADIUS, BITS = 24, 64
 #: Item shingles up to this number are broadcast.
 BROADCAST_SHINGLES = 1_000_000
-#: Documents that share a shingle with an item: up to this number their window starts are broadcast.
+#: Documents with windows to test: up to this number their window starts are broadcast.
 BROADCAST_DOCS = 200_000
 
 
@@ -71,6 +73,42 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return common.cast("double") / (F.size(a) + F.size(b) - common).cast("double")
 
 
+def _starts(hits: DataFrame, weights: DataFrame, threshold: float, small: bool) -> DataFrame:
+    """(doc, txt, len, start): for each document and item the start, the first of equals, of the window of `len`
+    shingles that has most in common with the item, if that can reach the threshold.
+
+    `hits` are the places of item shingles in the documents, `weights` how often each item holds each of them. A
+    place p counts for the starts after p - len up to p, and after the m-th place of its shingle before p if the
+    item holds the shingle m times; the sum over places is the weighted number of common shingles, exactly, at
+    every start. Start 0 stays from threshold x len on, which is the least that a document shorter than the item
+    needs. A start past the last window holds a part of that window and never comes before it.
+
+    An item meets only documents that hold one of its rarest shingles: of those whose weight is too much to be
+    missed one must be there, so that what many items share makes no pairs."""
+    least = F.ceil(threshold * F.col("len") - 1e-9)
+    enough = F.ceil(2 * threshold / (1 + threshold) * F.col("len") - 1e-9)
+    spread = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("key", "len").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = weights.join(spread, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("before", F.coalesce(F.sum("m").over(order), F.lit(0)))
+    rare = ranked.filter((F.col("n") > 0) & (F.col("before") <= F.col("len") - least)).select("shingle", "key", "len")
+    pairs = hits.join(F.broadcast(rare) if small else rare, "shingle").select(F.col("doc").alias("doc_"), F.col("txt").alias("txt_"), "key", "len").distinct()
+    places = hits.join(pairs, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("txt") == F.col("txt_")))
+    places = places.join(F.broadcast(weights) if small else weights, ["key", "len", "shingle"])
+    places = places.groupBy("doc", "txt", "key", "len", "shingle", "m").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+
+    def steps(p: Column, i: Column) -> Column:
+        after = F.when(i >= F.col("m"), F.get(F.col("ps"), i - F.col("m")) + 1).otherwise(F.lit(0))
+        return F.array(F.struct(F.greatest(F.lit(0), p - F.col("len") + 1, after).alias("first"), F.lit(1).alias("d")), F.struct((p + 1).alias("first"), F.lit(-1).alias("d")))
+
+    sweep = places.select("doc", "txt", "key", "len", F.explode(F.flatten(F.transform("ps", steps))).alias("s"))
+    sweep = sweep.groupBy("doc", "txt", "key", "len", F.col("s.first").alias("first")).agg(F.sum("s.d").alias("d"))
+    along = Window.partitionBy("doc", "txt", "key", "len").orderBy("first")
+    starts = sweep.withColumn("common", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    best = starts.groupBy("doc", "txt", "key", "len").agg(F.max(F.struct("common", (-F.col("first")).alias("back"))).alias("b"))
+    best = best.filter((F.col("b.common") >= enough) | ((F.col("b.back") == 0) & (F.col("b.common") >= least)))
+    return best.select("doc", "txt", "len", (-F.col("b.back")).alias("start"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, words: int = WORDS, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_shingles: int = BROADCAST_SHINGLES, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """(<id_col>, <item_col>, start_word, n_words, similarity): for each document and item that have a window of
     weighted similarity >= threshold, the best such window, the first of equals.
@@ -80,28 +118,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     under null. Very long texts are read whole; an empty side gives no rows; further columns are not read."""
     items = cut(benchmark.select(F.col(item_col).alias("item"), shingled(F.col(item_text_col), words).alias("bag"))).filter(F.size("bag") > 0)
     items = cut(items.select("item", F.size("bag").alias("len"), "bag", simhash(F.col("bag")).alias("fingerprint")))
-    places = cut(items.select("len", F.posexplode("bag").alias("q", "shingle")).distinct())
-    small = places.count() <= broadcast_shingles
+    bags = items.select(F.xxhash64("bag").alias("key"), "len", "bag").distinct()
+    weights = cut(bags.select("key", "len", F.explode("bag").alias("shingle")).groupBy("key", "len", "shingle").agg(F.count(F.lit(1)).cast("int").alias("m")))
+    small = weights.count() <= broadcast_shingles
+    known = weights.select("shingle").distinct()
 
     # the shingles go alone through the join, without their text; posexplode_outer: the inner one infers a
     # filter that would shingle every text a second time
-    shingles = docs.select(F.col(id_col).alias("doc"), F.posexplode_outer(shingled(F.col(text_col), words)).alias("p", "shingle"))
-    hits = shingles.join(F.broadcast(places) if small else places, "shingle")
-    starts = hits.select("doc", "len", F.greatest(F.lit(0), F.col("p") - F.col("q")).alias("start")).distinct()
-    starts = cut(starts.groupBy("doc").agg(F.collect_list(F.struct("len", "start")).alias("at")))
-    near_docs = starts.select(F.col("doc").alias("doc_"), "at")
-    if starts.count() <= broadcast_docs:
+    shingles = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("txt"), F.posexplode_outer(shingled(F.col(text_col), words)).alias("p", "shingle"))
+    hits = cut(shingles.join(F.broadcast(known) if small else known, "shingle").select("doc", "txt", "p", "shingle"))
+    near_docs = cut(_starts(hits, weights, threshold, small).groupBy("doc", "txt").agg(F.collect_set(F.struct("len", "start")).alias("at")))
+    few = near_docs.count() <= broadcast_docs
+    near_docs = near_docs.select(F.col("doc").alias("doc_"), F.col("txt").alias("txt_"), "at")
+    if few:
         near_docs = F.broadcast(near_docs)
 
-    # only documents that share a shingle are read for windows; a start past the last window is moved to it
+    # only documents with such starts are read for windows
     def windows_of(h: Column) -> Column:
-        def one(w: Column) -> Column:
-            start = F.greatest(F.lit(0), F.least(w.start, F.size(h) - w.len))
-            return F.struct(w.len.alias("len"), start.alias("start"), F.slice(h, start + 1, w.len).alias("window"))
-
-        return F.transform(F.col("at"), one)
+        return F.transform(F.col("at"), lambda w: F.struct(w.len.alias("len"), w.start.alias("start"), F.slice(h, w.start + 1, w.len).alias("window")))
 
-    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(near_docs, F.col("doc").eqNullSafe(F.col("doc_")))
+    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("txt")).join(near_docs, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("txt") == F.col("txt_")))
     found = found.select("doc", F.explode_outer(F.transform(F.array(shingled(F.col("text"), words)), windows_of)[0]).alias("w"))
     windows = found.select("doc", "w.len", "w.start", "w.window").filter(F.size("window") > 0).distinct()
     windows = windows.withColumn("print", simhash(F.col("window")))
