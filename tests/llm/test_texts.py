@@ -143,6 +143,17 @@ def test_pseudonyms_round_trip_and_stay_linked(spark, messy, empty):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_mail_names_of_many_digits_stay_distinct(spark):
+    names = ["20011128132912.1234567.1234", "20011128132912.1234567.1235", "1234567890123456789", "a7", "b"]
+    docs = spark.createDataFrame([(i, f"id {n}@mail.org") for i, n in enumerate(names)], "doc_id int, text string")
+    out = pseudonymise(docs, key="k")
+    new = {r.doc_id: r.text for r in out.collect()}
+    assert len(set(new.values())) == len(names)
+    assert [re.sub(r"\d", "9", new[i]) for i in range(3)] == [re.sub(r"\d", "9", f"id {n}@mail.org") for n in names[:3]]
+    back = {r.doc_id: r.text for r in pseudonymise(out.drop("pii_kinds"), key="k", reverse=True).collect()}
+    assert back == {i: f"id {n}@mail.org" for i, n in enumerate(names)}
+
+
 def test_decontamination(spark, messy, empty, words):
     item = " ".join(words[:40])
     changed = item.split()

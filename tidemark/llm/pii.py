@@ -48,11 +48,11 @@ def _long(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
 
 
-def feistel(x: Column, p: Column, q: Column, key: str, kind: str, reverse: bool = False) -> Column:
+def feistel(x: Column, p: Column, q: Column, key: str, kind: str | Column, reverse: bool = False) -> Column:
     """Keyed permutation of the integers 0 .. p*q - 1 (p and q below 2^31)."""
 
     def noise(i: Column, half: Column, modulus: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), F.lit(kind), p.cast("string"), q.cast("string"), i.cast("string"), half.cast("string"))
+        text = F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), p.cast("string"), q.cast("string"), i.cast("string"), half.cast("string"))
         return F.pmod(F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("bigint"), modulus)
 
     def forward(s: Column, i: Column) -> Column:
@@ -71,13 +71,21 @@ def _power(base: int, n: Column) -> Column:
     return F.round(F.pow(F.lit(float(base)), n.cast("double"))).cast("bigint")
 
 
-def permute_digits(digits: Column, key: str, kind: str, reverse: bool = False) -> Column:
+def permute_digits(digits: Column, key: str, kind: str | Column, reverse: bool = False) -> Column:
     """A string of up to 18 decimal digits, permuted among those of its length; shorter than two: as it is."""
     half = F.floor(F.length(digits) / 2).cast("int")
     done = feistel(_long(digits), _power(10, F.length(digits) - half), _power(10, half), key, kind, reverse)
     return F.when(F.length(digits) < 2, digits).otherwise(F.lpad(done.cast("string"), F.length(digits), F.lit("0")))
 
 
+def permute_long_digits(digits: Column, key: str, kind: str, reverse: bool = False) -> Column:
+    """Any number of digits, permuted eighteen at a time; each block has a tweak of its own."""
+    tweak = lambda i: F.when(i == 0, F.lit(kind)).otherwise(F.concat(F.lit(kind), i.cast("string")))
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(digits) - 1) / 18).cast("int")))
+    one = lambda i: _let(F.substring(digits, i * 18 + 1, F.lit(18)), lambda d: permute_digits(d, key, tweak(i), reverse))
+    return F.array_join(F.transform(blocks, one), "")
+
+
 def _place(letter: Column) -> Column:
     return (F.ascii(letter) - ord("a")).cast("bigint")
 
@@ -132,7 +140,7 @@ def _email(m: Column, key: str, reverse: bool) -> Column:
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     letters = F.regexp_replace(F.lower(name), "[^a-z]", "")
     lowered = refill(F.lower(name), permute_letters(letters, key, "letters", reverse), "a-z")
-    return F.concat(refill(lowered, permute_digits(F.substring(_digits(name), F.lit(1), F.lit(18)), key, "mail", reverse), "0-9"), F.lit("@"), host)
+    return F.concat(refill(lowered, permute_long_digits(_digits(name), key, "mail", reverse), "0-9"), F.lit("@"), host)
 
 
 def _ipv4(m: Column, key: str, reverse: bool) -> Column:
