@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import sharding
+from tidemark.llm import html_extract, sharding
 from tidemark.llm.decontam import contamination, drop_contaminated
 from tidemark.llm.html_extract import extract
 from tidemark.llm.packing import pack, padding, tiles
@@ -85,6 +85,20 @@ def test_extraction(spark):
     assert extract(pages.filter("false")).count() == 0
 
 
+def test_elements_left_out_end_with_their_parent():
+    cases = {
+        "<article><p>a <svg class='i'/>b</p><p>c</p></article>": "a b\nc",
+        "<article><p>a <svg><title>t</title><path/></svg>b <button>x <i>y</i></button>c</p></article>": "a b c",
+        "<article><div>a <button>x</div><p>b</p></article>": "a\nb",
+        "<article><p>a <object>x<p>b <canvas>y</article>": "a\nb",
+        "<article><ul><li>a <select><option>x<li>b</ul><p>c</article>": "a\nb\nc",
+        "<article><p>a</p><noscript><div>x<p>y</div></noscript><p>b</p><iframe>z": "a\nb",
+        "<article>a <svg>x<svg>y</svg>z</svg>b<button>p<select>q</article>": "a b",
+    }
+    for page, text in cases.items():
+        assert html_extract.apply(html_extract.infer([page]), page) == text, page
+
+
 def test_extraction_of_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in extract(pages).collect():

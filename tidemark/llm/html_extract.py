@@ -34,10 +34,11 @@ PAGES_PER_HOST, BROADCAST_BYTES, SALTS = 12, 16 << 20, 64
 #: An element that holds this share of the slots' text is the article where no element says so.
 SHARE = 0.6
 
-#: HTML's block elements, those whose content is raw, those that close an open one of their kind,
+#: HTML's block elements, those whose content is raw, those left out with their content, those that close an open one of their kind,
 #: and the elements, roles and class words that mark what is not the article.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|button|object|canvas"
+RAW = "script|style|textarea|title"
+DROPPED = set("noscript template iframe svg select button object canvas".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 VOID = {"hr"}
@@ -76,6 +77,7 @@ def read(page: str) -> Element:
     """The element tree of a page; unclosed, misnested and cut-off markup is repaired as browsers do."""
     root = Element("", "")
     stack, at, text = [root], 0, []
+    dropped: list[tuple[int, list[str]]] = []  # depth of an open element that is left out, and the text before it
 
     def flush() -> None:
         joined = "".join(text)
@@ -86,6 +88,12 @@ def read(page: str) -> Element:
     def close(tags: set[str], scope: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                while dropped and dropped[-1][0] >= i:
+                    depth, before = dropped.pop()
+                    del stack[depth:]
+                    text[:] = before
+                    if depth > i:
+                        flush()
                 del stack[i:]
                 return
             if stack[i].tag in scope:
@@ -97,6 +105,16 @@ def read(page: str) -> Element:
         tag = (m[3] or "").lower()
         if tag == "br":
             text.append("\n")
+        if tag in DROPPED:
+            if m[2]:
+                if any(stack[depth].tag == tag for depth, _ in dropped):
+                    flush()
+                    close({tag}, set())
+            elif not (tag == "svg" and m[4].endswith("/")):
+                dropped.append((len(stack), text[:]))
+                text.clear()
+                stack.append(Element(tag, ""))
+            continue
         if tag not in BLOCKS:
             continue
         flush()
@@ -114,6 +132,11 @@ def read(page: str) -> Element:
             stack.append(element)
     text.append(page[at:])
     flush()
+    while dropped:
+        depth, before = dropped.pop()
+        del stack[depth:]
+        text[:] = before
+        flush()
     return root
 
 
