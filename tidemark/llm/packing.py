@@ -1,12 +1,11 @@
 """Harmonic packing of tokenised documents into fixed-capacity training sequences.
 
-Classes are reciprocal in the capacity C: class k takes pieces of length in (C/(k+1), C/k], and each of its
-bins takes exactly k pieces, so a worker fills the bins of a class without a look at any other class or
-worker. Documents may be cut freely, so a document gives up whole sequences first (class 1), then tiles of
-C/2, C/4, ... down to `min_tile` tokens (classes 2, 4, ..., exact fits), and its last tokens, fewer than
-`min_tile`, go to the class of their length. A full bin of those wastes fewer than `min_tile` tokens.
-Whatever bins are open when a worker's input ends are joined largest first; that is at most a few sequences
-a worker, whatever the input.
+Classes are reciprocal in the capacity C: class k takes lengths in (C/(k+1), C/k], and each of its bins takes
+exactly k of them, so a worker fills the bins of a class without a look at any other class or worker. Documents
+may be cut freely: a document gives up whole sequences (class 1), and its tail of fewer than C tokens goes to the
+class of its length. A bin that has its k tails still lacks up to C/(k+1) tokens or so; the next document of the
+worker begins there, so the sequence is full. What a worker still holds when its input ends is filled up
+in the same way, and its very last tokens, fewer than C, are cut at powers of two, which need no padding.
 
 The job is one narrow stage: scan, tokenise, cut, pack. Nothing is shuffled, and a lost task is run again
 over the same split, which gives the same sequences under the same ids.
@@ -14,10 +13,12 @@ over the same split, which gives the same sequences under the same ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,108 +29,112 @@ from pyspark.sql import types as T
 from .common import release_memory
 
 CAPACITY = 1024
-MIN_TILE = 32
 END_ID = 0
-#: Words kept per Python worker: a full memo becomes the older one, from which words in use come back; so it
-#: holds twice this at most, and never longer words.
-MEMO_WORDS, MEMO_CHARS = 300_000, 48
-MARKS = ".,;:!?"
+#: Fixed value: how a byte-level tokenizer parts a text.
+BYTE_LEVEL_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters tokenised at once, which bounds the memory of a worker besides its Arrow batch.
 GROUP_CHARS = 1 << 19
 
-_JOINED_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE_SPACE = re.compile(r"\s\s")
-_encoders: dict[str, "WordEncoder"] = {}
+#: Where the ids of a text may be taken apart: before a space or line feed that stands alone.
+_BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Code points whose regular-expression classes no Unicode version has changed.
+_SETTLED = re.compile("[\\t\\n\\r -~\u00a1-\u024f]*")
+_encoders: dict[str, "Encoder"] = {}
 
 
-class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+class Encoder:
+    """Token ids of texts as little-endian unsigned 32-bit bytes, exactly as the tokenizer file gives them.
 
-    A byte-level BPE never merges across a space that stands between two visible characters, so the ids of
-    a text are those of its space-led words in a row. Words repeat, so each is tokenised once and kept."""
+    A byte-level BPE never merges across a space or a line feed that stands alone between two visible
+    characters, so a text's ids are those of the runs between such places in a row. Where `same_merges` proves
+    that the vocabulary alone gives the same merges, runs of settled code points go through the ranks of that
+    vocabulary (tiktoken, several times as fast); all others, and all of any other tokenizer, go through the
+    tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        self.ranked = same_merges(path, self.tokenizer)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
 
     @classmethod
-    def of(cls, path: str) -> "WordEncoder":
+    def of(cls, path: str) -> "Encoder":
         if path not in _encoders:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def _learn(self, words: dict[str, None]) -> dict[str, bytes]:
-        """Ids of space-led words. A mark after a letter is a word of its own to the tokenizer."""
-        known = {w: x for w in words if (x := self.older.get(w))}
-        bare = {w: w[:-1] if w[-1:] in MARKS and w[-2:-1].isalpha() else w for w in words if w not in known}
-        need = []
-        for w in dict.fromkeys(bare.values()):
-            if w not in known:
-                if x := self.memo.get(w) or self.older.get(w):
-                    known[w] = x
-                else:
-                    need.append(w)
-        known.update(zip(need, self._ids([f" {w}" for w in need]), strict=True))
-        return known | {w: known[x] + self.marks[w[-1]] for w, x in bare.items() if x is not w}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            self.older, self.memo = memo, {}
-            memo = self.memo
-        split, missing = [], {}
-        for text in texts:
-            plain = not _DOUBLE_SPACE.search(text) and not (text[:1].isspace() or text[-1:].isspace())
-            words = text.split(" ") if plain else _JOINED_SPACE.split(text)
-            ids, gaps, at = list(map(memo.get, words)), [], 0
-            ids[0] = b""
-            try:
-                while True:
-                    at = ids.index(None, at)
-                    gaps.append(at)
-                    missing[words[at]] = None
-                    at += 1
-            except ValueError:
-                split.append((words, ids, gaps))
-        new = self._learn(missing)
-        for (words, ids, gaps), first in zip(split, self._ids([words[0] for words, _, _ in split]), strict=True):
-            ids[0] = first
-            for at in gaps:
-                ids[at] = new[words[at]]
-        memo.update((w, x) for w, x in new.items() if len(w) <= MEMO_CHARS)
-        return [b"".join(ids) for _, ids, _ in split]
-
-
-def tiles(length: int, capacity: int, min_tile: int) -> list[int]:
-    """The lengths into which a document is cut, in order."""
-    cuts = [capacity] * (length // capacity)
-    rest, tile = length % capacity, capacity // 2
-    while rest >= min_tile and tile >= min_tile:
-        if rest >= tile:
-            cuts.append(tile)
-            rest -= tile
-        tile //= 2
-    while rest >= min_tile:  # only if capacity has no power of two so small
-        cuts.append(min_tile)
-        rest -= min_tile
-    return cuts + [rest] * (rest > 0)
+    def _settled(self, text: str) -> bool:
+        return bool(_SETTLED.fullmatch(text)) and not self.added.search(text)
+
+    def _runs(self, text: str) -> Iterator[tuple[bool, str]]:
+        """(settled, run) in order; runs of settled words have about GROUP_CHARS characters at most."""
+        if len(text) <= GROUP_CHARS and self._settled(text):
+            yield True, text
+            return
+        at, end, settled = 0, 0, True
+        for m in chain(_BREAK.finditer(text), [None]):
+            stop = m.start() if m else len(text)
+            same = self._settled(text[end:stop])
+            if end > at and (same != settled or end - at >= GROUP_CHARS):
+                yield settled, text[at:end]
+                at = end
+            settled, end = same, stop
+        yield settled, text[at:end]
+
+    def encode(self, text: str) -> bytes:
+        if not self.ranked:
+            return self._whole(text)
+        return b"".join(array("I", self.ranked(t)).tobytes() if settled else self._whole(t) for settled, t in self._runs(text))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+
+def same_merges(path: str, tokenizer) -> Callable[[str], list[int]] | None:
+    """An encoder of plain text by ranks alone that gives the tokenizer's ids, or None if that is not certain.
+
+    Ranks merge any neighbours whose join is a token, merges only the listed pairs. While a token's borders
+    stand, merges inside them run as if it stood alone, and alone it ends in the pair that its own merge lists;
+    so the two agree if ids rise with the merges and the tokenizer makes each token's text into that token."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocabulary = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocabulary[a + b] for a, b in pairs]
+    single = sorted(i for t, i in vocabulary.items() if len(t) == 1)
+    bpe = tokenizer.model
+    if single + made != list(range(len(vocabulary))) or any(len(bpe.tokenize(t)) != 1 for t in vocabulary):
+        return None
+    shown = byte_alphabet()
+    ranks = {bytes(shown[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary shows: printable Latin-1 shows itself, the other
+    bytes in order are shown by the code points from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class HarmonicBins:
-    """The open bins of one worker: one for each reciprocal class."""
+    """The bins of one worker: at most one open bin for each reciprocal class, and those that lack a filling."""
 
-    def __init__(self, capacity: int, min_tile: int, first_id: int):
-        self.capacity, self.min_tile, self.next_id = capacity, min_tile, first_id
+    def __init__(self, capacity: int, first_id: int):
+        self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
+        self.filling: list[list] = []  # [tokens it lacks, pieces]
 
     def _close(self, pieces: list[tuple]) -> list[tuple]:
         at, out = 0, []
@@ -140,36 +145,57 @@ class HarmonicBins:
         self.next_id += 1
         return out
 
-    def add(self, piece: tuple) -> list[tuple]:
-        k = self.capacity // piece[2]
-        held = self.open.setdefault(k, [])
-        held.append(piece)
-        return self._close(self.open.pop(k)) if len(held) == k else []
+    def add(self, doc, body: bytes) -> list[tuple]:
+        """Cut a document's ids into pieces (doc, start, length, ids, doc_tokens); return the sequences it closes."""
+        out, at, total = [], 0, len(body) // 4
+        piece = lambda n: (doc, at, n, body[4 * at : 4 * (at + n)], total)
+        while self.filling and at < total:
+            lack, pieces = self.filling[-1]
+            n = min(lack, total - at)
+            pieces.append(piece(n))
+            at += n
+            self.filling[-1][0] -= n
+            if n == lack:
+                out += self._close(self.filling.pop()[1])
+        while total - at >= self.capacity:
+            out += self._close([piece(self.capacity)])
+            at += self.capacity
+        if at < total:
+            k = self.capacity // (total - at)
+            held = self.open.setdefault(k, [])
+            held.append(piece(total - at))
+            if len(held) == k:
+                del self.open[k]
+                lack = self.capacity - sum(p[2] for p in held)
+                if lack:
+                    self.filling.append([lack, held])
+                else:
+                    out += self._close(held)
+        return out
 
     def finish(self) -> list[tuple]:
-        """First fit, largest first, over what is left: less than one bin of each class."""
-        rest = sorted((p for held in self.open.values() for p in held), key=lambda p: -p[2])
-        bins: list[list] = []
-        for p in rest:
-            room = next((b for b in bins if b[0] >= p[2]), None)
-            if room is None:
-                bins.append(room := [self.capacity, []])
-            room[0] -= p[2]
-            room[1].append(p)
-        out = []
-        for free, pieces in bins:
-            if free:  # a sequence whose length is a power of two needs no padding
-                for p in pieces:
-                    if p[2] >= self.min_tile and p[2] & (p[2] - 1) == 0:
-                        out += self._close([p])
-                pieces = [p for p in pieces if p[2] < self.min_tile or p[2] & (p[2] - 1)]
-            if pieces:
-                out += self._close(pieces)
+        """Fill sequences with what is left, less than one bin of each class, and cut the last at powers of two."""
+        rest = [p for _, held in self.filling for p in held] + [p for held in self.open.values() for p in held]
+        left = sum(p[2] for p in rest)
+        sizes = [self.capacity] * (left // self.capacity)
+        sizes += [1 << b for b in range((left % self.capacity).bit_length() - 1, -1, -1) if left % self.capacity >> b & 1]
+        out, pieces, room = [], [], iter(sizes)
+        lack = next(room, 0)
+        for doc, start, length, ids, total in rest:
+            at = 0
+            while at < length:
+                n = min(lack, length - at)
+                pieces.append((doc, start + at, n, ids[4 * at : 4 * (at + n)], total))
+                at, lack = at + n, lack - n
+                if not lack:
+                    out += self._close(pieces)
+                    pieces, lack = [], next(room, 0)
         self.open.clear()
+        self.filling.clear()
         return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str, capacity: int = CAPACITY, min_tile: int = MIN_TILE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenise, cut and pack `docs`; a row for each piece:
 
     <id_col>, start (tokens of its document before it), length, ids (binary: little-endian unsigned 32-bit
@@ -184,8 +210,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(tokenizer_path)
-        bins = HarmonicBins(capacity, min_tile, TaskContext.get().partitionId() << 32)
+        encoder = Encoder.of(tokenizer_path)
+        bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 32)
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -199,20 +225,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
         for batch in batches:
             if arrow is None:
                 arrow = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            n, at = batch.num_rows, 0
-            while at < n:
-                texts, chars, begin = [], 0, at
-                while at < n and (chars < GROUP_CHARS or not texts):
-                    texts.append(batch.column(1)[at].as_py() or "")
-                    chars += len(texts[-1])
-                    at += 1
-                ids = batch.column(0).slice(begin, at - begin).to_pylist()
-                for doc, body in zip(ids, encoder.encode(texts), strict=True):
-                    body += end
-                    total, start = len(body) // 4, 0
-                    for length in tiles(total, capacity, min_tile):
-                        rows += bins.add((doc, start, length, body[4 * start : 4 * (start + length)], total))
-                        start += length
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = encoder.encode(text.as_py() or "") + end
+                rows += bins.add(doc, body)
                 if len(rows) >= 4096:
                     yield flush()
         rows += bins.finish()
