@@ -1,11 +1,12 @@
-"""Format-preserving Feistel pseudonyms for personal numbers and dates.
+"""Format-preserving Feistel pseudonyms for personal numbers, dates and mail names.
 
 Everything is DataFrame functions. One pattern finds candidates; each is validated (card numbers by their check
-digit, IPv4 octets, calendar dates, number areas, phone lengths) and then permuted by a keyed Feistel network over
-the values of its own format: the digits of a phone, the letters and digits of a mail name, the 32 bits of an
-address, the days of two centuries, the free digits of a card, whose check digit is set anew. A permutation is
-one to one, so equal values get equal pseudonyms in every document, different ones differ, and the holder of
-the key can undo it (`reverse=True`). The pass is narrow: nothing is shuffled.
+digit, IPv4 octets, calendar dates, number areas, phone lengths) and then permuted among the values of its own
+format: the letters and digits of a mail name, the digits of a phone, the 32 bits of an address, the dates that
+are written alike, the free digits of a card, whose check digit is set anew. The permutation is a keyed Feistel
+network P turned into one cycle, x -> P'(P(x) + 1) with P' undoing P: one to one, and no value is its own
+pseudonym. So equal values get equal pseudonyms in every document, different ones differ, and the holder of the
+key can undo it (`reverse=True`), exactly. The pass is narrow: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 ROUNDS = 8
-#: Steps of the walk back into a format that is smaller than its Feistel domain; a step falls out with a
-#: probability below 0.45, so a walk this long ends with a probability of 1 - 1e-22.
-WALK = 64
-FIRST_DAY, DAYS = "1900-01-01", 73049
+#: Steps of the walk back to a day that its month has; a step fails with a probability below 0.04.
+WALK = 16
+#: Characters permuted at once: 26 ** 12 numbers fit a long, and each half fits half of one.
+BLOCK = 12
+FIRST_YEAR, YEARS = 1900, 200
 
 #: The pattern's alternatives, in order.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
@@ -67,50 +69,73 @@ def feistel(x: Column, p: Column, q: Column, key: str, kind: str | Column, rever
     return _let(end, lambda s: s.a * _long(q) + s.b)
 
 
-def _power(base: int, n: Column) -> Column:
-    return F.round(F.pow(F.lit(float(base)), n.cast("double"))).cast("bigint")
+def cycle(x: Column, p: Column, q: Column, key: str, kind: str | Column, reverse: bool = False) -> Column:
+    """One cycle through the integers 0 .. p*q - 1 (two or more), in the keyed order; no value stays."""
+    step = F.lit(-1 if reverse else 1)
+    moved = _let(feistel(x, p, q, key, kind), lambda t: F.pmod(t + step, p * q))
+    return _let(moved, lambda t: feistel(t, p, q, key, kind, reverse=True))
 
 
-def permute_digits(digits: Column, key: str, kind: str | Column, reverse: bool = False) -> Column:
-    """A string of up to 18 decimal digits, permuted among those of its length; shorter than two: as it is."""
-    half = F.floor(F.length(digits) / 2).cast("int")
-    done = feistel(_long(digits), _power(10, F.length(digits) - half), _power(10, half), key, kind, reverse)
-    return F.when(F.length(digits) < 2, digits).otherwise(F.lpad(done.cast("string"), F.length(digits), F.lit("0")))
+def _radix(c: Column) -> Column:
+    return F.when(c >= "a", _long(26)).otherwise(_long(10))
 
 
-def permute_long_digits(digits: Column, key: str, kind: str, reverse: bool = False) -> Column:
-    """Any number of digits, permuted eighteen at a time; each block has a tweak of its own."""
-    tweak = lambda i: F.when(i == 0, F.lit(kind)).otherwise(F.concat(F.lit(kind), i.cast("string")))
-    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(digits) - 1) / 18).cast("int")))
-    one = lambda i: _let(F.substring(digits, i * 18 + 1, F.lit(18)), lambda d: permute_digits(d, key, tweak(i), reverse))
-    return F.array_join(F.transform(blocks, one), "")
+def _place(c: Column) -> Column:
+    return (F.ascii(c) - F.when(c >= "a", ord("a")).otherwise(ord("0"))).cast("bigint")
 
 
-def _place(letter: Column) -> Column:
-    return (F.ascii(letter) - ord("a")).cast("bigint")
+def _block(part: Column, key: str, tweak: Column, reverse: bool) -> Column:
+    """Up to BLOCK characters a-z and 0-9, permuted among those of the same classes."""
+    chars = F.split(part, "")
+    start = F.struct(_long(0).alias("v"), _long(1).alias("p"), _long(1).alias("q"), F.lit(0).alias("i"))
 
+    def read(s: Column, c: Column) -> Column:
+        left = s.i < F.ceil(F.length(part) / 2)
+        return F.struct((s.v * _radix(c) + _place(c)).alias("v"), F.when(left, s.p * _radix(c)).otherwise(s.p).alias("p"), F.when(left, s.q).otherwise(s.q * _radix(c)).alias("q"), (s.i + 1).alias("i"))
 
-def permute_letters(letters: Column, key: str, kind: str, reverse: bool = False) -> Column:
-    """Lower-case letters, permuted twelve at a time among those of their length."""
+    # one character has halves too: 13 x 2 letters, 5 x 2 digits
+    halves = lambda s: F.when(s.i == 1, F.struct(s.v.alias("v"), F.call_function("div", s.p, _long(2)).alias("p"), _long(2).alias("q"))).otherwise(F.struct(s.v.alias("v"), s.p.alias("p"), s.q.alias("q")))
+    number = F.aggregate(chars, start, read, halves)
+    done = _let(number, lambda s: cycle(s.v, s.p, s.q, key, tweak, reverse))
 
-    def one(part: Column) -> Column:
-        half = F.floor(F.length(part) / 2).cast("int")
-        each = lambda f: F.transform(F.sequence(F.lit(1), F.length(part)), f)
-        number = F.aggregate(each(lambda i: _place(F.substring(part, i, F.lit(1)))), _long(0), lambda s, x: s * 26 + x)
-        done = feistel(number, _power(26, F.length(part) - half), _power(26, half), key, kind, reverse)
-        spell = lambda n: F.array_join(each(lambda i: F.substring(F.lit(LETTERS), (F.pmod(F.call_function("div", n, _power(26, F.length(part) - i)), F.lit(26)) + 1).cast("int"), F.lit(1))), "")
-        return F.when(F.length(part) < 2, part).otherwise(_let(done, spell))
+    def write(s: Column, c: Column) -> Column:
+        digit = F.pmod(s.v, _radix(c)).cast("int")
+        shown = F.when(c >= "a", F.substring(F.lit(LETTERS), digit + 1, F.lit(1))).otherwise(digit.cast("string"))
+        return F.struct(F.call_function("div", s.v, _radix(c)).alias("v"), F.concat(shown, s.out).alias("out"))
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(letters) - 1) / 12).cast("int")), lambda i: one(F.substring(letters, i * 12 + 1, F.lit(12))))
-    return F.when(F.length(letters) < 2, letters).otherwise(F.array_join(parts, ""))
+    spell = lambda n: F.aggregate(F.reverse(chars), F.struct(n.alias("v"), F.lit("").alias("out")), write, lambda s: s.out)
+    return _let(done, spell)
 
 
-def refill(shape: Column, chars: Column, of: str) -> Column:
-    """`shape` with its characters of the class `of` replaced in turn by those of `chars`."""
-    at = lambda i: F.substring(shape, i, F.lit(1))
-    rank = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"[^{of}]", ""))
-    put = lambda i: F.when(at(i).rlike(f"[{of}]"), F.substring(chars, rank(i), F.lit(1))).otherwise(at(i))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), put), "")
+def permute(text: Column, key: str, kind: str, reverse: bool = False) -> Column:
+    """A string over a-z and 0-9, permuted among those with the same classes at the same places.
+
+    Blocks of BLOCK characters in turn; each block's tweak is what comes out before it and what stands after it,
+    so every block depends on the whole string, and equal beginnings do not show."""
+    count = F.greatest(_long(1), F.ceil(F.length(text) / BLOCK)).cast("int")
+    part = lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK))
+    after = lambda i: F.substring(text, (i + 1) * BLOCK + 1, F.length(text))
+    before = lambda i: F.substring(text, F.lit(1), i * BLOCK)
+    tweak = lambda i, done, rest: F.concat_ws(".", F.lit(kind), i.cast("string"), done, rest)
+    if reverse:
+        step = lambda out, i: F.concat(_block(part(i), key, tweak(i, before(i), out), True), out)
+        order = F.sequence(count - 1, F.lit(0), F.lit(-1))
+    else:
+        step = lambda out, i: F.concat(out, _block(part(i), key, tweak(i, out, after(i)), False))
+        order = F.sequence(F.lit(0), count - 1)
+    return F.when(F.length(text) == 0, text).otherwise(F.aggregate(order, F.lit(""), step))
+
+
+def refill(shape: Column, chars: Column) -> Column:
+    """`shape` with its letters and digits replaced in turn by `chars`; capitals stay capitals."""
+
+    def put(s: Column, c: Column) -> Column:
+        new = F.substring(chars, s.n + 1, F.lit(1))
+        cased = F.when(c.between("A", "Z"), F.upper(new)).otherwise(new)
+        kept = ~c.rlike("[A-Za-z0-9]")
+        return F.struct(F.concat(s.out, F.when(kept, c).otherwise(cased)).alias("out"), (s.n + F.when(kept, 0).otherwise(1)).alias("n"))
+
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), put, lambda s: s.out)
 
 
 def _digits(m: Column) -> Column:
@@ -129,24 +154,17 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda s, x: s + x)
 
 
-def _walk(x: Column, step, inside) -> Column:
-    """Step until the value is inside; see WALK. A value that is inside comes back inside, one to one."""
-    first = F.struct(x.alias("x"), F.lit(False).alias("done"))
-    go = lambda s: _let(step(s.x), lambda y: F.struct(y.alias("x"), inside(y).alias("done")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda s, _: F.when(s.done, s).otherwise(go(s)), lambda s: s.x)
-
-
 def _email(m: Column, key: str, reverse: bool) -> Column:
+    """The name's letters and digits are permuted without regard to case; the host stays."""
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    letters = F.regexp_replace(F.lower(name), "[^a-z]", "")
-    lowered = refill(F.lower(name), permute_letters(letters, key, "letters", reverse), "a-z")
-    return F.concat(refill(lowered, permute_long_digits(_digits(name), key, "mail", reverse), "0-9"), F.lit("@"), host)
+    plain = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+    return F.concat(refill(name, permute(plain, key, "mail", reverse)), F.lit("@"), host)
 
 
 def _ipv4(m: Column, key: str, reverse: bool) -> Column:
     octets = F.split(m, r"\.")
     number = F.aggregate(F.transform(octets, lambda o: o.cast("bigint")), _long(0), lambda s, x: s * 256 + x)
-    done = feistel(number, _long(65536), _long(65536), key, "ipv4", reverse)
+    done = cycle(number, _long(65536), _long(65536), key, "ipv4", reverse)
     return _let(done, lambda n: F.concat_ws(".", *(F.shiftright(n, k).bitwiseAND(_long(255)).cast("string") for k in (24, 16, 8, 0))))
 
 
@@ -154,16 +172,16 @@ def _phone(m: Column, key: str, reverse: bool) -> Column:
     """The country code, if one is written, stays."""
     code = F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-])|\+\d)", 1)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, refill(rest, permute_digits(_digits(rest), key, "phone", reverse), "0-9"))
+    return F.concat(code, refill(rest, permute(_digits(rest), key, "phone", reverse)))
 
 
 def _card(m: Column, key: str, reverse: bool) -> Column:
     """The first digit (the scheme) stays, the check digit is set anew."""
     d = _digits(m)
-    free = permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card", reverse)
+    free = permute(F.substring(d, F.lit(2), F.length(d) - 2), key, "card", reverse)
     body = F.concat(F.substring(d, 1, 1), free)
     check = lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string"))
-    return refill(m, _let(body, check), "0-9")
+    return refill(m, _let(body, check))
 
 
 def _valid_ssn(d: Column) -> Column:
@@ -171,43 +189,76 @@ def _valid_ssn(d: Column) -> Column:
 
 
 def _ssn(m: Column, key: str, reverse: bool) -> Column:
-    done = _walk(_digits(m), lambda d: permute_digits(d, key, "ssn", reverse), _valid_ssn)
-    return refill(m, done, "0-9")
+    """Areas 001 to 899 without 666, groups from 01, serials from 0001, counted without gaps."""
+    part = lambda a, n: F.substring(m, a, n).cast("bigint")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    done = cycle((area * 99 + part(5, 2) - 1) * 9999 + part(8, 4) - 1, _long(898), _long(99 * 9999), key, "ssn", reverse)
+
+    def write(n: Column) -> Column:
+        area = F.call_function("div", n, _long(99 * 9999)) + 1
+        whole = (area + F.when(area >= 666, 1).otherwise(0), F.pmod(F.call_function("div", n, _long(9999)), F.lit(99)) + 1, F.pmod(n, F.lit(9999)) + 1)
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), k, "0") for x, k in zip(whole, (3, 2, 4), strict=True)))
 
+    return _let(done, write)
 
-#: (pattern of the written form, date format); a slashed date is month first if that is a date.
-DATE_FORMS = ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{2}\.\d{2}\.\d{4}$", "dd.MM.yyyy"), (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"), (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"))
 
+DATE = r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}[./]\d{1,2}[./]\d{4}$"
 
-def _day(m: Column, form: str, pattern: str) -> Column:
-    """Days after FIRST_DAY, or null if it is no date of the two centuries in this form."""
-    day = F.date_diff(F.to_date(F.try_to_timestamp(m, F.lit(form))), F.to_date(F.lit(FIRST_DAY))).cast("bigint")
-    return F.when(m.rlike(pattern) & (day >= 0) & (day < DAYS), day)
+
+def _days(year: Column, month: Column) -> Column:
+    """Days of a month, for any year and a month of 1 to 12."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
+def _read_date(m: Column) -> Column:
+    """struct<y, m, d, order> of a date of the two centuries, else null; a slashed date is month first if it can be."""
+    parts = F.split(m, "[-./]")
+    number = lambda i: F.get(parts, F.lit(i)).cast("int")
+
+    def of(y: Column, mo: Column, d: Column, order: str) -> Column:
+        good = y.between(FIRST_YEAR, FIRST_YEAR + YEARS - 1) & mo.between(1, 12) & d.between(1, _days(y, mo))
+        return F.when(good, F.struct(y.alias("y"), mo.alias("m"), d.alias("d"), F.lit(order).alias("order")))
+
+    slashed = F.coalesce(of(number(2), number(0), number(1), "mdy"), of(number(2), number(1), number(0), "dmy"))
+    return F.when(m.contains("-"), of(number(0), number(1), number(2), "ymd")).when(m.contains("/") & ~m.contains("."), slashed).when(~m.contains("/"), of(number(2), number(1), number(0), "dmy"))
 
 
 def _date(m: Column, key: str, reverse: bool) -> Column:
-    out = m
-    for pattern, form in reversed(DATE_FORMS):
-        day = _day(m, form, pattern)
-        # one permutation of the days for every form, so that a date stays linked however it is written
-        inside = lambda n: n < DAYS
-        done = _walk(day, lambda n: feistel(n, _long(512), _long(256), key, "date", reverse), inside)
-        out = F.when(day.isNotNull(), F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), done.cast("int")), form)).otherwise(out)
-    return out
+    """Permuted among the dates whose month and day are written as wide and read in the same order: months to 9
+    and from 10, days to 9, to 12 and from 13. So a date stays linked however it is written."""
+
+    def of(s: Column) -> Column:
+        m0, months = F.when(s.m < 10, 1).otherwise(10), F.when(s.m < 10, 9).otherwise(3)
+        d0, days = F.when(s.d < 10, 1).when(s.d < 13, 10).otherwise(13), F.when(s.d < 10, 9).when(s.d < 13, 3).otherwise(19)
+        tweak = F.concat_ws(".", F.lit("date"), m0.cast("string"), d0.cast("string"))
+        x = (((s.y - FIRST_YEAR) * months + s.m - m0) * days + s.d - d0).cast("bigint")
+        row = lambda n: F.call_function("div", n, _long(days)).cast("int")
+        year = lambda n: F.call_function("div", row(n), months).cast("int") + FIRST_YEAR
+        month = lambda n: row(n) % months + m0
+        day = lambda n: F.pmod(n, _long(days)).cast("int") + d0
+        # a walk along one cycle comes out inside, one to one, and not where it began
+        go = lambda n: _let(cycle(n, _long(YEARS * months), _long(days), key, tweak, reverse), lambda n: F.struct(n.alias("n"), (day(n) <= _days(year(n), month(n))).alias("done")))
+        n = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(x.alias("n"), F.lit(False).alias("done")), lambda w, _: F.when(w.done, w).otherwise(go(w.n)), lambda w: w.n)
+        # as wide as it was written
+        parts = F.split(m, "[-./]")
+        wide = lambda v, i: F.lpad(v.cast("string"), F.length(F.get(parts, F.lit(i))), F.lit("0"))
+        sign = lambda i: F.substring(m, F.length(F.get(parts, F.lit(0))) + 1 + (0 if i == 1 else F.length(F.get(parts, F.lit(1))) + 1), F.lit(1))
+        join = lambda a, b, c: F.concat(wide(a, 0), sign(1), wide(b, 1), sign(2), wide(c, 2))
+        return _let(n, lambda n: F.when(s.order == "ymd", join(year(n), month(n), day(n))).when(s.order == "mdy", join(month(n), day(n), year(n))).otherwise(join(day(n), month(n), year(n))))
+
+    return _let(_read_date(m), of)
 
 
 def kind_of(m: Column) -> Column:
     """The kind of a candidate, or null if it is not valid."""
     d = _digits(m)
     n = F.length(d)
-    dated = F.lit(False)
-    for pattern, form in DATE_FORMS:
-        dated = dated | _day(m, form, pattern).isNotNull()
     octets = ~F.exists(F.split(m, r"\."), lambda o: F.try_to_number(o, F.lit("999")) > 255)
     return (
-        F.when(m.contains("@"), "email")
-        .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets, "ipv4"))
-        .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}[./]\d{1,2}[./]\d{4}$"), F.when(dated, "date"))
+        F.when(m.contains("@"), F.when(m.rlike("[A-Za-z0-9].*@"), "email"))
+        .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets & ~m.rlike(r"(^|\.)0\d"), "ipv4"))
+        .when(m.rlike(DATE), F.when(_read_date(m).isNotNull(), "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(_valid_ssn(d), "ssn"))
         .when(m.rlike(r"^\+|^\(|^\d{3}[.-]\d{3}[.-]\d{4}$"), F.when(n.between(8, 15), "phone"))
         .when(n.between(13, 19), F.when(luhn_sum(d) % 10 == 0, "card"))
@@ -228,8 +279,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str, reverse:
 
     Null texts stay null, with no kinds; empty ones stay empty. What is no valid value stays as it is, and so
     does all other text. Rows are kept, repeated ones too; very long texts are read whole; an empty table gives
-    no rows; a column named pii_kinds is replaced. `reverse` gives the values back: mail names in lower case,
-    dates perhaps with leading zeros, slashed dates as they read month first where they can."""
+    no rows; a column named pii_kinds is replaced. A mail name without a letter or digit, an IPv4 octet
+    with a leading zero and a date of other centuries are no valid values. `reverse` gives the text back."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() == "pii_kinds" and c != text_col))
     found = fresh([*docs.columns, "pii_kinds"], "_found")
     text = F.col(text_col)
