@@ -142,6 +142,66 @@ def test_elements_left_out_end_with_their_parent():
         assert html_extract.apply(html_extract.infer([page]), page) == text, page
 
 
+def test_wrapper_decides_without_an_article():
+    """Template text without any telling name is found by what the pages of a host repeat."""
+    page = lambda i: f"<body><div class='x'><div class='y'>Daily News</div><div class='z'>All rights kept</div></div><div class='c'><h1>Title {i}</h1><p>Same lead.</p><p>Text {i}</p></div>{'<div class=v>Only some</div>' if i % 2 else ''}</body>"
+    pages = [page(i) for i in range(8)]
+    w = html_extract.infer(pages)
+    for i, p in enumerate(pages):
+        assert html_extract.apply(w, p) == f"Title {i}\nSame lead.\nText {i}"
+        assert html_extract.apply({}, p) == ""  # nothing without a wrapper
+    few = html_extract.infer(pages[:3] * 9)  # three different pages prove no template
+    assert html_extract.apply(few, pages[0]).startswith("Daily News\nAll rights kept\nTitle 0")
+    unseen = page(99).replace("<p>Text 99</p>", "<p>Text 99</p><blockquote>New</blockquote><nav>Menu</nav>")
+    assert html_extract.apply(w, unseen) == "Title 99\nSame lead.\nText 99\nNew"
+
+
+def test_templates_of_one_host_do_not_hide_each_other():
+    article = [f"<body><div>Site</div><article><h1>A{i}</h1><p>x{i}</article></body>" for i in range(20)]
+    plain = [f"<body><div>Site</div><h1>B{i}</h1><div class=body><p>lead {i}<p>second {i}</div><div class=more><p>part two {i}</div></body>" for i in range(6)]
+    main = [f"<body><div>Site</div><div role=main><h2>C{i}</h2>text {i}</div></body>" for i in range(2)]
+    w = html_extract.infer(article + plain + main)
+    assert html_extract.apply(w, article[3]) == "A3\nx3"
+    assert html_extract.apply(w, plain[4]) == "B4\nlead 4\nsecond 4\npart two 4"
+    assert html_extract.apply(w, main[1]) == "C1\ntext 1"
+
+
+def test_merged_wrappers_do_not_depend_on_the_order():
+    import itertools
+    import random
+
+    r = random.Random(3)
+    kinds = ["<p>{}</p>", "<ul><li>{}</ul>", "<div class=a>same</div>", "<h2>{}</h2>", "<div class=b><p>{}</div>", "{}<hr>"]
+    pages = ["<body>" + "".join(r.choice(kinds).format(r.randint(0, 3)) for _ in range(r.randint(1, 7))) for _ in range(6)]
+
+    def unordered(node):
+        return tuple(map(str, node)) if len(node) == 4 else (node[0], node[1], tuple(sorted((k, unordered(x)) for k, x in node[2].items())))
+
+    results = {unordered(html_extract.unmarked(list(order))[""]) for order in itertools.permutations(pages)}
+    assert len(results) == 1
+    a = {k: [0, 0, {}] for k in "abcdef"}
+    b = {k: [0, 0, {}] for k in "xabdcfy"}
+    out = html_extract.align(a, b)
+    assert list(out) == ["x", *[k for k in out if k in "abcdef"], "y"] and set(out) == set("abcdefxy")
+    assert [k for k in out if out[k][0]] == [k for k in out if k in "exy"]
+
+
+def test_very_deep_wide_and_odd_pages():
+    deep = "<article>" + "<div>" * 100_000 + "core" + "</div>" * 100_000 + "<p>after</p></article><footer>f</footer>"
+    assert html_extract.apply(html_extract.infer([deep]), deep) == "core\nafter"
+    svgs = "<article>a" + "<svg>x" * 50_000 + "</svg>" * 50_000 + "b</article>"
+    assert html_extract.apply(html_extract.infer([svgs]), svgs) == "ab"
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    wide = "<article>" + "".join(f"<div class='{letters(i)}'>t{i}</div><h2>h</h2>" for i in range(25_000)) + "</article>"
+    w = html_extract.infer([wide])
+    assert html_extract.apply(w, wide) == "\n".join(f"t{i}\nh" for i in range(25_000))
+    assert html_extract.places_of(html_extract.unmarked([wide])["article"]) < 100
+    other = wide.replace("t7<", "new<")
+    assert html_extract.apply(w, other).split("\n")[14] == "new"
+    for odd in ("", "<", "<article", "</p></p>", "<p" * 999, "<article><p>x</article></article>", "<!-- <article>x"):
+        html_extract.apply(html_extract.infer([odd]), odd)
+
+
 def test_extraction_of_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in extract(pages).collect():

@@ -1,12 +1,17 @@
-"""Main-text extraction by wrappers: union-free regular expressions inferred from pages of one host.
+"""Main-text extraction by wrappers: union-free regular expressions inferred from the pages of one host.
 
-For each host a bounded, hash-chosen sample of pages is aligned one after the other. A page's token stream is
-read as elements (block tags; inline tags melt into text). Where wrapper and page disagree, equal neighbours
-become a repeated group, an element that one side lacks becomes optional, and a text that differs becomes a
-slot, so the wrapper stays free of unions. What a wrapper's groups hold decides which of them are the article:
-a group under a menu, footer, advert or the like never is; an article element is if there is one, else the
-innermost group that holds most of the slots' text. Each page is then laid over its host's wrapper and gives
-the text of the groups so marked; what a sample has not shown is judged like its nearest known parent.
+A page's token stream is read as elements (block tags; inline tags melt into text). The wrapper of a host is a
+sequence of places at each level, every kind of element once: where the pages disagree, what recurs becomes one
+repeated group, what a page lacks becomes optional, and a text that differs becomes a slot, so the wrapper stays
+free of unions. Two wrappers are aligned along their longest common sequence of places, which is the longest rising
+run of positions since a kind has one place; what else both hold is one place all the same, so the merge of
+counts, flags and texts depends on no order, and every page shapes the wrapper: each task merges its own pages,
+hosts then merge what tasks found, in two steps. Pages with an article element, with a main element and with neither
+are templates of their own.
+
+Each page is then matched against its host's wrapper, and the text of the places that belong to the article comes
+out: what the article or main element holds, else the slots; text that SUPPORT different pages repeat alike is
+template. A group under a menu, footer, advert or the like never belongs to it.
 
 Wrappers are one row a host. They are broadcast only if their measured size is small; else pages and wrappers
 meet in a join whose key is salted, so that a host with a third of the pages spreads over many tasks.
@@ -17,22 +22,29 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import cut, fresh
 from .url_filter import host_of
 
-#: Bound of the fit: pages a host that shape its wrapper. Wrappers of more bytes in all are not broadcast.
-PAGES_PER_HOST, BROADCAST_BYTES, SALTS = 12, 16 << 20, 64
-#: An element that holds this share of the slots' text is the article where no element says so.
-SHARE = 0.6
+#: Wrappers of more bytes in all are not broadcast.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
+#: Different pages that must repeat a text before it counts as template.
+SUPPORT = 4
+#: Elements nested deeper are read as blocks of the element at this depth; kinds of one tag beyond this number in one
+#: place are one place, so that names of their own for every page do not swell a wrapper.
+MAX_DEPTH, MAX_KINDS = 128, 200
+#: Places that a task holds before it passes its wrappers on.
+HELD_PLACES = 200_000
 
 #: HTML's block elements, those whose content is raw, those left out with their content, those that close an open one of their kind,
 #: and the elements, roles and class words that mark what is not the article.
@@ -78,6 +90,7 @@ def read(page: str) -> Element:
     root = Element("", "")
     stack, at, text = [root], 0, []
     dropped: list[tuple[int, list[str]]] = []  # depth of an open element that is left out, and the text before it
+    deep: dict[str, int] = {}  # open elements below MAX_DEPTH
 
     def flush() -> None:
         joined = "".join(text)
@@ -86,12 +99,12 @@ def read(page: str) -> Element:
             stack[-1].children.append(joined)
 
     def close(tags: set[str], scope: set[str]) -> None:
+        nonlocal text
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 while dropped and dropped[-1][0] >= i:
-                    depth, before = dropped.pop()
+                    depth, text = dropped.pop()
                     del stack[depth:]
-                    text[:] = before
                     if depth > i:
                         flush()
                 del stack[i:]
@@ -105,18 +118,25 @@ def read(page: str) -> Element:
         tag = (m[3] or "").lower()
         if tag == "br":
             text.append("\n")
+        if tag not in BLOCKS and tag not in DROPPED:
+            continue
+        if m[2] and deep.get(tag):
+            deep[tag] -= 1
+            flush()
+            continue
         if tag in DROPPED:
             if m[2]:
                 if any(stack[depth].tag == tag for depth, _ in dropped):
                     flush()
                     close({tag}, set())
             elif not (tag == "svg" and m[4].endswith("/")):
-                dropped.append((len(stack), text[:]))
-                text.clear()
+                if len(stack) > 2 * MAX_DEPTH:  # inside another one that is left out
+                    deep[tag] = deep.get(tag, 0) + 1
+                    continue
+                dropped.append((len(stack), text))
+                text = []
                 stack.append(Element(tag, ""))
             continue
-        if tag not in BLOCKS:
-            continue
         flush()
         if m[2]:
             close({tag}, {"td", "th", "table"} - {tag} if tag not in {"table", "body", "html", "article", "main", "section", "div"} else set())
@@ -126,6 +146,9 @@ def read(page: str) -> Element:
             close(CLOSES[tag], SCOPES.get(tag, set()))
             if tag == "tr":
                 close({"tr"}, {"table"})
+        if len(stack) > MAX_DEPTH and tag not in VOID:
+            deep[tag] = deep.get(tag, 0) + 1
+            continue
         element = Element(tag, _names(m[4]) if m[4] else "")
         stack[-1].children.append(element)
         if tag not in VOID:
@@ -133,197 +156,225 @@ def read(page: str) -> Element:
     text.append(page[at:])
     flush()
     while dropped:
-        depth, before = dropped.pop()
+        depth, text = dropped.pop()
         del stack[depth:]
-        text[:] = before
         flush()
     return root
 
 
-# A wrapper node is a list: [kind, optional, repeated, text, children]; kind "#" is a text place, whose text is
-# the constant or None for a slot; for a slot `repeated` holds the mean number of characters seen.
-def _leaf(text: str) -> list:
-    t = _SPACE.sub(" ", text).strip()
-    return ["#", 0, len(t), t, []]
+def outside(kind: str) -> bool:
+    tag, _, names = kind.partition(" ")
+    if tag in OUTSIDE:
+        return True
+    if tag in {"", "html", "body", "article", "main"}:
+        return False
+    words = names.split()
+    return any(w[1:] in OUTSIDE_ROLES for w in words if w[0] == "@") or any(p in OUTSIDE_WORDS for w in words if w[0] != "@" for p in re.split(r"[-_:]+", w))
+
+
+def _is(kind: str, template: str) -> bool:
+    return kind.split(" ")[0] == template or (template == "main" and "@main" in kind.split(" "))
+
 
+def template_of(root: Element) -> str:
+    """article or main if the page has such an element outside menus and the like, else the empty name."""
+    found, todo = "", [root]
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, str) and not outside(c.kind):
+                if _is(c.kind, "article"):
+                    return "article"
+                if _is(c.kind, "main"):
+                    found = "main"
+                todo.append(c)
+    return found
 
-def fold(element: Element) -> list:
-    """The wrapper of one page: neighbours of one kind are merged into a repeated group."""
-    children: list[list] = []
+
+# A wrapper's place is a list: [optional, repeated, places by kind in order], and a text place (kind "#")
+# [optional, repeated, the text that all pages repeat or None for a slot, hashes of SUPPORT pages with it].
+def fold(element: Element, page_hash: int) -> list:
+    """The wrapper of one page: siblings of one kind are one repeated place."""
+    places: dict[str, list] = {}
     for c in element.children:
-        node = _leaf(c) if isinstance(c, str) else fold(c)
-        if children and children[-1][0] == node[0]:
-            merged = merge(children[-1], node)
-            if node[0] != "#":
-                merged[2] = 1
-            children[-1] = merged
+        if isinstance(c, str):
+            kind, one = "#", [0, 0, _SPACE.sub(" ", c).strip(), [page_hash]]
+        else:
+            kind, one = c.kind, fold(c, page_hash)
+        if kind in places:
+            merge(places[kind], one)
+            places[kind][1] = 1
         else:
-            children.append(node)
-    return [element.kind, 0, 0, None, children]
+            places[kind] = one
+    return _collapsed([0, 0, places])
 
 
 def merge(a: list, b: list) -> list:
-    """Align two wrappers of one kind."""
-    if a[0] == "#":
-        same = a[3] is not None and a[3] == b[3]
-        return ["#", a[1] | b[1], (a[2] + b[2]) / 2, a[3] if same else None, []]
-    return [a[0], a[1] | b[1], a[2] | b[2], None, align(a[4], b[4])]
-
-
-def align(a: list[list], b: list[list]) -> list[list]:
-    """Longest common subsequence of the kinds; what one side lacks becomes optional, and neighbours of one
-    kind that this brings together become one repeated group."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-
-    def put(node: list, optional: bool) -> None:
-        node = [node[0], 1 if optional else node[1], *node[2:]]
-        if out and out[-1][0] == node[0]:
-            both = merge(out[-1], node)
-            both[1] = out[-1][1] & node[1]
-            if node[0] != "#":
-                both[2] = 1
-            out[-1] = both
-        else:
-            out.append(node)
-
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            put(merge(a[i], b[j]), False)
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            put(a[i], True)
-            i += 1
-        else:
-            put(b[j], True)
-            j += 1
-    return _repeat(out)
-
-
-def _repeat(nodes: list[list]) -> list[list]:
-    """A run of optional nodes that goes over the same kinds again and again becomes one node of each kind.
-
-    The places stay free of order among themselves, which keeps a wrapper as small as a page's kinds."""
-    out, at = [], {}
-    for x in nodes:
-        if x[0] in at and x[1]:
-            i = at[x[0]]
-            out[i] = merge(out[i], x)
-            if x[0] != "#":
-                out[i][2] = 1
+    """Align b with a, in place."""
+    a[0], a[1] = a[0] | b[0], a[1] | b[1]
+    if len(a) == 4:
+        same = a[2] is not None and a[2] == b[2]
+        a[2], a[3] = (a[2], sorted({*a[3], *b[3]})[:SUPPORT]) if same else (None, [])
+    else:
+        a[2] = align(a[2], b[2])
+        _collapsed(a)
+    return a
+
+
+def align(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
+    """The places of both in one order that keeps their longest common sequence; what one lacks is optional."""
+    for kind, x in a.items():
+        if kind in b:
+            merge(x, b[kind])
         else:
-            at[x[0]] = len(out)
-            out.append(x)
+            x[0] = 1
+    if list(a) == list(b):
+        return a
+    at = {kind: i for i, kind in enumerate(a)}
+    common = [kind for kind in b if kind in at]
+    tails: list[int] = []  # the longest rising run of a's positions
+    ends: list[str] = []
+    before: dict[str, str | None] = {}
+    for kind in common:
+        i = bisect_left(tails, at[kind])
+        before[kind] = ends[i - 1] if i else None
+        tails[i : i + 1], ends[i : i + 1] = [at[kind]], [kind]
+    run, kind = set(), ends[-1] if ends else None
+    while kind is not None:
+        run.add(kind)
+        kind = before[kind]
+    out, new = {}, []
+    rest = iter(a.items())
+    for kind, x in b.items():
+        if kind in run:  # what a holds up to this place comes first, then what b alone holds
+            for other, y in rest:
+                if other == kind:
+                    break
+                out[other] = y
+            out.update(new)
+            new = []
+            out[kind] = a[kind]
+        elif kind not in at:
+            new.append((kind, [1, *x[1:]]))
+    out.update(rest)
+    out.update(new)
     return out
 
 
-def outside(kind: str) -> bool:
-    tag, _, names = kind.partition(" ")
-    if tag in OUTSIDE:
-        return True
-    if tag in {"", "html", "body", "article", "main"}:
-        return False
-    words = names.split()
-    return any(w[1:] in OUTSIDE_ROLES for w in words if w[0] == "@") or any(p in OUTSIDE_WORDS for w in words if w[0] != "@" for p in re.split(r"[-_:]+", w))
+def _collapsed(node: list) -> list:
+    """More than MAX_KINDS kinds of one tag, none of them known as outside, become one repeated place."""
+    if len(node[2]) > MAX_KINDS:
+        tags: dict[str, list[str]] = {}
+        for kind in node[2]:
+            if kind != "#" and not outside(kind):
+                tags.setdefault(kind.split(" ")[0], []).append(kind)
+        for tag, kinds in tags.items():
+            if len(kinds) > MAX_KINDS:
+                whole = node[2].get(f"{tag} *") or [1, 1, {}]
+                for kind in kinds:
+                    if kind != f"{tag} *":
+                        merge(whole, node[2].pop(kind))
+                whole[:2] = [1, 1]
+                node[2][f"{tag} *"] = whole
+    return node
+
 
+def places_of(node: list) -> int:
+    return 1 if len(node) == 4 else 1 + sum(map(places_of, node[2].values()))
 
-def _slot_text(node: list) -> float:
-    """Characters in the slots below, as far as they may be of the article; constants count little."""
-    if node[0] == "#":
-        return node[2] if node[3] is None else node[2] / 100
-    return 0.0 if outside(node[0]) else (3 if node[2] else 1) * sum(_slot_text(c) for c in node[4])
-
-
-def _find(node: list, tags: set[str], path: tuple) -> Iterator[tuple]:
-    if node[0] == "#" or outside(node[0]):
-        return
-    words = node[0].split()
-    if words and (words[0] in tags or ("main" in tags and "@main" in words)):
-        yield path
-        return
-    for i, c in enumerate(node[4]):
-        yield from _find(c, tags, (*path, i))
-
-
-def mark(wrapper: list) -> list:
-    """[kind, inside, children] for each element: whether its own text is of the article."""
-    roots = set(_find(wrapper, {"article"}, ())) or set(_find(wrapper, {"main"}, ()))
-    if not roots:
-        path, node = (), wrapper
-        while True:
-            whole = _slot_text(node)
-            parts = [(_slot_text(c), i) for i, c in enumerate(node[4]) if c[0] != "#" and c[0].split()[:1] != ["p"]]
-            if not parts or max(parts)[0] < SHARE * whole or not whole:
-                break
-            i = max(parts)[1]
-            path, node = (*path, i), node[4][i]
-        roots = {path}
-
-    def walk(node: list, path: tuple, inside: bool) -> list:
-        inside = (inside or path in roots) and not outside(node[0])
-        return [node[0], int(inside), [walk(c, (*path, i), inside) for i, c in enumerate(node[4]) if c[0] != "#"]]
-
-    return walk(wrapper, (), False)
-
-
-def infer(pages: list[str]) -> list:
-    """The marked wrapper of some pages of one host."""
-    wrapper = None
+
+def mark(wrapper: list, template: str) -> list:
+    """[inside, its text counts, places by kind]: which places belong to the article. Without an article or main
+    element those are all that is not outside, but for the text that SUPPORT pages repeat."""
+
+    def walk(kind: str, node: list, inside: bool) -> list:
+        inside = (inside or bool(template and _is(kind, template))) and not outside(kind)
+        text = node[2].get("#")
+        constant = not template and text is not None and text[2] is not None and len(text[3]) >= SUPPORT
+        below = {} if outside(kind) else {k: walk(k, x, inside) for k, x in node[2].items() if k != "#"}
+        return [int(inside), int(inside and not constant), below]
+
+    return walk("", wrapper, not template)
+
+
+def infer(pages: list[str]) -> dict[str, list]:
+    """The marked wrappers of some pages of one host, by template."""
+    return {t: mark(w, t) for t, w in unmarked(pages).items()}
+
+
+def unmarked(pages: list[str], known: dict[str, list] | None = None) -> dict[str, list]:
+    found = {} if known is None else known
     for page in pages:
-        one = fold(read(page))
-        wrapper = one if wrapper is None else merge(wrapper, one)
-    return mark(wrapper or ["", 0, 0, None, []])
+        root = read(page)
+        template, one = template_of(root), fold(root, zlib.crc32(page.encode("utf-8", "replace")))
+        found[template] = merge(found[template], one) if template in found else one
+    return found
 
 
-def apply(wrapper: list, page: str) -> str:
-    """The text that the page's tokens give to the wrapper's article groups."""
+def apply(wrappers: dict[str, list], page: str) -> str:
+    """Match a page with its template's wrapper: the text at the places that belong to the article."""
+    root = read(page)
+    wrapper = wrappers.get(template_of(root))
     blocks: list[str] = []
 
-    def walk(element: Element, node: list | None, inside: bool) -> None:
-        places = {c[0]: c for c in node[2]} if node else {}
+    def walk(element: Element, inside: int, text: int, places: dict[str, list]) -> None:
         for c in element.children:
             if isinstance(c, str):
-                if inside and (t := _SPACE.sub(" ", entities.unescape(c)).strip()):
+                if text and (t := _SPACE.sub(" ", entities.unescape(c)).strip()):
                     blocks.append(t)
-                continue
-            place = places.get(c.kind)
-            if place is not None:
-                walk(c, place, bool(place[1]))
-            elif not outside(c.kind):
-                walk(c, None, inside or c.tag == "article")
-
-    walk(read(page), wrapper, bool(wrapper[1]))
+            elif place := places.get(c.kind) or (places.get(f"{c.tag} *") if not outside(c.kind) else None):
+                walk(c, *place)
+            elif not outside(c.kind):  # no page of the fit had it: as its parent
+                walk(c, inside, inside, {})
+
+    if wrapper:
+        walk(root, *wrapper)
     return "\n".join(blocks)
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """(host, wrapper): JSON of the marked wrapper of each host, from its `pages_per_host` pages of least hash."""
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper): JSON of the marked wrappers of each host. Every page shapes them, copies of it not twice."""
     rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("page"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page"), "page")
-    few = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pages_per_host)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(infer(list(group["page"])), separators=(",", ":"))]})
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, list]] = {}
+        salt = TaskContext.get().partitionId() % SALTS
 
-    return few.groupBy("host").applyInPandas(fit, "host string, wrapper string")
+        def passed() -> pa.RecordBatch:
+            out = [(h, json.dumps(w, separators=(",", ":"))) for h, w in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([salt] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.string())], names=["host", "salt", "wrapper"])
 
-
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, pages_per_host: int = PAGES_PER_HOST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                unmarked([page.as_py()], held.setdefault(host, {}))
+            if sum(places_of(w) for x in held.values() for w in x.values()) > HELD_PLACES:
+                yield passed()
+        if held:
+            yield passed()
+
+    def meet(group: pd.DataFrame, last: bool) -> pd.DataFrame:
+        whole: dict[str, list] = {}
+        for text in group["wrapper"]:
+            for template, w in json.loads(text).items():
+                whole[template] = merge(whole[template], w) if template in whole else w
+        if last:
+            whole = {t: mark(w, t) for t, w in whole.items()}
+        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
+
+    found = rows.mapInArrow(own, "host string, salt int, wrapper string")
+    found = found.groupBy("host", "salt").applyInPandas(lambda g: meet(g, False), "host string, wrapper string")
+    return found.groupBy("host").applyInPandas(lambda g: meet(g, True), "host string, wrapper string")
+
+
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`pages` with main_text at the end: the article's blocks in page order, joined by a line feed.
 
     Character references are decoded, white space inside a block is one space, blocks are trimmed. Null and
     empty pages, and those without an article, give the empty text. Pages without a host share the wrapper of
-    the empty host. Repeated rows give repeated rows, very long pages are read whole, an empty table gives no
-    rows. A column that bears the new name is replaced."""
+    the empty host. Repeated rows give repeated rows, very long and very deep pages are read whole, an empty table
+    gives no rows. A column that bears the new name is replaced."""
     pages = pages.drop(*(c for c in pages.columns if c.lower() == "main_text" and c not in (url_col, html_col)))
-    found = cut(wrappers(pages, url_col, html_col, pages_per_host=pages_per_host))
+    found = cut(wrappers(pages, url_col, html_col))
     host, salt, wrapper, text = (fresh([*pages.columns, "main_text"], f"_{x}") for x in ("host", "salt", "wrapper", "html"))
     rows = pages.withColumn(host, F.coalesce(host_of(F.col(url_col)), F.lit("")))
     found = found.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper))
@@ -338,11 +389,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, p
     width = len(pages.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[str, dict[str, list]] = {}
         for batch in batches:
             out = []
             for w, page in zip(batch.column(width), batch.column(width + 1), strict=True):
-                w = w.as_py() or '["",0,[]]'
+                w = w.as_py() or "{}"
                 if w not in known:
                     if len(known) > 1000:
                         known.clear()
