@@ -198,6 +198,8 @@ def test_very_deep_wide_and_odd_pages():
     assert html_extract.places_of(html_extract.unmarked([wide])["article"]) < 100
     other = wide.replace("t7<", "new<")
     assert html_extract.apply(w, other).split("\n")[14] == "new"
+    for odd in ("<p" * 50_000, "<p " * 50_000, "<div a='" * 50_001, "<!" * 50_000, "<a b=\"" + "<p>x" * 50_000, "<script>" * 9_000):
+        html_extract.apply(html_extract.infer([odd]), odd)  # in linear time
     for odd in ("", "<", "<article", "</p></p>", "<p" * 999, "<article><p>x</article></article>", "<!-- <article>x"):
         html_extract.apply(html_extract.infer([odd]), odd)
 

@@ -58,7 +58,9 @@ OUTSIDE = {"aside", "dialog", "footer", "form", "head", "header", "menu", "nav"}
 OUTSIDE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
 OUTSIDE_WORDS = set("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>", re.S | re.I)
+#: A tag ends at its first > outside quotes; one that another < interrupts is text, which keeps the scan linear.
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^\"'<>])*+>"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<({RAW})\b{_REST}.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)({_REST[:-1]})>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
