@@ -27,7 +27,7 @@ SLICE_BITS = 1 << 16
 BITS_PER_ROW = 16
 MAX_FILTER_BYTES = 64 << 20
 HOT_SHARE = 4096
-#: In-slice bit positions come from these shifts of the hash; the slice comes from its mixed top bits.
+#: In-slice bit positions come from these shifts of the hash; the slice comes from the 16 bits above them.
 SHIFTS = (0, 16, 32)
 
 
@@ -38,7 +38,7 @@ def filter_slices(rows: int, bits_per_row: int = BITS_PER_ROW, max_filter_bytes:
 
 
 def _slice_of(h: str, slices: int) -> str:
-    return f"cast(shiftrightunsigned({h}, 44) & {slices - 1} as int)"
+    return f"cast(shiftrightunsigned({h}, 48) & {slices - 1} as int)"
 
 
 def repeated_filter(hashes: DataFrame, slices: int, workers: int) -> DataFrame:
@@ -50,7 +50,7 @@ def repeated_filter(hashes: DataFrame, slices: int, workers: int) -> DataFrame:
         again = np.zeros(slices * words, dtype=np.uint64)
 
         def cells(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            base = ((h >> np.uint64(44)) & np.uint64(slices - 1)) * np.uint64(words)
+            base = ((h >> np.uint64(48)) & np.uint64(slices - 1)) * np.uint64(words)
             at = [(h >> np.uint64(s)) & np.uint64(SLICE_BITS - 1) for s in SHIFTS]
             return [((base + (p >> np.uint64(6))).astype(np.int64), np.uint64(1) << (p & np.uint64(63))) for p in at]
 
