@@ -61,6 +61,55 @@ def test_kneser_ney_is_a_distribution():
     assert total + rest == pytest.approx(1.0, abs=1e-4)
 
 
+def test_kneser_ney_equals_plain_python():
+    """Two languages of unlike size against the textbook recursion over dictionaries."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    order, texts = 3, {"a": "the cat sat on the mat and the dog sat on the cat", "b": "la casa"}
+    pad = lambda t: "\0" * (order - 1) + "".join(c if c.isalpha() else "\0" for c in t) + "\0"
+    rows = [(x, g, n) for x, t in texts.items() for g, n in Counter(pad(t)[i : i + order] for i in range(len(t) + 1)).items()]
+    model = langid._model(pa.table({"lang": [r[0] for r in rows], "gram": [r[1] for r in rows], "n": [r[2] for r in rows]}), order)
+
+    def logp(lang, context, char):
+        levels = [Counter({g: n for x, g, n in rows if x == lang})]
+        for _ in range(order - 1):
+            levels.append(Counter(g[1:] for g in levels[-1]))  # distinct left extensions
+        p = 1 / langid.CODE_POINTS
+        for n in range(1, order + 1):
+            counts = levels[order - n]
+            once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+            d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+            h = context[len(context) - n + 1 :]
+            seen = {g: c for g, c in counts.items() if g[:-1] == h}
+            if seen:
+                total = sum(seen.values())
+                p = max(seen.get(h + char, 0) - d, 0) / total + d * len(seen) / total * p
+        return math.log(p)
+
+    for text in ("the cat", "casa la zoo", "dog"):
+        entropy, n = model.cross_entropies([text])
+        s = pad(text)
+        for j, lang in enumerate(model.languages):
+            expected = -sum(logp(lang, s[i - 2 : i], s[i]) for i in range(2, len(s))) / n[0]
+            assert entropy[0, j] == pytest.approx(expected, rel=1e-4)
+
+
+def test_url_filter_on_hosts_that_no_label_has(spark):
+    """Hosts are split by hash: the trees learn the form of a URL, not its host."""
+    from tidemark.llm.queries import weak_url_labels
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    side = F.pmod(F.xxhash64(url_filter.host_of(F.col("url"))), F.lit(3)) == 0
+    model = url_filter.fit(weak_url_labels(pages.filter(~side)))
+    truth = weak_url_labels(pages.filter(side)).withColumnRenamed("label", "truth").distinct()
+    got = url_filter.judge(pages.filter(side), model, []).join(truth, "url").select("truth", (F.col("verdict") == "block").cast("int").alias("blocked")).collect()
+    assert got and sum(r.truth == r.blocked for r in got) / len(got) > 0.9
+
+
 def test_toxicity_held_out(spark):
     got = QUERIES["op2_nb_char_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out")
     r = got.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double")).alias("a"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()

@@ -135,8 +135,8 @@ def _model(counts: pa.Table, order: int) -> Model:
     floor = np.zeros(n_langs)
     for n, (points, lang, count) in enumerate(levels, 1):
         gram, context = _hash(points), _hash(points, skip=1)
-        once, twice = (count == 1).sum(), (count == 2).sum()
-        discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+        once, twice = (np.bincount(lang[count == k], minlength=n_langs) for k in (1, 2))
+        discount = np.where(once > 0, np.clip(once / np.maximum(once + 2 * twice, 1), 0.05, 0.95), 0.5)  # by language
         kinds, where = np.unique(context, return_inverse=True)
         total, types = np.zeros((len(kinds), n_langs)), np.zeros((len(kinds), n_langs))
         np.add.at(total, (where, lang), count)
@@ -144,7 +144,7 @@ def _model(counts: pa.Table, order: int) -> Model:
         backoff = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
         key, first, at = np.unique(gram, return_index=True, return_inverse=True)
         own = np.zeros((len(key), n_langs))
-        np.add.at(own, (at, lang), np.maximum(count - discount, 0))
+        np.add.at(own, (at, lang), np.maximum(count - discount[lang], 0))
         home = where[first]
         below = np.full((len(key), n_langs), 1 / CODE_POINTS) if lower is None else lower(points[first])
         p = own / np.maximum(total[home], 1) + backoff[home] * below
