@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: A node of more than this share of the edges, and of HUB_LEAST of them, is a hub: there are few of them.
+HUB_SHARE, HUB_LEAST = 1 / 2000, 500
+
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of the links (a, b): component is the smallest node reachable.
 
     Alternating large and small stars: each round hangs every node nearer to its component's smallest node, so
     rounds grow with the logarithm of the longest path. Only aggregates (combined before the shuffle) and equal
-    joins run; each round's edges are checkpointed. Stops when a round changes nothing."""
+    joins run; each round's edges are checkpointed. The few hubs are broadcast with their least neighbour, so
+    that no task joins all edges of one. Stops when a round changes nothing."""
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
-    before = None
+    state = lambda: edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("sum")).first()
+    before = state()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        limit = max(HUB_LEAST, int(2 * before["n"] * HUB_SHARE))  # so at most 1 / HUB_SHARE hubs
+        hubs = F.broadcast(least.filter(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+        marked = both.join(hubs, F.col("u") == F.col("hub"), "left")
+        met = marked.filter("hub is null").join(least.select("u", "m"), "u").select("u", "v", "m")
+        met = met.unionByName(marked.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # every node hangs on its least neighbour, and its other smaller neighbours do too
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        after = state()
         if after == before:
             break
         before = after
