@@ -5,14 +5,13 @@ next stage's docs. All but the last return the columns of `documents`."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
-from tidemark.llm.common import table
+from tidemark.llm.common import shared_folder, table
 from tidemark.llm.decontam import drop_contaminated
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.minhash import drop_near_duplicates
@@ -35,12 +34,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8), the smallest id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), the smallest id. Rows of
+    a null id stay; rows that repeat an id share its fate."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item (a window of weighted similarity 0.8 or more)."""
+    """Drop documents that hold a benchmark item (a window of weighted similarity 0.8 or more), row by row."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -62,11 +62,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`, each written to the shared checkpoint folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to `documents`, each written to the shared checkpoint folder and read again.
+
+    A stage's table is deleted once the next one is written; the last one is the result. Null texts go with the
+    first stage; null ids, repeated ids and repeated rows are rows like any other, but where stages say else. An
+    empty table gives no rows."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        out = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            _delete(spark, before)
+        before = out
     return docs
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
