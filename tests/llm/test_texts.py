@@ -409,3 +409,40 @@ def test_pipeline_stages(spark, messy, tmp_path):
     assert set(texts) == {r.text for r in kept["language_id"]} and {r.doc_id for r in kept["exact_dedup"] if r.text == "x"} == {9}
     assert {r.doc_id for r in kept["near_dedup"]} == {r.doc_id for r in kept["exact_dedup"]} - {11}
     assert kept["decontamination"] and {r.doc_id for r in kept["packing"]} == {r.doc_id for r in kept["decontamination"]}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over small tables of its own: each stage's decision by plain Python, with clashing columns in documents."""
+    import random
+
+    import corpus_pipeline as C
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    base, item = text(80), text(30)
+    near = base.split()
+    near[40] = "edited"
+    rows = [(1, base), (2, base), (3, " ".join(near)), (4, f"{text(20)} {item} {text(20)}"), (5, None), (6, "123 !"), (7, text(3000))] + [(20 + i, text(r.randint(6, 90))) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de", "s", len(t or ""), 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, shard int, keep_id string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = C.run(spark, str(tmp_path)).collect()
+    left = {i: t for i, t in rows if any(c.isalpha() for c in t or "")}
+    for i, t in list(left.items()):  # of equal texts the largest id stays
+        if any(t == u and j > i for j, u in left.items()):
+            del left[i]
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    alike = lambda t, u: len(shingles(t) & shingles(u)) >= 0.8 * len(shingles(t) | shingles(u)) > 0
+    left = {i: t for i, t in left.items() if not any(j < i and alike(t, u) for j, u in left.items())}
+    left = {i: t for i, t in left.items() if item not in t}
+    assert set(left) == {x.doc_id for x in out} and {3, 4, 5, 6}.isdisjoint(left)
+    encoder = Encoder(tokenizer_file())
+    got = {}
+    for p in sorted(out, key=lambda p: (p.doc_id, p.start)):
+        got[p.doc_id] = got.get(p.doc_id, b"") + p.ids
+    assert got == {i: encoder.encode(t) + bytes(4) for i, t in left.items()}
+    empty = tmp_path / "empty"
+    docs.filter("false").write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(empty / "benchmark.parquet"))
+    assert C.run(spark, str(empty)).count() == 0
