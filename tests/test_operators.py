@@ -101,3 +101,30 @@ def test_timelines_skip_corrupt_lines(spark, tmp_path):
 def test_sequence_reader(spark, tmp_path):
     (tmp_path / "s.csv").write_text("user,ts,action\n01,-5,0\n01,1969-12-31T00:00:00,1\n01,2017-03-01 00:00:00,2\n01,junk,0\n")
     assert sorted(r.ts for r in A.read_sequences(spark, str(tmp_path)).collect()) == [-5, 1488326400]
+
+
+HEAD = "user_screen_name,tweet_time,tweet_text,hashtags,urls,is_retweet,in_reply_to_tweetid,quoted_tweet_tweetid".split(",")
+
+
+def test_archives_are_read_by_header(spark, tmp_path):
+    """Further, reordered and missing columns, a quoted line break, a folder with several headers, an absent one."""
+    row = {"user_screen_name": "Abc", "tweet_time": "2017-03-01 14:05", "tweet_text": '"two\nlines, ""x"""', "hashtags": "[]", "urls": "[]", "is_retweet": "true"}
+    for name, head in {"a": ["tweetid", *HEAD, "like_count"], "b": HEAD[::-1], "c": [h for h in HEAD if h != "quoted_tweet_tweetid"], "d e": HEAD}.items():
+        (tmp_path / f"{name}.csv").write_text(",".join(head) + "\n" + ",".join(row.get(h, "") for h in head) + "\n")
+    got = A.read_archive(spark, str(tmp_path)).collect()
+    assert [(r.user, r.ts, r.action) for r in got] == [("abc", 1488377100, 2)] * 4
+    assert {r.text for r in A.read_posts(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/none.csv"], spark.createDataFrame([("abc",)], "user string")).collect()} == {'two\nlines, "x"'}
+    assert A.read_archive(spark, f"{tmp_path}/absent").count() == 0
+
+
+def test_folders_and_sequences_are_read_by_header(spark, tmp_path):
+    schema = "created_utc long, link_id string, body string"
+    for name, text in {"Ann": "body,created_utc\nhi,5\n", "bob": "created_utc,link_id,body,x\n7,l1,yo,1\nbad,l2,z,2\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "c.csv").write_text(text)
+    (tmp_path / "carl").mkdir()
+    got = A.read_folders(spark, f"{tmp_path}/*/c.csv", schema).collect()
+    assert sorted((r.user, r.created_utc or 0, r.link_id or "", r.body) for r in got) == [("ann", 5, "", "hi"), ("bob", 0, "l2", "z"), ("bob", 7, "l1", "yo")]
+    assert A.read_folders(spark, f"{tmp_path}/*/none.csv", schema).count() == 0
+    (tmp_path / "s.csv").write_text("action,extra,user,ts\n1,x,007,1488377100\n2,x,007,2017-03-01T14:05:00\n")
+    assert sorted((r.user, r.ts, r.action) for r in A.read_sequences(spark, f"{tmp_path}/s.csv").collect()) == [("007", 1488377100, 1), ("007", 1488377100, 2)]
