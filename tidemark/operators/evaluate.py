@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .ranks import cumulative, midranks
+from .ranks import cumulative, midranks, numbered
 from .sampling import draw
 
 
@@ -24,7 +23,7 @@ def bootstrap_weights(accounts: DataFrame, key: str, label: str, draws: int, see
 
     Accounts of a label are numbered, and each slot of a draw picks a number by hash: draws x accounts rows,
     summed to weights before anything meets a score."""
-    slots = accounts.select(key, label).withColumn("slot", F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1)
+    slots = numbered(accounts.select(key, label), [label], [F.col(key)], "slot").withColumn("slot", F.col("slot") - 1)
     n = F.broadcast(accounts.groupBy(label).agg(F.count(F.lit(1)).alias("n")))  # a row for each label
     picks = slots.join(n, label).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     picks = picks.select("b", label, F.pmod(draw(seed, F.col("b"), F.col(label), F.col("slot")), F.col("n")).alias("slot"))

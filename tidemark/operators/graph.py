@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
+from .ranks import numbered
 
 
 def overlap(pairs: DataFrame, node: str, item: str, least: int) -> DataFrame:
-    """(a, b, common, jaccard): nodes that share at least `least` items, by an inverted index over the items.
-
-    An item's list gives its pairs, so items that nearly all nodes share should be filtered before."""
-    d = pairs.select(F.col(node).alias("n"), F.col(item).alias("i")).filter(F.col("i").isNotNull()).distinct()
-    sizes = d.groupBy("n").agg(F.count(F.lit(1)).alias("size"))
-    both = d.alias("x").join(d.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.n") < F.col("y.n"))).groupBy(F.col("x.n").alias("a"), F.col("y.n").alias("b")).agg(F.count(F.lit(1)).alias("common"))
-    both = both.filter(F.col("common") >= least)
-    both = both.join(sizes.select(F.col("n").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("n").alias("b"), F.col("size").alias("sb")), "b")
-    return both.select("a", "b", "common", (F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))).alias("jaccard"))
+    """(a, b, common, jaccard): nodes that share at least `least` items.
+
+    Of two sets that share so many, each holds one of the shared items among its size - least + 1 rarest; so only
+    those meet in the index, and what meets is verified on the whole sets. An item that nearly all nodes share
+    makes no pairs unless it is among a node's rarest."""
+    d = pairs.select(F.col(node).alias("n"), F.col(item).alias("i")).filter(F.col("i").isNotNull() & F.col("n").isNotNull()).distinct()
+    often = d.groupBy("i").agg(F.count(F.lit(1)).alias("f"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("f", "i"))), lambda x: x.i)
+    sets = cut(d.join(often, "i").groupBy("n").agg(items.alias("items")).filter(F.size("items") >= least))
+    rarest = sets.select("n", F.explode(F.slice("items", F.lit(1), F.size("items") - (max(least, 1) - 1))).alias("i"))
+    met = rarest.alias("x").join(rarest.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.n") < F.col("y.n"))).select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
+    both = met.join(sets.select(F.col("n").alias("a"), F.col("items").alias("p")), "a").join(sets.select(F.col("n").alias("b"), F.col("items").alias("q")), "b")
+    common = F.size(F.array_intersect("p", "q"))
+    both = both.select("a", "b", common.cast("bigint").alias("common"), (F.size("p") + F.size("q")).alias("sum")).filter(F.col("common") >= least)
+    return both.select("a", "b", "common", (F.col("common") / (F.col("sum") - F.col("common"))).alias("jaccard"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,5 +46,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def sized(labels: DataFrame) -> DataFrame:
     """Adds size and rank (1 = the largest component; equal sizes by the smaller label)."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")))  # a row for each component
+    ranked = numbered(sizes, [], [-F.col("size"), F.col("component")], "rank")
     return labels.join(ranked, "component")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,3 +31,18 @@ def midranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
     ranked = cumulative(counts, by, value, ["ties"])
     return ranked.select(*by, value, "ties", (F.col("below_ties") + (F.col("ties") + 1) / 2.0).alias("midrank"))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """Adds `name`: the row's number, from 1, among the rows of its key in the given order (ties: any order).
+
+    As `cumulative`: rows are dealt by range, counted by range, and numbered inside each range alone."""
+    n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    keys = [f"_k{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(keys, order, strict=True)))
+    ranged = cut(keyed.repartitionByRange(n, *by, *keys).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_p", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*keys))
+    return ranged.join(F.broadcast(starts), ["_p", *by]).select(*df.columns, (F.col("_o") + inside).alias(name))

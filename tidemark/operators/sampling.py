@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import numbered
+
 #: Order in which volume bins are searched from a positive's own.
 SEARCH = (0, 1, -1, 2, -2, 3, -3, 4, -4)
 
@@ -27,16 +29,16 @@ def first_by_hash(df: DataFrame, by: list[str], key: str, seed: str, cap: int) -
 
 def holdout(accounts: DataFrame, by: str, key: str, seed: str, share: float = 0.3) -> DataFrame:
     """split: `bround(share * n)` accounts of each population by least hash are test."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    r = F.row_number().over(Window.partitionBy(by).orderBy(digest(seed, F.col(key)), key))
-    return accounts.withColumn("split", F.when(r <= F.bround(F.lit(share) * n, 0), "test").otherwise("train"))
+    n = F.broadcast(accounts.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")))  # a row for each population
+    ranked = numbered(accounts, [by], [digest(seed, F.col(key)), F.col(key)], "_r").join(n, F.col(by).eqNullSafe(F.col("_by")))
+    return ranked.withColumn("split", F.when(F.col("_r") <= F.bround(F.lit(share) * F.col("_n"), 0), "test").otherwise("train")).drop("_r", "_n", "_by")
 
 
 def folds(accounts: DataFrame, label: str, key: str, k: int, repeats: int) -> DataFrame:
     """(…, repeat, fold): stratified folds that differ by one account a class at most."""
     each = accounts.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    r = F.row_number().over(Window.partitionBy("repeat", label).orderBy(digest(F.col("repeat"), F.col(key)), key))
-    return each.withColumn("fold", ((r - 1) % k).cast("int"))
+    ranked = numbered(each, ["repeat", label], [digest(F.col("repeat"), F.col(key)), F.col(key)], "_r")
+    return ranked.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def volume_bin(volume: Column) -> Column:
@@ -47,7 +49,7 @@ def volume_bin(volume: Column) -> Column:
 def volume_matched(positives: DataFrame, controls: DataFrame, key: str, volume: str, draws: int = 5, seed: str = "vm") -> DataFrame:
     """Controls drawn for the positives from the nearest bin that has any; the set of all draws."""
     c = controls.withColumn("bin", volume_bin(F.col(volume)))
-    c = c.withColumn("slot", F.row_number().over(Window.partitionBy("bin").orderBy(key)) - 1)
+    c = numbered(c, ["bin"], [F.col(key)], "slot").withColumn("slot", F.col("slot") - 1)
     sizes = c.groupBy("bin").agg(F.count(F.lit(1)).alias("size"))  # one row for each of 25 bins
     shifts = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(s).alias("shift")) for i, s in enumerate(SEARCH)))
     p = positives.select(F.col(key).alias("pos"), volume_bin(F.col(volume)).alias("own"), F.explode(shifts).alias("s"))

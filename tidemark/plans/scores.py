@@ -10,7 +10,7 @@ from ..operators import evaluate as V
 from ..operators import profile as P
 from ..operators import sampling as S
 from ..operators import sequences as Q
-from ..operators.ranks import cumulative, midranks
+from ..operators.ranks import cumulative, midranks, numbered
 from .base import DRAW_SQL, events, rounded, sql, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -162,15 +162,15 @@ def g3(spark, sf):
     return rounded(d.agg(lo, hi).withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0)))
 
 
-MEDIANS = f"""(SELECT b, median(x) AS m FROM (SELECT b, d.x FROM (SELECT b, {DRAW_SQL.format("'med|' || b || '|' || slot")} % n AS pick FROM (SELECT row_number() OVER (ORDER BY "user") - 1 AS slot, count(*) OVER () AS n FROM {SC}), range(100) t(b)) p JOIN (SELECT score AS x, row_number() OVER (ORDER BY "user") - 1 AS slot FROM {SC}) d ON p.pick = d.slot) GROUP BY b)"""
+MEDIANS = f"""(SELECT b, median(x) AS m FROM (SELECT b, d.x FROM (SELECT b, {DRAW_SQL.format("'med|' || b || '|' || slot")} % n AS pick FROM (SELECT row_number() OVER (ORDER BY "user") - 1 AS slot, count(*) OVER () AS n FROM {SC}), range(2000) t(b)) p JOIN (SELECT score AS x, row_number() OVER (ORDER BY "user") - 1 AS slot FROM {SC}) d ON p.pick = d.slot) GROUP BY b)"""
 
 
 @query("g4_bootstrap_median", f"SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM {MEDIANS}")
 def g4(spark, sf):
-    s = scored(spark, sf).select("user", "score", F.lit(0).alias("all"))
-    slots = s.withColumn("slot", F.row_number().over(Window.partitionBy("all").orderBy("user")) - 1)  # one row an account
+    s = scored(spark, sf).select("user", "score")
+    slots = numbered(s, [], [F.col("user")], "slot").withColumn("slot", F.col("slot") - 1)
     n = F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))
-    picks = slots.join(n).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("b"), "slot", "n").select("b", F.pmod(S.draw("med", F.col("b"), F.col("slot")), F.col("n")).alias("slot"))
+    picks = slots.join(n).select(F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("b"), "slot", "n").select("b", F.pmod(S.draw("med", F.col("b"), F.col("slot")), F.col("n")).alias("slot"))
     m = picks.join(slots.select("slot", F.col("score").alias("x")), "slot").groupBy("b").agg(F.median("x").alias("m"))
     return rounded(m.agg(*V.interval("m")))
 
