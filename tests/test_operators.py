@@ -128,3 +128,27 @@ def test_folders_and_sequences_are_read_by_header(spark, tmp_path):
     assert A.read_folders(spark, f"{tmp_path}/*/none.csv", schema).count() == 0
     (tmp_path / "s.csv").write_text("action,extra,user,ts\n1,x,007,1488377100\n2,x,007,2017-03-01T14:05:00\n")
     assert sorted((r.user, r.ts, r.action) for r in A.read_sequences(spark, f"{tmp_path}/s.csv").collect()) == [("007", 1488377100, 1), ("007", 1488377100, 2)]
+
+
+def test_overlap_meets_every_pair_with_enough_in_common(spark):
+    import random
+
+    r = random.Random(6)
+    sets = {n: {r.choice(range(40)) if r.random() < 0.5 else 1000 + r.randrange(6) for _ in range(r.randint(1, 30))} for n in range(80)}
+    d = spark.createDataFrame([(n, i) for n, s in sets.items() for i in s] + [(5, None), (3, next(iter(sets[3])))], "n long, i long")
+    for least in (1, 4, 9):
+        expected = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+        got = {(x.a, x.b): (x.common, x.jaccard) for x in N.overlap(d, "n", "i", least).collect()}
+        assert {k: v[0] for k, v in got.items()} == expected
+        assert all(v[1] == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for (a, b), v in got.items())
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_numbers_do_not_depend_on_the_layout(spark, parts):
+    from tidemark.operators.ranks import numbered
+
+    d = spark.range(100).select("id", (F.col("id") % 3).alias("k"), (F.col("id") * 37 % 101).alias("v"))
+    got = {(r.k, r.v): r.no for r in numbered(d, ["k"], [-F.col("v")], "no", parts).collect()}
+    rows = d.collect()
+    assert got == {(r.k, r.v): 1 + sum(s.k == r.k and s.v > r.v for s in rows) for r in rows}
+    assert sorted(r.no for r in numbered(d, [], [F.col("v")], "no", parts).collect()) == list(range(1, 101))

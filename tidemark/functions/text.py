@@ -52,3 +52,24 @@ def ratio_of(text: Column, kind: str) -> Column:
 
 def share_in(words: Column, vocabulary: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.array_contains(vocabulary, w))) / F.greatest(F.size(words), F.lit(1)).cast("double")
+
+
+#: The domain classes of the post features, and the flagged top-level domains.
+NEWS_SITES = """nytimes.com washingtonpost.com cnn.com foxnews.com bbc.com bbc.co.uk reuters.com apnews.com theguardian.com
+    wsj.com usatoday.com nbcnews.com abcnews.go.com cbsnews.com politico.com thehill.com huffpost.com huffingtonpost.com
+    breitbart.com dailycaller.com nypost.com latimes.com chicagotribune.com bloomberg.com time.com newsweek.com
+    buzzfeednews.com buzzfeed.com vox.com salon.com slate.com theatlantic.com npr.org rt.com sputniknews.com
+    dailymail.co.uk independent.co.uk telegraph.co.uk aljazeera.com msnbc.com cnbc.com yahoo.com news.yahoo.com
+    infowars.com truthfeed.com washingtontimes.com thegatewaypundit.com rawstory.com motherjones.com theblaze.com""".split()
+SOCIAL_SITES = """twitter.com t.co facebook.com fb.me youtube.com youtu.be instagram.com reddit.com redd.it imgur.com
+    i.redd.it v.redd.it i.imgur.com vk.com tumblr.com pinterest.com linkedin.com twitch.tv gfycat.com giphy.com""".split()
+PLATFORM_SITES = "twitter.com t.co reddit.com redd.it i.redd.it v.redd.it".split()
+TOP_LEVELS = "com org net ru uk info co us".split()
+
+
+def domain_classes(domain: Column) -> dict[str, Column]:
+    """0/1 flags of a domain: news, social, platform, other (named but neither news nor social) and tld_<name>."""
+    news, social = domain.isin(*NEWS_SITES), domain.isin(*SOCIAL_SITES)
+    last = F.element_at(F.split(domain, r"\."), -1)
+    flags = {"news": news, "social": social, "platform": domain.isin(*PLATFORM_SITES), "other": (domain != "") & ~news & ~social}
+    return {k: c.cast("int") for k, c in (flags | {f"tld_{t}": last == t for t in TOP_LEVELS}).items()}

@@ -74,6 +74,12 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 * (1 + F.signum(x) * erf)
 
 
+def log_normal_density(x: Column, mu: Column, sigma: Column) -> Column:
+    """Log density of a positive value."""
+    z = (F.log(x) - mu) / sigma
+    return -F.log(x) - F.log(sigma) - F.lit(0.9189385332046727) - z * z / 2
+
+
 def mann_whitney(df: DataFrame, by: list[str], value: str, group: str) -> DataFrame:
     """(by, u, effect, p): group 1 against 0; tie-corrected normal p with continuity."""
     r = midranks(df, by, value)

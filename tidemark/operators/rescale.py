@@ -29,7 +29,7 @@ def rescaled(rows: DataFrame, law: DataFrame, on: list[str], key: str = "event_i
     """u = F(a) + r (F(b) - F(a)) with add-one ends and a hash-drawn r; tau = -log1p(-u)."""
     r = (draw(seed, F.col(key)) + 0.5) / F.lit(4294967296.0)
     u = (F.col("below") + 0.5 + r * F.col("c")) / (F.col("n") + 1.0)
-    j = rows.join(F.broadcast(law), [*on, "ctx", "d"])
+    j = rows.join(law, [*on, "ctx", "d"])  # grows with the time span, so its measured size decides how it is joined
     return j.withColumn("u", F.least(F.greatest(u, F.lit(1e-9)), F.lit(1 - 1e-9))).withColumn("tau", -F.log1p(-F.col("u"))).drop("below", "c", "n")
 
 
@@ -42,6 +42,22 @@ def densities(taus: DataFrame, pop: str) -> DataFrame:
     return taus.groupBy(pop).agg((1 / F.avg("tau")).alias("rate"))
 
 
+def log_normal_densities(taus: DataFrame, pop: str, by: list[str]) -> DataFrame:
+    """(pop, bin, n, mu, sigma): the log-normal law of a rescaled time given the bin of the one before it in the
+    same account (-1 for the first), in closed form."""
+    before = F.lag("tau").over(order(by))
+    t = taus.withColumns({"bin": F.when(before.isNull(), -1).otherwise(tau_bin(before)), "_l": F.log(F.greatest("tau", F.lit(1e-8)))})
+    return t.groupBy(pop, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_l").alias("mu"), F.stddev_pop("_l").alias("sigma"))
+
+
+def account_llr(taus: DataFrame, pop: str, positive: str) -> DataFrame:
+    """(user, pop, llr): mean log-likelihood ratio of an account's times, the positive population's law over the
+    unit law."""
+    rate = taus.filter(F.col(pop) == positive).agg((1 / F.avg("tau")).alias("_rate"))
+    m = taus.groupBy("user", pop).agg(F.avg("tau").alias("_m")).join(F.broadcast(rate))
+    return m.select("user", pop, (F.col("_m") - nll(F.col("_m"), F.col("_rate"))).alias("llr"))
+
+
 def nll(tau: Column, rate: Column) -> Column:
     return rate * tau - F.log(rate)
 

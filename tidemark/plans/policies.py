@@ -217,7 +217,7 @@ def f2w(spark, sf):
 # ---- rescaled time
 CTX = """(SELECT *, CASE WHEN pd IS NULL THEN -1 ELSE least(floor(ln(1 + pd::DOUBLE) / 1.5), 7)::INT END AS ctx FROM (SELECT *, lag(d) OVER (PARTITION BY "user" ORDER BY ts, event_id) AS pd FROM (SELECT *, (ts - lag(ts) OVER w) // 60 AS d, row_number() OVER w AS rn FROM $EV WINDOW w AS (PARTITION BY "user" ORDER BY ts, event_id)) WHERE rn > 1))"""
 LAW = f"(SELECT platform, ctx, d, sum(count(*)) OVER (PARTITION BY platform, ctx ORDER BY d) - count(*) AS below, count(*) AS c, sum(count(*)) OVER (PARTITION BY platform, ctx) AS n FROM {CTX} GROUP BY platform, ctx, d)"
-U = f"(SELECT x.event_id, x.\"user\", x.pop, x.platform, least(greatest((below + 0.5::DOUBLE + ({DRAW_SQL.format(chr(39) + 'pit|' + chr(39) + ' || x.event_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE * c) / (n + 1.0::DOUBLE), 1e-9), 1 - 1e-9) AS u FROM {CTX} x JOIN {LAW} l USING (platform, ctx, d))"
+U = f"(SELECT x.event_id, x.ts, x.\"user\", x.pop, x.platform, least(greatest((below + 0.5::DOUBLE + ({DRAW_SQL.format(chr(39) + 'pit|' + chr(39) + ' || x.event_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE * c) / (n + 1.0::DOUBLE), 1e-9), 1 - 1e-9) AS u FROM {CTX} x JOIN {LAW} l USING (platform, ctx, d))"
 
 
 def taus(spark, sf):
@@ -268,6 +268,56 @@ def p8(spark, sf):
     return rounded(V.auc(m, ["platform"]), 5)
 
 
+@query(
+    "p5b_log_normal_by_bin",
+    "SELECT pop, bin, count(*) AS n, round(avg(l), 4) + 0.0 AS mu, round(stddev_pop(l), 4) + 0.0 AS sigma FROM ("
+    "SELECT pop, ln(greatest(tau, 1e-8)) AS l, CASE WHEN before IS NULL THEN -1 ELSE least(floor(before * 4), 7)::INT END AS bin FROM ("
+    f'SELECT *, lag(tau) OVER (PARTITION BY "user" ORDER BY ts, event_id) AS before FROM (SELECT *, -ln(1 - u) AS tau FROM {U}))) GROUP BY pop, bin',
+)
+def p5b(spark, sf):
+    return rounded(R.log_normal_densities(taus(spark, sf), "pop", ["user"]), 4)
+
+
+LLR = (
+    f"(WITH r AS (SELECT 1 / avg(-ln(1 - u)) AS rate FROM {U} WHERE pop = 'op') SELECT (pop = 'op')::INT AS y, "
+    f'round(avg(-ln(1 - u)) - (any_value(rate) * avg(-ln(1 - u)) - ln(any_value(rate))), 6) AS score FROM {U}, r GROUP BY "user", pop)'
+)
+
+
+@query("p7b_llr_auc", f"SELECT round(auc, 5) AS auc FROM ({auc_sql(LLR)})")
+def p7b(spark, sf):
+    found = R.account_llr(taus(spark, sf), "pop", "op").select("user", (F.col("pop") == "op").cast("int").alias("y"), F.round("llr", 6).alias("score"))
+    return rounded(V.auc(found, []), 5)
+
+
+@query("p8b_zero_shot_medians", f"SELECT platform, y, count(*) AS accounts, round(median(score), 5) AS median FROM {MEAN} GROUP BY platform, y")
+def p8b(spark, sf):
+    """The model-free readout on each platform: medians of the accounts' mean rescaled times."""
+    m = taus(spark, sf).groupBy("platform", "pop", "user").agg(F.round(F.avg("tau"), 6).alias("score")).withColumn("y", (F.col("pop") == "op").cast("int"))
+    return rounded(m.groupBy("platform", "y").agg(F.count(F.lit(1)).alias("accounts"), F.median("score").alias("median")), 5)
+
+
+EXCESS = (
+    f"(WITH m AS (SELECT pop || '/' || platform AS p, avg(-ln(1 - u)) AS m FROM {U} GROUP BY ALL), "
+    "x AS (SELECT a.p AS a, b.p AS b, (a.m / b.m - ln(1 / b.m)) - (1 - ln(1 / a.m)) AS e FROM m a, m b) "
+    "SELECT x.a, x.b, exp(-(x.e + y.e) / 2) AS s FROM x JOIN x y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b)"
+)
+
+
+@query(
+    "g22b_excess_similarity",
+    f"SELECT a, b, round(s, 5) AS similarity, round(min(s) OVER (PARTITION BY a), 5) AS lowest, round(max(s) OVER (PARTITION BY a), 5) AS highest FROM {EXCESS}",
+)
+def g22b(spark, sf):
+    """exp(-mean excess of both directions) of populations, with its range over the others; populations are few."""
+    t = taus(spark, sf).withColumn("p", F.concat_ws("/", "pop", "platform"))
+    x = R.excess_matrix(t, "p")
+    back = x.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("excess").alias("other"))
+    s = x.join(F.broadcast(back), ["a", "b"]).filter("a < b").withColumn("similarity", F.exp(-(F.col("excess") + F.col("other")) / 2))
+    of = Window.partitionBy("a")
+    return rounded(s.select("a", "b", "similarity", F.min("similarity").over(of).alias("lowest"), F.max("similarity").over(of).alias("highest")), 5)
+
+
 # ---- synchrony and graph
 START, WIDTH, NB, PERIOD, REPS = 1704067200, 3600, 720, 24, 20
 BINS = f"(SELECT pop, \"user\", (ts - {START}) // {WIDTH} AS bin, count(*) AS c FROM $EV WHERE ts >= {START} AND ts < {START + WIDTH * NB} GROUP BY ALL)"
@@ -348,6 +398,31 @@ def x2(spark, sf):
     return rounded(f.groupBy("era").agg(F.count(F.lit(1)).alias("accounts"), F.median("median_gap_min").alias("gap"), F.median("day_density").alias("density")))
 
 
+HALF = 1705276800  # the middle of January 2024
+HOURS_BY_HALF = (
+    "(SELECT half, hour, sum(p) / any_value(k) AS p FROM (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY half, \"user\") AS p, "
+    "max(r) OVER (PARTITION BY half) AS k FROM (SELECT *, dense_rank() OVER (PARTITION BY half ORDER BY \"user\") AS r FROM ("
+    f"SELECT CASE WHEN ts < {HALF} THEN 'first' ELSE 'second' END AS half, \"user\", hour(make_timestamp(ts * 1000000)) AS hour, count(*) AS n FROM $EV GROUP BY ALL))) GROUP BY half, hour)"
+)
+
+
+@query(
+    "x2b_era_hour_cosine",
+    f"SELECT a.half AS a, b.half AS b, round(sum(a.p * b.p) / (sqrt(any_value(x.s)) * sqrt(any_value(y.s)) + 1e-12), 6) AS cosine FROM {HOURS_BY_HALF} a JOIN {HOURS_BY_HALF} b USING (hour) "
+    f"JOIN (SELECT half, sum(p * p) AS s FROM {HOURS_BY_HALF} GROUP BY half) x ON x.half = a.half JOIN (SELECT half, sum(p * p) AS s FROM {HOURS_BY_HALF} GROUP BY half) y ON y.half = b.half "
+    "WHERE a.half < b.half GROUP BY a.half, b.half",
+)
+def x2b(spark, sf):
+    """Cosine of the hour centroids of each pair of eras; eras are few."""
+    e = events(spark, sf).withColumn("half", F.when(F.col("ts") < HALF, "first").otherwise("second"))
+    c = P.centroid(P.hour_shares(e, ["half", "user"]), "half", "user")
+    norm = c.groupBy("half").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("norm"))
+    c = c.join(F.broadcast(norm), "half")
+    pairs = c.alias("x").join(c.alias("y"), (F.col("x.hour") == F.col("y.hour")) & (F.col("x.half") < F.col("y.half")))
+    pairs = pairs.groupBy(F.col("x.half").alias("a"), F.col("y.half").alias("b"))
+    return rounded(pairs.agg((F.sum(F.col("x.p") * F.col("y.p")) / (F.first("x.norm") * F.first("y.norm") + 1e-12)).alias("cosine")))
+
+
 @query("x3_recompute_guard", "SELECT 0.0::DOUBLE AS largest_gap")
 def x3(spark, sf):
     """Two computations of one matrix must agree within 5e-5, else the job fails."""

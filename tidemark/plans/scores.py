@@ -340,6 +340,27 @@ def h3(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.element_at(F.split(d, r"\."), -1).alias("tld"), d.isin(*T.SOCIAL).alias("social"))
 
 
+_IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
+_FLAGS = {
+    "news": f"d IN {_IN(T.NEWS_SITES)}",
+    "social": f"d IN {_IN(T.SOCIAL_SITES)}",
+    "platform": f"d IN {_IN(T.PLATFORM_SITES)}",
+    "other": f"d <> '' AND d NOT IN {_IN(T.NEWS_SITES + T.SOCIAL_SITES)}",
+} | {f"tld_{t}": f"string_split(d, '.')[-1] = '{t}'" for t in T.TOP_LEVELS}
+
+
+@query(
+    "h3b_domain_classes",
+    "SELECT page_id, " + ", ".join(f"({c})::INT AS {k}" for k, c in _FLAGS.items())
+    # every third page gets a domain of the lists, since the table has none
+    + f" FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'nytimes.com' WHEN 3 THEN 'redd.it' ELSE coalesce({DOM}, '') END AS d FROM pages)",
+)
+def h3b(spark, sf):
+    listed = F.when(F.col("page_id") % 6 == 0, "nytimes.com").when(F.col("page_id") % 6 == 3, "redd.it")
+    d = table(spark, sf, "pages").select("page_id", F.coalesce(listed, T.domain_of(F.col("url")), F.lit("")).alias("d"))
+    return d.select("page_id", *(c.alias(k) for k, c in T.domain_classes(F.col("d")).items()))
+
+
 TOK = "list_filter(regexp_extract_all(lower(regexp_replace(text, 'https?://\\S+', ' ', 'g')), '[a-z][a-z'']+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP) + "))"
 
 
@@ -409,3 +430,13 @@ def h13(spark, sf):
 def h14(spark, sf):
     codes = F.create_map(F.lit(0), F.lit("-"), F.lit(1), F.lit("~"), F.lit(2), F.lit("+"))
     return events(spark, sf).select("event_id", F.coalesce(F.try_element_at(codes, (F.col("k") % 4).cast("int")), F.lit("~")).alias("sign"))
+
+
+@query(
+    "h12b_log_normal_density",
+    "SELECT event_id, round(-ln(x) - ln(0.5::DOUBLE) - 0.9189385332046727::DOUBLE - pow((ln(x) - 3.5) / 0.5, 2) / 2, 5) AS log_density"
+    " FROM (SELECT event_id, value::DOUBLE AS x FROM $EV WHERE value > 0)",
+)
+def h12b(spark, sf):
+    x = F.col("value").cast("double")
+    return rounded(events(spark, sf).filter("value > 0").select("event_id", V.log_normal_density(x, F.lit(3.5), F.lit(0.5)).alias("log_density")), 5)
