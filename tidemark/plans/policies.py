@@ -622,14 +622,3 @@ def m18(spark, sf):
     f = cut(S.folds(e, "y", "vec_id", 3, 1))
     parts = [M.fit_score(f.filter(F.col("fold") != k), f.filter(F.col("fold") == k), names, "lr", "vec_id").withColumn("fold", F.lit(k)) for k in range(3)]
     return V.auc(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["fold"]).agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"))
-
-
-@query("m9_content_classifier")
-def m9(spark, sf):
-    """Post features, a forest on posts, the mean score of each account (source)."""
-    d = table(spark, sf, "documents").filter("text is not null").join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y")), "doc_id")
-    t, columns = F.col("text"), ["chars", "words", "upper", "digits", "hashes", "bangs", "questions"]
-    rows = cut(d.select("doc_id", "source", "y", F.length(t).cast("double").alias("chars"), F.size(F.split(t, " ")).cast("double").alias("words"), X.ratio_of(t, "A-Z").alias("upper"), X.ratio_of(t, "0-9").alias("digits"), *(X.count_of(t, c).cast("double").alias(n) for c, n in (("#", "hashes"), ("!", "bangs"), ("?", "questions")))))
-    held = F.pmod(S.draw("m9", F.col("doc_id")), F.lit(10)) < 3
-    s = M.fit_score(rows.filter(~held), rows.filter(held), columns, "rf", "doc_id")
-    return s.join(rows.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("posts"))

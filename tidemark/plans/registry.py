@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import policies, profiles, scores
+from . import content, policies, profiles, scores
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (profiles, scores, policies):
+for _m in (profiles, scores, policies, content):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
