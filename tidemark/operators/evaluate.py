@@ -103,7 +103,9 @@ def ks_uniform(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return r.groupBy(*by).agg(F.max(gap).alias("ks"))
 
 
-def macro_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    c = df.agg(*(F.sum(((F.col(truth) == a) & (F.col(predicted) == b)).cast("double")).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)))
+def macro_f1(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+    """(by, macro_f1): a class that never occurs and is never predicted counts 0."""
+    cells = (F.sum(((F.col(truth) == a) & (F.col(predicted) == b)).cast("double")).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1))
+    c = df.groupBy(*(by or [])).agg(*cells)
     f1 = lambda tp, fp, fn: F.coalesce(2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0.0)), F.lit(0.0))
-    return c.select(((f1(c.c11, c.c01, c.c10) + f1(c.c00, c.c10, c.c01)) / 2).alias("macro_f1"))
+    return c.select(*(by or []), ((f1(c.c11, c.c01, c.c10) + f1(c.c00, c.c10, c.c01)) / 2).alias("macro_f1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .sequences import order
 
 
@@ -37,3 +38,39 @@ def ratio(pairs: DataFrame, by: list[str], a: DataFrame, b: DataFrame, symbols:
     """(by, llr, nll_a): mean log p_a - mean log p_b; an account of one token has no transition and no row."""
     s = score(score(pairs, a, symbols, "la"), b, symbols, "lb")
     return s.groupBy(*by).agg((F.avg("la") - F.avg("lb")).alias("llr"), (-F.avg("la")).alias("nll_a"))
+
+
+def moves(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, prev, next, n): each transition of an account once, with its count."""
+    return pairs.groupBy(*by, "prev", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fold_ratios(counts: DataFrame, pop: str, case: str, control: str, symbols: int, k: int) -> DataFrame:
+    """(repeat, fold, pop, user, llr, z) of accounts held out in (repeat, fold); `counts` are moves with both columns.
+
+    A fold's policies come from all counts less its own, so no account is copied to its k - 1 training sets. z centres
+    by the training controls under the same policies. Policies have states x symbols rows for each repeat and fold."""
+    own = counts.groupBy("repeat", "fold", "prev", "next").agg(*(F.sum(F.when(F.col(pop) == p, F.col("n")).otherwise(0)).alias(c) for c, p in (("a", case), ("b", control))))
+    every = own.groupBy("repeat", "prev", "next").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    every = every.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rest = every.join(own, ["repeat", "fold", "prev", "next"], "left")
+    rest = rest.select("repeat", "fold", "prev", "next", *((F.col(f"_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in "ab"))
+    totals = rest.groupBy("repeat", "fold", "prev").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    logp = lambda n, t: F.log((F.col(n) + 1.0) / (F.col(t) + symbols))
+    law = rest.join(totals, ["repeat", "fold", "prev"]).select("repeat", F.col("fold").alias("law"), "prev", "next", (logp("a", "ta") - logp("b", "tb")).alias("ratio"))
+    law = cut(law)
+    s = counts.join(F.broadcast(law), ["repeat", "prev", "next"]).groupBy("repeat", "law", "fold", pop, "user").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("llr"))
+    s = cut(s)  # read for the held-out accounts and for the controls
+    reference = s.filter((F.col("fold") != F.col("law")) & (F.col(pop) == control)).groupBy("repeat", "law").agg(F.avg("llr").alias("_mu"), F.stddev_pop("llr").alias("_sd"))
+    held = s.filter(F.col("fold") == F.col("law")).join(F.broadcast(reference), ["repeat", "law"])
+    return held.select("repeat", "fold", pop, "user", "llr", ((F.col("llr") - F.col("_mu")) / (F.col("_sd") + 1e-9)).alias("z"))
+
+
+def log_likelihoods(moved: DataFrame, train: DataFrame, pop: str, names: list[str], by: list[str], symbols: int) -> DataFrame:
+    """(by, law, ll): the mean log probability of each account's moves under every named population's policy."""
+    n = train.groupBy(F.col(pop).alias("law"), "prev", "next").agg(F.sum("n").alias("_n"))
+    t = n.groupBy("law", "prev").agg(F.sum("_n").alias("_t"))
+    each = moved.withColumn("law", F.explode(F.array(*map(F.lit, names))))
+    each = each.join(F.broadcast(n), ["law", "prev", "next"], "left").join(F.broadcast(t), ["law", "prev"], "left")
+    logp = F.log((F.coalesce("_n", F.lit(0)) + 1.0) / (F.coalesce("_t", F.lit(0)) + symbols))
+    return each.groupBy(*by, "law").agg((F.sum(F.col("n") * logp) / F.sum("n")).alias("ll"))

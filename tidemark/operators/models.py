@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -44,5 +47,22 @@ def fit_score(train: DataFrame, test: DataFrame, columns: list[str], kind: str,
     return out.select(key, F.col(label).alias("y"), vector_to_array("probability")[1].alias("score"))
 
 
+def fit_scores(fits: dict[tuple, tuple], names: list[str], key: str, label: str = "y", at_once: int = 8) -> DataFrame:
+    """(names, key, y, score) of many fits (train, test, columns, kind); the driver only starts them side by side."""
+    spark = next(iter(fits.values()))[0].sparkSession
+
+    def one(item):
+        values, (train, test, columns, kind) = item
+        scored = fit_score(train, test, columns, kind, key, label)
+        return cut(scored.select(*(F.lit(v).alias(n) for n, v in zip(names, values, strict=True)), *scored.columns))
+
+    with ThreadPool(at_once) as pool:
+        done = pool.map(inheritable_thread_target(spark)(one), fits.items(), chunksize=1)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def vectors(df: DataFrame, array_col: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(array_col, lambda x: x.cast("double"))))

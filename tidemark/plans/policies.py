@@ -152,30 +152,12 @@ for _id, _kind in (("m1_logistic_profile", "lr"), ("m2_boosted_profile", "gbt"),
     query(_id)(lambda spark, sf, k=_kind: split_scores(spark, sf, k, ALL))
 
 
-@query("m4_group_ablation")
-def m4(spark, sf):
-    """Trained on platform A, scored on B, a fit for each feature group."""
-    p = P.profile(events(spark, sf), ["pop", "platform", "user"]).withColumn("y", (F.col("pop") == "op").cast("int"))
-    p, out = cut(p), None
-    for name, columns in P.GROUPS.items():
-        s = M.fit_score(p.filter("platform = 'A'"), p.filter("platform = 'B'"), columns, "lr", "user").withColumn("features", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return V.auc(out, ["features"])
-
-
 @query("m5_in_platform_auc")
 def m5(spark, sf):
     s = split_scores(spark, sf, "lr", ALL)
     return V.auc(s, []).join(F.broadcast(V.bootstrap_auc(s, [], "user", 100, "m5").agg(*V.interval())))
 
 
-@query("m6_cross_validated")
-def m6(spark, sf):
-    f = cut(S.folds(profiled(spark, sf), "y", "user", 3, 1))
-    parts = [M.fit_score(f.filter(F.col("fold") != k), f.filter(F.col("fold") == k), P.GROUPS["G1"], "lr", "user").withColumn("fold", F.lit(k)) for k in range(3)]
-    return V.auc(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["fold"])
-
-
 @query("m10_vector_classifier")
 def m10(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding"), (F.col("label") == 0).cast("int").alias("y"))
@@ -593,32 +575,3 @@ def action_vectors(spark, sf):
 def m15(spark, sf):
     v, _ = action_vectors(spark, sf)
     return rounded(v.drop("pop"))
-
-
-@query("m16_length_matched_runs")
-def m16(spark, sf):
-    """Macro-F1 and AUC of a forest on length-matched pairs, a row for each run."""
-    from .cohorts import length_pairs
-
-    v, cells = action_vectors(spark, sf)
-    v = cut(v.withColumn("y", (F.col("pop") == "op").cast("int")))
-    n = events(spark, sf).groupBy("pop", "user").agg(F.count(F.lit(1)).alias("n"))
-    pairs = cut(length_pairs(n, "pop", "op", "organic", "user", "n", 2))
-    chosen = pairs.select("run", F.explode(F.array("member", "control")).alias("user")).join(v, "user")
-    folded = cut(chosen.withColumn("fold", F.pmod(S.draw("m16", F.col("run"), F.col("user")), F.lit(3))))
-    out = None
-    for run in range(2):
-        one = folded.filter(F.col("run") == run)
-        s = M.fit_score(one.filter("fold > 0"), one.filter("fold = 0"), cells, "rf", "user").withColumn("run", F.lit(run))
-        out = s if out is None else out.unionByName(s)
-    return V.auc(out, ["run"])
-
-
-@query("m18_vector_cross_validation")
-def m18(spark, sf):
-    """Mean and deviation of the fold AUCs of the vector classifier."""
-    names = [f"x{i}" for i in range(64)]
-    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)))
-    f = cut(S.folds(e, "y", "vec_id", 3, 1))
-    parts = [M.fit_score(f.filter(F.col("fold") != k), f.filter(F.col("fold") == k), names, "lr", "vec_id").withColumn("fold", F.lit(k)) for k in range(3)]
-    return V.auc(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["fold"]).agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"))

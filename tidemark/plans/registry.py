@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import content, policies, profiles, scores
+from . import content, policies, profiles, protocols, scores
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (profiles, scores, policies, content):
+for _m in (profiles, scores, policies, content, protocols):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
