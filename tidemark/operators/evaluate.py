@@ -109,3 +109,10 @@ def macro_f1(df: DataFrame, truth: str, predicted: str, by: list[str] | None = N
     c = df.groupBy(*(by or [])).agg(*cells)
     f1 = lambda tp, fp, fn: F.coalesce(2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0.0)), F.lit(0.0))
     return c.select(*(by or []), ((f1(c.c11, c.c01, c.c10) + f1(c.c00, c.c10, c.c01)) / 2).alias("macro_f1"))
+
+
+def guard(one: DataFrame, two: DataFrame, keys: list[str], value: str, tolerance: float = 5e-5) -> DataFrame:
+    """(keys, gap, agrees): cells of two matrices; a cell that one of them lacks has no gap and does not agree."""
+    both = one.select(*keys, F.col(value).alias("_x")).join(two.select(*keys, F.col(value).alias("_z")), keys, "full_outer")
+    gap = F.abs(F.col("_x") - F.col("_z"))
+    return both.select(*keys, gap.alias("gap"), F.coalesce(gap < tolerance, F.lit(False)).alias("agrees"))

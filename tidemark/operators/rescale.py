@@ -17,9 +17,12 @@ def contexts(events: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumns({"d": F.col("completed"), "ctx": F.when(before.isNull(), -1).otherwise(log_bin(before.cast("double"), 8))}).drop("_pos")
 
 
-def baseline(rows: DataFrame, on: list[str]) -> DataFrame:
-    """(on, ctx, d, below, n): empirical law of the completed minutes in each context."""
-    c = rows.groupBy(*on, "ctx", "d").agg(F.count(F.lit(1)).alias("c"))
+def baseline(rows: DataFrame, on: list[str], reference: Column | None = None) -> DataFrame:
+    """(on, ctx, d, below, c, n): empirical law of the completed minutes in each context.
+
+    With `reference` (boolean) only those rows make the law; the minutes of the others stand in it with c = 0."""
+    counted = F.count(F.lit(1)) if reference is None else F.count(F.when(reference, 1))
+    c = rows.groupBy(*on, "ctx", "d").agg(counted.alias("c"))
     w = Window.partitionBy(*on, "ctx")
     upto = F.sum("c").over(w.orderBy("d"))
     return c.select(*on, "ctx", "d", (upto - F.col("c")).alias("below"), "c", F.sum("c").over(w).alias("n"))

@@ -109,6 +109,13 @@ def m17(spark, sf):
     return rounded(K.ratio(pairs, ["user", "pop"], a, b, 30))
 
 
+@query("m17b_refit_action_policy", llr_sql(SECOND, 3, "", "platform = 'A' AND pop = 'op'", "platform = 'A' AND pop = 'organic'"))
+def m17b(spark, sf):
+    pairs = K.steps(events(spark, sf), ["user"], "action", 2)
+    a, b = (K.fit(pairs.filter((F.col("platform") == "A") & (F.col("pop") == p)), [], 3) for p in ("op", "organic"))
+    return rounded(K.ratio(pairs, ["user", "pop"], a, b, 3))
+
+
 @query("m19_cross_entropy", f"SELECT pop, round(-avg(ln((n + 1.0::DOUBLE) / (t + 30))), 6) AS nats, round(exp(-avg(ln((n + 1.0::DOUBLE) / (t + 30)))), 5) AS perplexity FROM (SELECT pop, count(*) OVER (PARTITION BY pop, prev, next) AS n, count(*) OVER (PARTITION BY pop, prev) AS t FROM {STEPS} WHERE prev IS NOT NULL) GROUP BY pop")
 def m19(spark, sf):
     pairs = K.steps(tokens(spark, sf), ["user"])
@@ -415,6 +422,20 @@ def x3(spark, sf):
     return gap.filter(F.assert_true(F.col("gap") < 5e-5, F.lit("the matrices differ")).isNull()).select((F.round("gap", 6) + 0.0).alias("largest_gap"))
 
 
+SHARES = '(SELECT pop, "user", s, a, n::DOUBLE / sum(n) OVER (PARTITION BY "user", s) AS p FROM (SELECT pop, "user", action AS s, nxt AS a, count(*) AS n FROM (SELECT *, lead(action) OVER (PARTITION BY "user" ORDER BY ts, event_id) AS nxt FROM $EV) WHERE nxt IS NOT NULL GROUP BY ALL))'
+
+
+@query(
+    "x3b_cells_that_agree",
+    f"SELECT pop, s, a, round(abs(x - z), 6) AS gap, coalesce(abs(x - z) < 0.002, false) AS agrees FROM (SELECT pop, s, a, avg(p) AS x FROM {SHARES} GROUP BY ALL) FULL JOIN (SELECT pop, s, a, avg(p) AS z FROM {SHARES} WHERE \"user\" % 7 > 0 GROUP BY ALL) USING (pop, s, a)",
+)
+def x3b(spark, sf):
+    """Transition shares of all accounts against those without every seventh one, cell by cell."""
+    p = Q.transitions(events(spark, sf), ["pop", "user"], "action", "action")
+    mean = lambda rows: rows.groupBy("pop", "s", "a").agg(F.avg("p").alias("x"))
+    return rounded(V.guard(mean(p), mean(p.filter(F.col("user") % 7 > 0)), ["pop", "s", "a"], "x", 0.002))
+
+
 # ---- sources: files that Spark writes from the tables and reads again
 @query("a1_sequence_csv", 'SELECT "user"::VARCHAR AS "user", ts, action::INT AS action FROM $EV WHERE event_id % 10 <> 9')
 def a1(spark, sf):
@@ -429,6 +450,20 @@ def a2(spark, sf):
     return events(spark, sf).select("event_id", "ts")
 
 
+@query(
+    "a2b_parsed_times",
+    "SELECT event_id, CASE event_id % 5 WHEN 3 THEN 0 WHEN 4 THEN ts - 7200 ELSE ts END AS ts, event_id % 5 <> 3 AS valid FROM $EV",
+)
+def a2b(spark, sf):
+    """Times written in four ways and as no time at all, parsed, with the mask of the valid ones (0 elsewhere)."""
+    at = F.timestamp_seconds("ts")
+    texts = [F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("ts").cast("string"), F.lit("no time")]
+    texts.append(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    e = events(spark, sf).select("event_id", F.element_at(F.array(*texts), (F.col("event_id") % 5).cast("int") + 1).alias("text"))
+    at = A.epoch_seconds(F.col("text"))
+    return e.select("event_id", F.coalesce(at, F.lit(0)).alias("ts"), at.isNotNull().alias("valid"))
+
+
 @query("a4_archive_scan", "SELECT lower('User' || \"user\") AS \"user\", ts // 60 * 60 AS ts, CASE WHEN k % 5 = 0 THEN 1 WHEN action = 2 OR k % 7 = 0 THEN 2 ELSE 0 END AS action FROM $EV QUALIFY count(*) OVER (PARTITION BY \"user\") >= 60")
 def a4(spark, sf):
     e = events(spark, sf)

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
 from ..operators import markov as K
 from ..operators import models as M
 from ..operators import profile as P
+from ..operators import rescale as R
 from ..operators import sampling as S
 from ..operators import sequences as Q
 from ..operators import sync as Y
 from ..session import cut
 from .base import DRAW_SQL, events, rounded, sql, table
 from .cohorts import decile_matched, length_pairs
-from .policies import START, WIDTH
+from .policies import CTX, START, WIDTH
 from .profiles import MATCH
 from .scores import FOLDS, TOKENS, auc_sql, tokens
 
@@ -265,3 +268,45 @@ def g14b(spark, sf):
     s = out.groupBy("span").agg(F.count(control).alias("n_sets"), F.max(F.when(F.col("set_id") < 0, F.col("ratio"))).alias("observed"), F.avg(control).alias("mean"), F.stddev_pop(control).alias("sd"))
     z = (F.col("observed") - F.col("mean")) / F.greatest(F.col("sd"), F.lit(1e-9))
     return s.select("span", "n_sets", *(F.round(c, 4).alias(c) for c in ("observed", "mean", "sd")), F.round(z, 2).alias("z"))
+
+
+# ---- variants of the rescaled-time study: other accounts and another reference population
+@dataclass(frozen=True)
+class Variant:
+    """Accounts of least to most events; the reference population's gaps make each platform's law."""
+
+    name: str
+    reference: str
+    least: int = 1
+    most: int = 2**31
+
+
+VARIANTS = (Variant("all", "organic"), Variant("capped", "organic", 50, 70), Variant("reversed", "op", 50))
+
+
+def _variant_sql(v):
+    own = f'(SELECT x.* FROM {CTX} x SEMI JOIN (SELECT "user" FROM $EV GROUP BY "user" HAVING count(*) BETWEEN {v.least} AND {v.most}) k USING ("user"))'
+    u = f"least(greatest((below + 0.5::DOUBLE + ({DRAW_SQL.format(chr(39) + 'pit|' + chr(39) + ' || x.event_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE * c) / (n + 1.0::DOUBLE), 1e-9), 1 - 1e-9)"
+    return f"""SELECT '{v.name}' AS variant, platform, pop, accounts, m, max(CASE WHEN pop = '{v.reference}' THEN m END) OVER (PARTITION BY platform) AS base FROM (
+        SELECT x.platform, x.pop, count(DISTINCT x."user") AS accounts, avg(-ln(1 - {u})) AS m FROM {own} x JOIN (SELECT platform, ctx, d, c, sum(c) OVER (PARTITION BY platform, ctx ORDER BY d) - c AS below, sum(c) OVER (PARTITION BY platform, ctx) AS n
+        FROM (SELECT platform, ctx, d, count(*) FILTER (pop = '{v.reference}') AS c FROM {own} GROUP BY ALL)) l USING (platform, ctx, d) GROUP BY ALL)"""
+
+
+@query(
+    "p9_variants",
+    f"SELECT variant, platform, pop, accounts, round(m, 5) AS mean_tau, round((m / base - ln(1 / base)) - (1 - ln(1 / m)), 5) + 0.0 AS excess FROM ({' UNION ALL '.join(map(_variant_sql, VARIANTS))})",
+)
+def p9(spark, sf):
+    """Mean rescaled time of every population under each variant, and its excess likelihood under the reference's law."""
+    e, out = events(spark, sf), None
+    size = e.groupBy("user").agg(F.count(F.lit(1)).alias("_n"))
+    rows = cut(R.contexts(e, ["user"]).join(size, "user"))
+    for v in VARIANTS:
+        own = rows.filter(F.col("_n").between(v.least, v.most))
+        t = R.rescaled(own, R.baseline(own, ["platform"], F.col("pop") == v.reference), ["platform"])
+        m = t.groupBy("platform", "pop").agg(F.count_distinct("user").alias("accounts"), F.avg("tau").alias("m"))
+        base = m.filter(F.col("pop") == v.reference).select("platform", F.col("m").alias("base"))  # a row for each platform
+        excess = R.nll(F.col("m"), 1 / F.col("base")) - R.nll(F.col("m"), 1 / F.col("m"))
+        one = m.join(F.broadcast(base), "platform", "left").select(F.lit(v.name).alias("variant"), "platform", "pop", "accounts", F.col("m").alias("mean_tau"), excess.alias("excess"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 5)

@@ -41,6 +41,11 @@ def read_named(spark: SparkSession, paths: str | list[str], schema: str, multi_l
     return out
 
 
+def epoch_seconds(text: Column) -> Column:
+    """Seconds of a number or an ISO time (UTC without an offset); null where the text is neither."""
+    return F.coalesce(text.try_cast("bigint"), F.unix_timestamp(F.try_to_timestamp(text)))
+
+
 def read_sequences(spark: SparkSession, path: str | list[str], positive_only: bool = True) -> DataFrame:
     """user, ts (long), action (int). Times that are neither number nor ISO are dropped; an ISO time of 0 or
     less too if positive_only, but a number never."""
