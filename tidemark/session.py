@@ -14,15 +14,22 @@ def build(master: str = "local[*]", partitions: int = 8) -> SparkSession:
     return b.config("spark.sql.ansi.enabled", "true").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.ui.enabled", "false").getOrCreate()
 
 
+def _own(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder of this machine, for a local session only."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint; a temporary folder only where spark.checkpoint.dir is unset."""
+    """Cut the lineage by a reliable checkpoint; a temporary folder only in a local session without spark.checkpoint.dir."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(_own(spark, "spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder, for tables that one job writes and another reads."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own(spark, "spark-scratch-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
