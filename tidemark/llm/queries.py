@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import langid, toxicity, url_filter
 from .common import held_out, table
 from .decontam import contamination
+from .divergence import audit
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .minhash import near_duplicates
@@ -94,6 +95,10 @@ def op10_gbt_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "unwanted")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_nb_char_toxicity": op2_nb_char_toxicity,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_gbt_url_filter": op10_gbt_url_filter,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -139,4 +145,21 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT doc_id, item_id, start, len(v) + 4 AS n_words, k::DOUBLE / (len(v) + len(bag) - k) AS similarity FROM sim WHERE k::DOUBLE / (len(v) + len(bag) - k) >= 0.8)
         SELECT doc_id, item_id, start AS start_word, n_words, similarity FROM s
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+    "op12_source_divergence": """
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+        kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3),
+        occ AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        gn AS (SELECT lang, source, sum(n) AS n FROM occ GROUP BY ALL), ln AS (SELECT lang, sum(n) AS n FROM occ GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS c, 1 + (1000000000 * (coalesce(o.n, 0) + 1)) // (coalesce(gn.n, 0)::BIGINT + v.v) AS p
+              FROM grp g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN occ o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+        q AS (SELECT lang, term, 1 + (1000000000 * (sum(c)::BIGINT + 1)) // (ln.n::BIGINT + v.v) AS q FROM p JOIN v USING (lang) JOIN ln USING (lang) GROUP BY lang, term, ln.n, v.v),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+              UNION ALL SELECT lang, source, 'term', term, (p.p - q.q) * (p.p - q.q) // q.q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p.p > q.q)
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r
+        QUALIFY part = 'pair' OR rank <= 200""",
 }
