@@ -16,6 +16,7 @@ from .html_extract import extract
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import pseudonymise
+from .quality import quality_rules
 from .sharding import reshard
 
 
@@ -99,6 +100,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op13_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_nb_char_toxicity": op2_nb_char_toxicity,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_gbt_url_filter": op10_gbt_url_filter,
     "op12_source_divergence": op12_source_divergence,
+    "op13_mcd_quality_rules": op13_mcd_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
