@@ -41,7 +41,6 @@ CLASSES, STEPS = 32, 40
 
 P = len(STATISTICS)
 _LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
-_SPACE = " \t\n\x0b\f\r"
 
 
 def chi_square_cdf(x: float, degrees: int) -> float:
@@ -88,14 +87,14 @@ def _repeated(w: Column) -> Column:
 def base_statistics(text: Column) -> Column:
     """struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines> (long) of a whole text."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    without = lambda chars: F.length(F.translate(text, chars, ""))
+    count = lambda chars: F.regexp_count(text, F.lit(chars))
     words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
     counted = _bind(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("repeated")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     lines = _bind(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")))
     long = lambda c, name: c.cast("long").alias(name)
     return F.struct(
-        long(counted.n, "n_words"), long(without(_SPACE), "word_chars"), long(F.length(text) - without("#*$%&|<>"), "n_symbols"),
+        long(counted.n, "n_words"), long(F.length(text) - count(r"[\x20\x09-\x0D]"), "word_chars"), long(count(r"[#*$%&|<>]"), "n_symbols"),
         long(lines.again, "n_dup_lines"), long(counted.repeated, "n_repeat_words"), long(lines.n, "n_lines"),
     )
 
