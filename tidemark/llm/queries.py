@@ -18,6 +18,7 @@ from .packing import pack
 from .pii import pseudonymise
 from .quality import quality_rules
 from .sharding import reshard
+from .whitening import whiten
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -96,6 +97,11 @@ def op10_gbt_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "unwanted")
 
 
+def op11_spectrum_slicing_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_simhash_decontamination": op9_simhash_decontamination,
     "op10_gbt_url_filter": op10_gbt_url_filter,
+    "op11_spectrum_slicing_whitening": op11_spectrum_slicing_whitening,
     "op12_source_divergence": op12_source_divergence,
     "op13_mcd_quality_rules": op13_mcd_quality_rules,
 }
