@@ -2,56 +2,54 @@
 
 from __future__ import annotations
 
-import csv
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .records import records
+
 SEQUENCE = "user string, ts string, action string"
 ARCHIVE = "user_screen_name string, tweet_time string, tweet_text string, hashtags string, urls string, is_retweet string, in_reply_to_tweetid string, quoted_tweet_tweetid string"
 TIMELINE = "user struct<id_str: string>, full_text string, text string, created_at string, entities struct<urls: array<struct<expanded_url: string, url: string>>>, in_reply_to_status_id bigint, _corrupt_record string"
 
 
-def read_named(spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool = False) -> DataFrame:
+def read_named(spark: SparkSession, paths: str | list[str], schema: str, bad: bool = False) -> DataFrame:
     """The columns of `schema` and _path (the file) from CSV files with headers, taken by name.
 
-    Files may hold further columns, lack some (null) and order them as they like: files of one header are read
-    together. What does not fit a column's type is null. Paths (folders, files or globs) without a file give no
-    rows. `multi_line` allows line breaks in quoted fields, at the price of one task for each file."""
+    Files may hold further columns, lack some (null) and order them as they like; each is read by its own header.
+    Quoted fields may hold line breaks, also where a file is divided among tasks (see `records`). Records of more
+    fields than the header are dropped (with `bad`: they alone are given, all null but the path). What does not fit a
+    column's type is null. Paths (folders, files or globs) without a file give no rows."""
     wanted = spark.createDataFrame([], schema).schema
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     there = [p for p in ([paths] if isinstance(paths, str) else paths) if (found := hadoop.Path(p).getFileSystem(conf).globStatus(hadoop.Path(p))) and len(found)]
-    empty = spark.createDataFrame([], f"{schema}, _path string")
     if not there:
-        return empty
-    # the first line of every file: a row for each file
-    lines = spark.read.text(there).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-    heads: dict[tuple, list[str]] = {}
-    for x in lines.filter("at = 0").groupBy("path").agg(F.first("value").alias("head")).collect():
-        heads.setdefault(tuple(next(csv.reader([x["head"].lstrip("\ufeff")]), [])), []).append(unquote(x["path"]))
-    out = empty
-    for head, files in sorted(heads.items()):
-        names = [f"_c{i}" for i in range(len(head))]
-        at = {name.strip().lower(): c for c, name in reversed(list(zip(names, head, strict=True)))}
-        raw = spark.read.schema(", ".join(f"{c} string" for c in names)).option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").csv(files)
-        cols = [F.col(at[f.name.lower()]).try_cast(f.dataType).alias(f.name) if f.name.lower() in at else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
-        out = out.unionByName(raw.select(*cols, F.col("_metadata.file_path").alias("_path")))
-    return out
+        return spark.createDataFrame([], f"{schema}, _path string")
+    rows = records(spark, there, wanted.fieldNames()).filter("bad" if bad else "not bad")
+    return rows.select(*(F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(wanted)), F.col("path").alias("_path"))
+
+
+def bad_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, records): how many records of each file have more fields than its header or are no CSV."""
+    return read_named(spark, paths, "_x string", bad=True).groupBy(F.col("_path").alias("file")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def whole_number(text: Column) -> Column:
+    """A whole number, also one written as a decimal fraction (cut towards zero); null where the text is no number."""
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
 def epoch_seconds(text: Column) -> Column:
     """Seconds of a number or an ISO time (UTC without an offset); null where the text is neither."""
-    return F.coalesce(text.try_cast("bigint"), F.unix_timestamp(F.try_to_timestamp(text)))
+    return F.coalesce(whole_number(text), F.unix_timestamp(F.try_to_timestamp(text)))
 
 
 def read_sequences(spark: SparkSession, path: str | list[str], positive_only: bool = True) -> DataFrame:
     """user, ts (long), action (int). Times that are neither number nor ISO are dropped; an ISO time of 0 or
     less too if positive_only, but a number never."""
     raw = read_named(spark, path, SEQUENCE)
-    number, iso = F.col("ts").try_cast("bigint"), F.unix_timestamp(F.try_to_timestamp("ts"))
-    rows = raw.select("user", F.coalesce(number, iso).alias("ts"), F.col("action").try_cast("int").alias("action"), number.isNotNull().alias("_n")).filter("ts is not null")
+    number, iso = whole_number(F.col("ts")), F.unix_timestamp(F.try_to_timestamp("ts"))
+    rows = raw.select("user", F.coalesce(number, iso).alias("ts"), whole_number(F.col("action")).try_cast("int").alias("action"), number.isNotNull().alias("_n")).filter("ts is not null")
     return (rows.filter("_n or ts > 0") if positive_only else rows).drop("_n")
 
 
@@ -64,7 +62,7 @@ def archive_action() -> Column:
 
 def read_archive(spark: SparkSession, paths: str | list[str], least: int = 1) -> DataFrame:
     """user (lower case), ts, action of accounts with at least `least` events; bad lines and times are dropped."""
-    raw = read_named(spark, paths, ARCHIVE, multi_line=True)
+    raw = read_named(spark, paths, ARCHIVE)
     rows = raw.select(F.lower("user_screen_name").alias("user"), F.unix_timestamp(F.try_to_timestamp("tweet_time")).alias("ts"), archive_action().alias("action")).filter("user is not null and ts is not null")
     return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user"))).filter(F.col("_n") >= least).drop("_n")
 
@@ -84,7 +82,7 @@ def read_folders(spark: SparkSession, paths: str | list[str], schema: str) -> Da
     """One kind of file from a folder for each account; the folder's name, in lower case, is the user. Accounts
     without the file give no rows, columns that a file lacks are null."""
     user = F.lower(F.url_decode(F.element_at(F.split("_path", "/"), -2)))
-    return read_named(spark, paths, schema, multi_line=True).withColumn("user", user).drop("_path")
+    return read_named(spark, paths, schema).withColumn("user", user).drop("_path")
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +102,7 @@ def stage(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
 
 def read_posts(spark: SparkSession, paths: str | list[str], members: DataFrame, least_chars: int = 5) -> DataFrame:
     """user, ts, text, urls, is_reply of members' posts of at least `least_chars` characters."""
-    raw = read_named(spark, paths, ARCHIVE, multi_line=True)
+    raw = read_named(spark, paths, ARCHIVE)
     text = F.col("tweet_text")
     rows = raw.select(F.lower("user_screen_name").alias("user"), F.unix_timestamp(F.try_to_timestamp("tweet_time")).alias("ts"), text.alias("text"), F.regexp_extract_all(text, F.lit(r"(https?://\S+)"), 1).alias("urls"), F.col("in_reply_to_tweetid").isNotNull().cast("int").alias("is_reply"))
     return rows.filter(F.col("ts").isNotNull() & (F.length("text") >= least_chars)).join(members, "user", "left_semi")
