@@ -152,3 +152,57 @@ def test_numbers_do_not_depend_on_the_layout(spark, parts):
     rows = d.collect()
     assert got == {(r.k, r.v): 1 + sum(s.k == r.k and s.v > r.v for s in rows) for r in rows}
     assert sorted(r.no for r in numbered(d, [], [F.col("v")], "no", parts).collect()) == list(range(1, 101))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_null_keys_and_values_lose_no_row(spark, parts):
+    """Null keys, null values and NaN in numbers, sums and midranks."""
+    from tidemark.operators.ranks import numbered
+
+    nan = float("nan")
+    rows = [(None if i % 3 == 0 else f"k{i % 3}", None if i % 5 == 0 else nan if i % 7 == 0 else float(i % 11), i) for i in range(60)]
+    d = spark.createDataFrame(rows, "k string, v double, id long")
+    order = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    got = {r.id: r.no for r in numbered(d, ["k"], [F.col("v"), F.col("id")], "no", parts).collect()}
+    assert got == {i: 1 + sum(k == k2 and (order(v2), j) < (order(v), i) for k2, v2, j in rows) for k, v, i in rows}
+    low = {r.id: r.below_id for r in cumulative(d, ["k"], "v", ["id"], parts).collect()}
+    assert low == {i: sum(j for k2, v2, j in rows if k == k2 and order(v2) < order(v)) for k, v, i in rows}
+    assert sum(r.ties for r in midranks(d, ["k"], "v").collect()) == 60
+
+
+def test_null_populations_are_split_matched_and_scored(spark):
+    a = spark.createDataFrame([(i, None if i % 2 else "p", 1 + i % 9) for i in range(40)], "user long, pop string, volume long")
+    split = S.holdout(a, "pop", "user", "s").groupBy("pop", "split").count().collect()
+    assert {(r.pop, r.split): r["count"] for r in split} == {(p, s): n for p in (None, "p") for s, n in (("test", 6), ("train", 14))}
+    assert S.folds(a, "pop", "user", 5, 2).groupBy("repeat", "pop", "fold").count().filter("count <> 4").count() == 0
+    b = a.withColumn("volume", F.when(F.col("user") % 4 > 0, F.col("volume")))
+    matched = S.volume_matched(b.filter("user < 8"), b.filter("user >= 8"), "user", "volume")
+    assert matched.count() > 0 and matched.filter("user < 8 or user is null").count() == 0
+    w = V.bootstrap_weights(a.withColumn("y", F.col("user").isNotNull().cast("int")), "user", "y", 3, "t")
+    assert {r.s for r in w.groupBy("b").agg(F.sum("w").alias("s")).collect()} == {40}
+
+
+@pytest.mark.parametrize("kind", ["string", "negative", "huge"])
+def test_components_of_any_id(spark, kind):
+    name = {"string": lambda i: f"n{i:03d}", "negative": lambda i: -1000 + i, "huge": lambda i: 9_000_000_000_000_000_000 + i}[kind]
+    links = [(i, i + 1) for i in range(30)] + [(40, 41), (42, 41), (50, 50), (3, 3)]
+    e = spark.createDataFrame([(name(a), name(b)) for a, b in links] + [(None, name(1)), (name(60), None)], f"a {'string' if kind == 'string' else 'long'}, b {'string' if kind == 'string' else 'long'}")
+    expected = {(name(i), name(0)) for i in range(31)} | {(name(i), name(40)) for i in (40, 41, 42)} | {(name(50), name(50))}
+    assert {(r.node, r.component) for r in N.components(e).collect()} == expected
+
+
+def test_components_of_a_large_star_and_a_long_chain(spark):
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert [(r.component, r["count"]) for r in N.components(star).groupBy("component").count().collect()] == [(0, 100_001)]
+    chain = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert [(r.component, r["count"]) for r in N.components(chain).groupBy("component").count().collect()] == [(0, 10_001)]
+
+
+def test_lanes_bound_the_rows_of_a_key(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, F.lit("hub")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.max("id").alias("most"), F.count(F.lit(1)).alias("edges"))
+    got = N.with_lanes(rows, facts, "k", "id", 100)
+    assert sorted(map(tuple, got.select("k", "id", "most").collect())) == sorted(map(tuple, rows.join(facts, "k").select("k", "id", "most").collect()))
+    lanes = rows.filter("k = 'hub'").groupBy(F.pmod(F.xxhash64("id"), F.lit(40))).count()
+    assert lanes.agg(F.max("count")).first()[0] < 200
+    assert "_lane" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard, written
 from .ranks import numbered
 
+#: Edges of one node that one task may join; a node of more is dealt over lanes.
+LANE = 1000
+
 
 def overlap(pairs: DataFrame, node: str, item: str, least: int) -> DataFrame:
     """(a, b, common, jaccard): nodes that share at least `least` items.
@@ -27,20 +30,50 @@ def overlap(pairs: DataFrame, node: str, item: str, least: int) -> DataFrame:
     return both.select("a", "b", "common", (F.col("common") / (F.col("sum") - F.col("common"))).alias("jaccard"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable; labels spread over the edges and jump along themselves."""
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
-    total = None
+def components(edges: DataFrame, a: str = "a", b: str = "b", lane: int = LANE) -> DataFrame:
+    """(node, component) for every node of the edges: component is the smallest node reachable.
+
+    Alternating large and small stars: each round hangs every node nearer to its component's smallest node, so
+    rounds grow with the logarithm of the longest path, and ids may be of any type that has an order. It is done when
+    every node is its component's smallest or has that one alone as neighbour. Only aggregates (combined before the
+    shuffle) and equal joins run; a node with more than `lane` edges is dealt over several lanes of the joins, so no
+    task holds all edges of a hub. A null at either end makes no edge; an edge of a node with itself makes a node."""
+    named = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    links = cut(named.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.col("u").isNull() | F.col("v").isNull()).toDF("u", "v", "no").filter("not no").drop("no").distinct())
+    alone = links.filter("u = v").select("u", F.col("u").alias("m"))
+    links, path = links.filter("u > v"), None
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        step = labels.join(near, "u").select("u", F.least("c", "m").alias("c"))
-        jump = step.join(step.select(F.col("u").alias("c"), F.col("c").alias("j")), "c").select("u", F.least("c", "j").alias("c"))
-        labels = cut(jump)
-        now = labels.agg(F.sum("c")).first()[0]
-        if now == total:
-            return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        total = now
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("edges")))
+        if least.filter("m <> u and edges > 1").isEmpty():
+            break
+        large = with_lanes(both, least, "u", "v", lane).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")))
+        # every node hangs on its least neighbour, and its other smaller neighbours do too
+        small = with_lanes(large, least, "u", "v", lane).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        links, new = written(small.distinct(), "links")
+        if path:
+            discard(edges.sparkSession, path)
+        path = new
+    if path:
+        discard(edges.sparkSession, path)
+    found = least.select("u", "m")
+    return found.unionByName(alone.join(found, "u", "left_anti")).select(F.col("u").alias("node"), F.col("m").alias("component"))
+
+
+def with_lanes(rows: DataFrame, facts: DataFrame, key: str, spread: str, lane: int = LANE) -> DataFrame:
+    """`rows` joined on `key` with `facts`, which has one row for each key and in `edges` how many rows it has.
+
+    Rows of a key with more than `lane` are dealt over lanes by the hash of `spread`, and its facts are repeated
+    once for each lane. Such keys are fewer than rows / `lane`; their numbers of lanes are broadcast while Spark
+    finds that table small enough, and joined else."""
+    hubs = facts.filter(F.col("edges") > lane).select(key, F.ceil(F.col("edges") / lane).cast("int").alias("_lanes"))
+    if hubs.isEmpty():
+        return rows.join(facts.drop("edges"), key)
+    dealt = rows.join(hubs, key, "left").withColumn("_lane", F.pmod(F.xxhash64(spread), F.coalesce("_lanes", F.lit(1))).cast("int")).drop("_lanes")
+    lanes = F.ceil(F.greatest(F.col("edges"), F.lit(1)) / lane).cast("int")
+    return dealt.join(facts.withColumn("_lane", F.explode(F.sequence(F.lit(0), lanes - 1))).drop("edges"), [key, "_lane"]).drop("_lane")
 
 
 def sized(labels: DataFrame) -> DataFrame:

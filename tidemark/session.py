@@ -33,3 +33,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder, for tables that one job writes and another reads."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own(spark, "spark-scratch-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path. Rounds of a loop go on from such a table: its
+    size is known, while a checkpoint hands on the planner's estimate, which joins multiply from round to round."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
