@@ -91,3 +91,11 @@ def test_shingles_and_signatures():
 def test_components(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(90, 91), (95, 95)], "a long, b long")
     assert {(r.node, r.component) for r in components(e, "a", "b").collect()} == {(i, 0) for i in range(51)} | {(90, 90), (91, 90)}
+
+
+def test_no_task_holds_a_hub(spark):
+    """A star and a chain of hubs, dealt over lanes of ten edges."""
+    star = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(300, 400)] + [(399, 2000 + i) for i in range(60)]
+    e = spark.createDataFrame(star, "a long, b long")
+    got = {(r.node, r.component) for r in components(e, "a", "b", lane=10).collect()}
+    assert got == {(i, 0) for pair in star for i in pair}

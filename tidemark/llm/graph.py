@@ -1,31 +1,15 @@
-"""Connected components as iterated joins."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import cut
+from ..operators import graph
+from .common import shared_folder
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node of the links (a, b): component is the smallest node reachable.
-
-    Alternating large and small stars: each round hangs every node nearer to its component's smallest node, so
-    rounds grow with the logarithm of the longest path. Only aggregates (combined before the shuffle) and equal
-    joins run; each round's edges are checkpointed. Stops when a round changes nothing."""
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        # every node hangs on its least neighbour, and its other smaller neighbours do too
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+def components(links: DataFrame, a: str, b: str, lane: int = graph.LANE) -> DataFrame:
+    """(node, component) for every node of the links (a, b): component is the smallest node reachable. No task holds
+    all links of a node; nulls and a node linked with itself make no node."""
+    shared_folder(links.sparkSession)
+    return graph.components(links.filter(f"{a} <> {b}"), a, b, lane)
