@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .ranks import cumulative, midranks, numbered
 from .sampling import draw
 
@@ -44,7 +45,7 @@ def interval(x: str = "auc", level: float = 0.95) -> list[Column]:
 
 def recall_at_fpr(scored: DataFrame, rates: list[float], score: str = "score", label: str = "y") -> DataFrame:
     """(fpr, threshold, recall, flagged): the threshold is the negatives' 1 - fpr quantile; score >= threshold."""
-    cuts = scored.filter(F.col(label) == 0).agg(F.percentile(score, F.array(*(F.lit(1 - r) for r in rates))).alias("q"))
+    cuts = quantiles(scored.filter(F.col(label) == 0), [], score, [1 - r for r in rates])
     cuts = cuts.select(F.explode(F.arrays_zip(F.array(*map(F.lit, rates)).alias("fpr"), F.col("q").alias("threshold"))).alias("x")).select(F.col("x.fpr").alias("fpr"), F.col("x.threshold").alias("threshold"))
     over = (F.col(score) >= F.col("threshold")).cast("double")
     return scored.join(F.broadcast(cuts)).groupBy("fpr", "threshold").agg(F.avg(F.when(F.col(label) == 1, over)).alias("recall"), F.avg(F.when(F.col(label) == 0, over)).alias("flagged"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+
 #: Lower bounds (minutes) of the pause symbols a .. g.
 PAUSES = ((10080.0, "g"), (1440.0, "f"), (480.0, "e"), (60.0, "d"), (10.0, "c"), (1.0, "b"), (0.0, "a"))
 
@@ -27,11 +29,12 @@ def edges_below(edges: Column, x: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= x))
 
 
-def decile_edges(gapped: DataFrame, by: list[str], *, approximate: bool = False) -> DataFrame:
-    """(by, edges): the nine deciles of the gaps, equal ones merged; `approximate` bounds memory at scale."""
-    tenths = F.array(*(F.lit(k / 10) for k in range(1, 10)))
-    q = F.percentile_approx("gap", tenths, F.lit(100_000)) if approximate else F.percentile("gap", tenths)
-    return gapped.groupBy(*by).agg(F.array_distinct(q).alias("edges"))
+TENTHS = [k / 10 for k in range(1, 10)]
+
+
+def decile_edges(gapped: DataFrame, by: list[str]) -> DataFrame:
+    """(by, edges): the nine deciles of the gaps, equal ones merged."""
+    return quantiles(gapped, by, "gap", TENTHS, "edges").withColumn("edges", F.array_distinct("edges"))
 
 
 def tokenize(gapped: DataFrame, edges: DataFrame, on: list[str]) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import profile as P
+from ..operators import quantiles as E
 from ..operators import sampling as S
 from ..operators import sequences as Q
+from ..operators.ranks import numbered
+from ..session import cut
 from .base import DRAW_SQL, events, rounded, sql, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -123,14 +126,19 @@ def c7(spark, sf):
 
 @query("d12_period_medians", PERIODS + " SELECT status, count(*) AS n, median(n0) AS before, median(n1) AS after, median(n1 - n0) AS delta, avg((n1 > n0)::INT::DOUBLE) AS increased FROM j GROUP BY status")
 def d12(spark, sf):
-    return periods(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.median("n0").alias("before"), F.median("n1").alias("after"), F.median(F.expr("n1 - n0")).alias("delta"), F.avg((F.col("n1") > F.col("n0")).cast("double")).alias("increased"))
+    j = cut(periods(spark, sf))
+    each = j.select("status", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), x.alias("v")) for k, x in enumerate((F.col("n0"), F.col("n1"), F.col("n1") - F.col("n0")))))).alias("x")).select("status", "x.*")
+    medians = E.quantiles(each, ["status", "k"], "v", [0.5]).groupBy("status").agg(*(F.max(F.when(F.col("k") == k, F.col("q")[0])).alias(name) for k, name in enumerate(("before", "after", "delta"))))
+    counts = j.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("n1") > F.col("n0")).cast("double")).alias("increased"))
+    return counts.join(medians, "status", "left").select("status", "n", "before", "after", "delta", "increased")
 
 
 @query("d13_without_top_decile", PERIODS + " SELECT count(*) AS n, median(n1 - n0) AS delta FROM j WHERE status = 'stayer' AND n0 <= (SELECT quantile_cont(n0, 0.9) FROM j WHERE status = 'stayer')")
 def d13(spark, sf):
-    s = periods(spark, sf).filter("status = 'stayer'")
-    edge = s.agg(F.percentile("n0", F.lit(0.9)).alias("edge"))
-    return s.join(F.broadcast(edge)).filter("n0 <= edge").agg(F.count(F.lit(1)).alias("n"), F.median(F.expr("n1 - n0")).alias("delta"))
+    s = cut(periods(spark, sf).filter("status = 'stayer'"))
+    edge = E.quantiles(s, [], "n0", [0.9]).select(F.col("q")[0].alias("edge"))
+    kept = cut(s.join(F.broadcast(edge)).filter("n0 <= edge").withColumn("delta", F.expr("n1 - n0")))
+    return kept.agg(F.count(F.lit(1)).alias("n")).join(E.quantiles(kept, [], "delta", [0.5]).select(F.col("q")[0].alias("delta")), how="left")
 
 
 FLAGS = 'WITH s AS (SELECT pop, "user", count(*) AS n, avg((action = 2)::INT::DOUBLE) AS share FROM $EV GROUP BY ALL), t AS (SELECT quantile_cont(share, 0.9) AS edge FROM s WHERE pop = \'organic\')'
@@ -139,9 +147,14 @@ FLAGS = 'WITH s AS (SELECT pop, "user", count(*) AS n, avg((action = 2)::INT::DO
 @query("d14_flagged_medians", FLAGS + " SELECT pop, share >= edge AS flagged, count(*) AS accounts, median(n) AS median_events, round(median(share), 6) AS median_share FROM s, t GROUP BY ALL")
 def d14(spark, sf):
     s = events(spark, sf).groupBy("pop", "user").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("action") == 2).cast("double")).alias("share"))
-    edge = s.filter("pop = 'organic'").agg(F.percentile("share", F.lit(0.9)).alias("edge"))
-    out = s.join(F.broadcast(edge)).groupBy("pop", (F.col("share") >= F.col("edge")).alias("flagged"))
-    return rounded(out.agg(F.count(F.lit(1)).alias("accounts"), F.median("n").alias("median_events"), F.median("share").alias("median_share")))
+    s = cut(s)
+    edge = E.quantiles(s.filter("pop = 'organic'"), [], "share", [0.9]).select(F.col("q")[0].alias("edge"))
+    out = cut(s.join(F.broadcast(edge)).withColumn("flagged", F.col("share") >= F.col("edge")))
+    by = ["pop", "flagged"]
+    counts = out.groupBy(*by).agg(F.count(F.lit(1)).alias("accounts"))
+    for c in ("n", "share"):
+        counts = counts.join(E.quantiles(out, by, c, [0.5]).select(*by, F.col("q")[0].alias("median_events" if c == "n" else "median_share")), by)
+    return rounded(counts)
 
 
 @query("d15_transition_matrix", 'SELECT "user", s, a, round(n::DOUBLE / sum(n) OVER (PARTITION BY "user", s), 6) AS p FROM (SELECT "user", action AS s, nxt AS a, count(*) AS n FROM (SELECT *, lead(action) OVER (PARTITION BY "user" ORDER BY ts, event_id) AS nxt FROM $EV) WHERE nxt IS NOT NULL GROUP BY ALL)')
@@ -243,7 +256,7 @@ def b11(spark, sf):
 def b12(spark, sf):
     a = events(spark, sf).select("pop", "user").distinct()
     n = a.filter("pop = 'op'").agg(F.count(F.lit(1)).alias("n"))
-    r = a.withColumn("r", F.row_number().over(Window.partitionBy("pop").orderBy(S.digest("cls", F.col("user")), "user")))
+    r = numbered(a, ["pop"], [S.digest("cls", F.col("user")), F.col("user")], "r")
     return r.join(F.broadcast(n)).filter("pop = 'op' or r <= 2 * n").select("pop", "user")
 
 
@@ -374,8 +387,12 @@ def c11(spark, sf):
     return decile_matched(v, "pop", "op", "organic", "user", "n", 5, "dec")
 
 
-@query("c12_length_pairs", """WITH v AS (SELECT pop, "user", count(*) AS n FROM $EV GROUP BY ALL), r AS (SELECT i AS run, pop, "user", n, row_number() OVER (PARTITION BY i, pop ORDER BY n DESC, md5(i || '|' || "user"), "user") AS k FROM v, range(3) t(i))
-    SELECT a.run, a."user" AS member, b."user" AS control, least(a.n, b.n) AS length FROM r a JOIN r b ON a.run = b.run AND a.k = b.k AND a.pop = 'op' AND b.pop = 'organic'""")
+@query("c12_length_pairs", """WITH v AS (SELECT pop, "user", count(*) AS n FROM $EV GROUP BY ALL),
+    r AS (SELECT i AS run, "user", n, (pop = 'op')::INT AS m, sum((pop <> 'op')::INT) OVER w AS c, sum((pop = 'op')::INT) OVER w AS s, row_number() OVER w AS t FROM v, range(3) t(i) WINDOW w AS (PARTITION BY i ORDER BY n DESC, (pop = 'op')::INT, md5(i || '|' || "user"), "user")),
+    q AS (SELECT *, least(0, coalesce(min(c - s) OVER (PARTITION BY run ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM r),
+    u AS (SELECT *, m = 1 AND c - s < low AS short, -least(low, c - s) AS without FROM q), e AS (SELECT run, max(s) - max(without) AS served FROM u GROUP BY run),
+    k AS (SELECT u.*, CASE WHEN m = 0 THEN c WHEN short THEN served + without ELSE s - without END AS k FROM u JOIN e USING (run))
+    SELECT a.run, a."user" AS member, b."user" AS control, least(a.n, b.n) AS length FROM k a JOIN k b ON a.run = b.run AND a.k = b.k AND a.m = 1 AND b.m = 0""")
 def c12(spark, sf):
     from .cohorts import length_pairs
 

@@ -267,9 +267,8 @@ def g16(spark, sf):
     SELECT pop, "user", CASE WHEN n < 10 THEN 'time' WHEN r <= greatest(1, n // 5) THEN 'test' ELSE 'train' END AS part FROM a""")
 def g17(spark, sf):
     a = events(spark, sf).select(F.col("event_type").alias("pop"), "user").distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy("pop"))
-    r = F.row_number().over(Window.partitionBy("pop").orderBy(S.digest("hold", F.col("user")), "user"))
-    a = a.withColumns({"n": n, "r": r})
+    n = F.broadcast(a.groupBy("pop").agg(F.count(F.lit(1)).alias("n")))  # a row for each population
+    a = numbered(a, ["pop"], [S.digest("hold", F.col("user")), F.col("user")], "r").join(n, "pop")
     return a.select("pop", "user", F.when(F.col("n") < 10, "time").when(F.col("r") <= F.greatest(F.lit(1), F.expr("n div 5")), "test").otherwise("train").alias("part"))
 
 
