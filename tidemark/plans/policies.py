@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import evaluate as V
 from ..operators import graph as N
 from ..operators import markov as K
+from ..operators import mixture as L
 from ..operators import models as M
 from ..operators import profile as P
 from ..operators import rescale as R
@@ -267,6 +268,72 @@ def p5b(spark, sf):
     return rounded(R.log_normal_densities(taus(spark, sf), "pop", ["user"]), 4)
 
 
+# ---- mixtures of log-normal laws
+def _tail_sql(z: str) -> str:
+    poly = lambda c: "(" * (len(c) - 1) + f"{c[0]!r}::DOUBLE" + "".join(f" * abs({z}) + {k!r}::DOUBLE)" for k in c[1:])
+    far = f"(abs({z}) + 0.65::DOUBLE)"
+    for k in (4, 3, 2, 1):
+        far = f"(abs({z}) + {k} / {far})"
+    e = f"exp(-{z} * {z} / 2)"
+    return f"(CASE WHEN abs({z}) > 37 THEN 0 WHEN abs({z}) < 7.07106781186547 THEN {e} * {poly(L.TAIL_OVER)} / {poly(L.TAIL_UNDER)} ELSE {e} / {far} / {L.ROOT!r}::DOUBLE END)"
+
+
+#: A law of two components, for the functions' own query.
+WEIGHTS, MUS, SIGMAS = (0.3, 0.7), (2.5, 4.0), (0.5, 0.25)
+_CDF_SQL = " + ".join(f"{w} * (CASE WHEN z{k} > 0 THEN 1 - {_tail_sql(f'z{k}')} ELSE {_tail_sql(f'z{k}')} END)" for k, w in enumerate(WEIGHTS))
+_DENSITY_SQL = " + ".join(f"{w} / ({L.ROOT!r}::DOUBLE * {s} * x) * exp(-z{k} * z{k} / 2)" for k, (w, s) in enumerate(zip(WEIGHTS, SIGMAS, strict=True)))
+
+
+@query(
+    "h12c_mixture_law",
+    f"SELECT event_id, round({_CDF_SQL}, 9) AS cdf, round(ln({_DENSITY_SQL}), 6) AS log_density FROM (SELECT event_id, x, "
+    + ", ".join(f"(ln(x) - {m}::DOUBLE) / {s}::DOUBLE AS z{k}" for k, (m, s) in enumerate(zip(MUS, SIGMAS, strict=True)))
+    + " FROM (SELECT event_id, value::DOUBLE AS x FROM $EV WHERE value > 1))",
+)
+def h12c(spark, sf):
+    """Distribution function and log density of a mixture of log-normal laws."""
+    law = [F.array(*map(F.lit, v)) for v in (WEIGHTS, MUS, SIGMAS)]
+    e = events(spark, sf).filter("value > 1")
+    return e.select("event_id", F.round(L.mixture_cdf(*law, F.col("value")), 9).alias("cdf"), F.round(L.mixture_log_density(*law, F.col("value")), 6).alias("log_density"))
+
+
+def mixture_laws(rows, components: int = 2, steps: int = 20):
+    """A mixture for each platform and context, fitted to the gaps' censoring intervals."""
+    return L.fit(L.minute_counts(rows, ["platform", "ctx"]), ["platform", "ctx"], components, steps)
+
+
+@query("p2c_mixture_baseline")
+def p2c(spark, sf):
+    """The platforms' laws of a gap in each context as mixtures, a row for each component."""
+    laws = mixture_laws(R.contexts(events(spark, sf), ["user"]))
+    each = laws.select("platform", "ctx", "log_likelihood", F.posexplode(F.arrays_zip("weight", "mu", "sigma")).alias("component", "c"))
+    return each.select("platform", "ctx", "component", "c.*", "log_likelihood")
+
+
+@query("p3c_mixture_times")
+def p3c(spark, sf):
+    """Rescaled times under the mixtures: u between the law's values at both ends of the censoring interval."""
+    rows = R.contexts(events(spark, sf), ["user"])
+    law = [F.col(c) for c in ("weight", "mu", "sigma")]
+    r = (S.draw("pit", F.col("event_id")) + 0.5) / F.lit(4294967296.0)
+    low = L.mixture_cdf(*law, F.col("lo"))
+    u = F.least(F.greatest(low + r * L.mixture_between(*law, F.col("lo"), F.col("hi")), F.lit(1e-9)), F.lit(1 - 1e-9))
+    t = rows.join(mixture_laws(rows), ["platform", "ctx"]).select("event_id", "user", "pop", "platform", u.alias("u"))
+    return t.withColumn("tau", -F.log1p(-F.col("u")))
+
+
+@query("p5c_mixture_gain")
+def p5c(spark, sf):
+    """(platform, gaps, one, two): mean log-likelihood a gap with one component and with two."""
+    rows = R.contexts(events(spark, sf), ["user"])
+    counts = L.minute_counts(rows, ["platform", "ctx"])
+    total = counts.groupBy("platform").agg(F.sum("n").alias("gaps"))
+    for k, name in ((1, "one"), (2, "two")):
+        ll = L.fit(counts, ["platform", "ctx"], k, 20).groupBy("platform").agg(F.sum("log_likelihood").alias("ll"))
+        total = total.join(ll, "platform").withColumn(name, F.col("ll") / F.col("gaps")).drop("ll")
+    return total
+
+
 LLR = (
     f"(WITH r AS (SELECT 1 / avg(-ln(1 - u)) AS rate FROM {U} WHERE pop = 'op') SELECT (pop = 'op')::INT AS y, "
     f'round(avg(-ln(1 - u)) - (any_value(rate) * avg(-ln(1 - u)) - ln(any_value(rate))), 6) AS score FROM {U}, r GROUP BY "user", pop)'
