@@ -98,3 +98,35 @@ def test_numbers_written_as_fractions(spark, tmp_path):
     (tmp_path / "s.csv").write_text("user,ts,action\n1,1488377100.0,1.0\n2,1488377100,2\n3,1488377100.7,x\n4,nan,0\n5,-3.5,0\n")
     got = {r.user: (r.ts, r.action) for r in A.read_sequences(spark, str(tmp_path)).collect()}
     assert got == {"1": (1488377100, 1), "2": (1488377100, 2), "3": (1488377100, None), "5": (-3, 0)}
+
+
+def test_fingerprints_of_any_size(spark, tmp_path):
+    """Empty files, names with blanks, nested folders, and a sparse file of more than 2 GB."""
+    import hashlib
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    data = {"in/a.bin": b"x" * 5000, "in/b.bin": b"", "in/deep/c d.bin": b"y"}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.file: (r.bytes, r.sha256) for r in A.fingerprints(spark, str(tmp_path / "in")).collect()}
+    assert got == {n.rsplit("/", 1)[1]: (len(d), hashlib.sha256(d).hexdigest()) for n, d in data.items()}
+    size = (1 << 31) + 5
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+    sha, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        sha.update(block)
+    sha.update(bytes(size & ((1 << 20) - 1)))
+    assert [(r.bytes, r.sha256) for r in A.fingerprints(spark, str(tmp_path / "large.bin")).collect()] == [(size, sha.hexdigest())]
+    assert A.fingerprints(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_stage_follows_its_inputs(spark, tmp_path):
+    source, out = tmp_path / "in.txt", str(tmp_path / "stage")
+    source.write_text("1")
+    rows = lambda n: spark.range(n)
+    assert A.stage(rows(3), out, inputs=str(source)).count() == 3
+    assert A.stage(rows(5), out, inputs=str(source)).count() == 3  # unchanged inputs: only read
+    source.write_text("2")
+    assert A.stage(rows(5), out, inputs=str(source)).count() == 5
+    assert A.stage(rows(7), out).count() == 5

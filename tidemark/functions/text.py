@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Domain classes and top-level domains of the post features; stop words of the tokeniser.
-NEWS = ("bbc.co.uk", "cnn.com", "foxnews.com", "nytimes.com", "reuters.com", "washingtonpost.com")
-SOCIAL = ("facebook.com", "instagram.com", "reddit.com", "twitter.com", "youtube.com")
 TLDS = ("com", "org", "net", "edu", "gov", "co", "ru", "uk")
 STOP = tuple("a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i if in into is it its just like more my no not of on one or our out so some than that the their them then there these they this to up was we were what when which who will with would you your".split())
 
@@ -55,16 +53,27 @@ def share_in(words: Column, vocabulary: Column) -> Column:
 
 
 #: The domain classes of the post features, and the flagged top-level domains.
-NEWS_SITES = """nytimes.com washingtonpost.com cnn.com foxnews.com bbc.com bbc.co.uk reuters.com apnews.com theguardian.com
-    wsj.com usatoday.com nbcnews.com abcnews.go.com cbsnews.com politico.com thehill.com huffpost.com huffingtonpost.com
-    breitbart.com dailycaller.com nypost.com latimes.com chicagotribune.com bloomberg.com time.com newsweek.com
-    buzzfeednews.com buzzfeed.com vox.com salon.com slate.com theatlantic.com npr.org rt.com sputniknews.com
-    dailymail.co.uk independent.co.uk telegraph.co.uk aljazeera.com msnbc.com cnbc.com yahoo.com news.yahoo.com
-    infowars.com truthfeed.com washingtontimes.com thegatewaypundit.com rawstory.com motherjones.com theblaze.com""".split()
-SOCIAL_SITES = """twitter.com t.co facebook.com fb.me youtube.com youtu.be instagram.com reddit.com redd.it imgur.com
-    i.redd.it v.redd.it i.imgur.com vk.com tumblr.com pinterest.com linkedin.com twitch.tv gfycat.com giphy.com""".split()
-PLATFORM_SITES = "twitter.com t.co reddit.com redd.it i.redd.it v.redd.it".split()
-TOP_LEVELS = "com org net ru uk info co us".split()
+NEWS_SITES = (
+    "nytimes.com", "washingtonpost.com", "cnn.com", "foxnews.com", "bbc.com", "bbc.co.uk", "reuters.com", "apnews.com",
+    "theguardian.com", "wsj.com", "usatoday.com", "nbcnews.com", "abcnews.go.com", "cbsnews.com", "politico.com",
+    "thehill.com", "huffpost.com", "huffingtonpost.com", "breitbart.com", "dailycaller.com", "nypost.com",
+    "latimes.com", "chicagotribune.com", "bloomberg.com", "time.com", "newsweek.com", "buzzfeednews.com",
+    "buzzfeed.com", "vox.com", "salon.com", "slate.com", "theatlantic.com", "npr.org", "rt.com", "sputniknews.com",
+    "dailymail.co.uk", "independent.co.uk", "telegraph.co.uk", "aljazeera.com", "msnbc.com", "cnbc.com", "yahoo.com",
+    "news.yahoo.com", "infowars.com", "truthfeed.com", "washingtontimes.com", "thegatewaypundit.com", "rawstory.com",
+    "motherjones.com", "theblaze.com",
+)
+SOCIAL_SITES = (
+    "twitter.com", "t.co", "facebook.com", "fb.me", "youtube.com", "youtu.be", "instagram.com", "reddit.com",
+    "redd.it", "imgur.com", "i.redd.it", "v.redd.it", "i.imgur.com", "vk.com", "tumblr.com", "pinterest.com",
+    "linkedin.com", "twitch.tv", "gfycat.com", "giphy.com",
+)
+PLATFORM_SITES = (
+    "twitter.com", "t.co", "reddit.com", "redd.it", "i.redd.it", "v.redd.it",
+)
+TOP_LEVELS = (
+    "com", "org", "net", "ru", "uk", "info", "co", "us",
+)
 
 
 def domain_classes(domain: Column) -> dict[str, Column]:

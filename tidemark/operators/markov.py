@@ -66,6 +66,23 @@ def fold_ratios(counts: DataFrame, pop: str, case: str, control: str, symbols: i
     return held.select("repeat", "fold", pop, "user", "llr", ((F.col("llr") - F.col("_mu")) / (F.col("_sd") + 1e-9)).alias("z"))
 
 
+def law_ratios(counts: DataFrame, pop: str, case: str, control: str, symbols: int) -> DataFrame:
+    """(fold, pop, user, llr, z) of accounts held out of each law; `counts` are moves with `fold`, the account's own,
+    and `law`, the fold whose training set made the tokens: every account has moves under every law.
+
+    As `fold_ratios`, for tokens that differ from fold to fold."""
+    train = counts.filter(F.col("fold") != F.col("law"))
+    n = train.groupBy("law", "prev", "next").agg(*(F.sum(F.when(F.col(pop) == p, F.col("n")).otherwise(0)).alias(c) for c, p in (("a", case), ("b", control))))
+    t = n.groupBy("law", "prev").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    part = lambda n, t: F.log((F.coalesce(n, F.lit(0)) + 1.0) / (F.coalesce(t, F.lit(0)) + symbols))
+    # a row for each law, state and symbol
+    s = counts.join(F.broadcast(cut(n)), ["law", "prev", "next"], "left").join(F.broadcast(cut(t)), ["law", "prev"], "left")
+    s = cut(s.groupBy("law", "fold", pop, "user").agg((F.sum(F.col("n") * (part("a", "ta") - part("b", "tb"))) / F.sum("n")).alias("llr")))
+    reference = s.filter((F.col("fold") != F.col("law")) & (F.col(pop) == control)).groupBy("law").agg(F.avg("llr").alias("_mu"), F.stddev_pop("llr").alias("_sd"))
+    held = s.filter(F.col("fold") == F.col("law")).join(F.broadcast(reference), "law")
+    return held.select("fold", pop, "user", "llr", ((F.col("llr") - F.col("_mu")) / (F.col("_sd") + 1e-9)).alias("z"))
+
+
 def log_likelihoods(moved: DataFrame, train: DataFrame, pop: str, names: list[str], by: list[str], symbols: int) -> DataFrame:
     """(by, law, ll): the mean log probability of each account's moves under every named population's policy."""
     n = train.groupBy(F.col(pop).alias("law"), "prev", "next").agg(F.sum("n").alias("_n"))

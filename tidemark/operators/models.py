@@ -8,10 +8,12 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ranks import numbered
 
 
 def standardised(df: DataFrame, columns: list[str], reference: DataFrame) -> DataFrame:
@@ -66,3 +68,35 @@ def fit_scores(fits: dict[tuple, tuple], names: list[str], key: str, label: str
 
 def vectors(df: DataFrame, array_col: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(array_col, lambda x: x.cast("double"))))
+
+
+# ---- sparse term features
+def vocabulary(terms: DataFrame, accounts: DataFrame, key: str, term: str) -> DataFrame:
+    """(term, place, idf) of the terms of the given accounts: places from 0 by falling number of accounts, equal ones
+    by term; idf = ln((1 + accounts) / (1 + accounts with the term)) + 1."""
+    ids = accounts.select(key).distinct()
+    total = ids.agg(F.count(F.lit(1)).alias("_all"))
+    df = terms.join(ids, key, "left_semi").groupBy(term).agg(F.count_distinct(key).alias("_df")).filter(F.col(term).isNotNull())
+    placed = numbered(df, [], [-F.col("_df"), F.col(term)], "place").join(F.broadcast(total))
+    return cut(placed.select(term, (F.col("place") - 1).cast("int").alias("place"), (F.log((1 + F.col("_all")) / (1 + F.col("_df")).cast("double")) + 1).alias("idf")))
+
+
+def sparse_features(terms: DataFrame, accounts: DataFrame, words: DataFrame, key: str, term: str, count: str) -> DataFrame:
+    """`accounts` with `features`: (1 + ln count) * idf of the terms in the vocabulary `words`, of length one; other
+    terms are left out, and an account with none of them has the zero vector."""
+    width = words.count()
+    known = terms.join(words, term).select(key, "place", ((1 + F.log(F.col(count).cast("double"))) * F.col("idf")).alias("v"))
+    rows = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("t"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    rows = rows.select(key, F.transform("t", lambda x: x.place).alias("at"), F.transform("t", lambda x: x.v / F.col("norm")).alias("x"))
+    packed = F.udf(lambda at, x: Vectors.sparse(width, at or [], x or []), VectorUDT())
+    return accounts.join(rows, key, "left").withColumn("features", packed("at", "x")).drop("at", "x")
+
+
+def sparse_fit_score(terms: DataFrame, train: DataFrame, test: DataFrame, key: str, term: str, count: str, label: str = "y") -> DataFrame:
+    """(key, y, score): a balanced logistic law on sparse term features, vocabulary and idf of the training accounts
+    alone; `terms` (key, term, count) holds both sets' terms. Fitted and applied without a column for each term."""
+    words = vocabulary(terms, train, key, term)
+    fitted = cut(sparse_features(terms, balanced(train, label), words, key, term, count).select("features", F.col(label).cast("double").alias("label"), "weight"))
+    model = estimator("lr", fitted.count()).fit(fitted)
+    out = model.transform(sparse_features(terms, test, words, key, term, count))
+    return out.select(key, F.col(label).alias("y"), vector_to_array("probability")[1].alias("score"))

@@ -14,12 +14,13 @@ from ..operators import rescale as R
 from ..operators import sampling as S
 from ..operators import sequences as Q
 from ..operators import sync as Y
+from ..operators.quantiles import without_each_fold
 from ..session import cut
 from .base import DRAW_SQL, events, rounded, sql, table
 from .cohorts import decile_matched, length_pairs
 from .policies import CTX, START, WIDTH
 from .profiles import MATCH
-from .scores import FOLDS, TOKENS, auc_sql, tokens
+from .scores import FOLDS, TENTHS, TOKENS, G, auc_sql, tokens
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -39,6 +40,7 @@ def query(name, oracle=None):
 
 
 # ---- classifiers: fits run side by side, their scores are one long table
+#: Fixed values of the protocol: the feature groups of the ablation and the pairs that are compared.
 HOURS = [f"hour_{h}" for h in range(24)]
 PHASE = [*HOURS, *P.MASSES]
 SCHEDULE = ["weekday_ratio", "top6h_mass", "hour_entropy", "day_density"]
@@ -166,6 +168,38 @@ def m18(spark, sf, k: int = 5):
     return V.auc(M.fit_scores(fits, ["fold"], "vec_id"), ["fold"]).agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"))
 
 
+# ---- symbol n-grams as sparse features
+def symbol_terms(spark, sf):
+    """(user, g, n): how often an account's symbol string has each n-gram."""
+    g = Q.symbols(events(spark, sf), ["user"]).select("user", F.explode(Q.grams(F.col("text"))).alias("g"))
+    return cut(g.groupBy("user", "g").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("m7b_symbol_scorer")
+def m7b(spark, sf):
+    """Held-out accounts scored by a linear law on TF-IDF of symbol n-grams; terms and weights of terms are learned
+    from the training accounts alone."""
+    a = events(spark, sf).select("user", "pop").distinct().withColumn("y", is_op())
+    a = cut(S.holdout(a, "pop", "user", "m7"))
+    return M.sparse_fit_score(symbol_terms(spark, sf), a.filter("split = 'train'"), a.filter("split = 'test'"), "user", "g", "n")
+
+
+@query("m17c_refit_symbol_scorer")
+def m17c(spark, sf):
+    """(fit, target, accounts, auc): the symbol scorer fitted on each platform's accounts, and its AUC on the accounts
+    of both platforms that no fit has seen."""
+    a = events(spark, sf).select("user", "pop", "platform").distinct().withColumn("y", is_op())
+    a = cut(S.holdout(a, "pop", "user", "m17"))
+    terms, out = symbol_terms(spark, sf), None
+    for fit in ("A", "B"):
+        train = a.filter((F.col("split") == "train") & (F.col("platform") == fit))
+        s = M.sparse_fit_score(terms, train, a.filter("split = 'test'"), "user", "g", "n").withColumn("fit", F.lit(fit))
+        out = s if out is None else out.unionByName(s)
+    s = cut(out.join(a.select("user", F.col("platform").alias("target")), "user"))
+    n = s.groupBy("fit", "target").agg(F.count(F.lit(1)).alias("accounts"))
+    return n.join(V.auc(s, ["fit", "target"]), ["fit", "target"])
+
+
 # ---- policies in folds
 MOVES = f'(SELECT pop, "user", prev, token AS next, count(*) AS n FROM (SELECT *, lag(token) OVER (PARTITION BY "user" ORDER BY ts, event_id) AS prev FROM {TOKENS}) WHERE prev IS NOT NULL GROUP BY ALL)'
 FOLD_LLR = f"""(WITH m AS (SELECT f.repeat, f.fold, m.* FROM {MOVES} m JOIN {FOLDS} f USING ("user")),
@@ -185,6 +219,46 @@ def fold_llr(spark, sf):
     return s.select("repeat", "fold", "user", is_op().alias("y"), (F.round("llr", 6) + 0.0).alias("llr"), (F.round("z", 4) + 0.0).alias("z"))
 
 
+OWN_DECILES = f"""(WITH f AS (SELECT * FROM {FOLDS} WHERE repeat = 0), g AS (SELECT x.*, f.fold FROM {G} x JOIN f USING ("user")), l AS (SELECT unnest(range(5)) AS law),
+    e AS (SELECT law, platform, list_sort(list_distinct(quantile_cont(sec / 60.0::DOUBLE, {TENTHS}))) AS q FROM g JOIN l ON g.fold <> l.law WHERE pop = 'organic' GROUP BY ALL),
+    t AS (SELECT law, fold, pop, "user", ts, event_id, action * 10 + least(len(list_filter(q, lambda z: z <= sec / 60.0::DOUBLE)), 9) AS token FROM g JOIN e USING (platform)),
+    m AS (SELECT law, fold, pop, "user", prev, token AS next, count(*) AS n FROM (SELECT *, lag(token) OVER (PARTITION BY law, "user" ORDER BY ts, event_id) AS prev FROM t) WHERE prev IS NOT NULL GROUP BY ALL),
+    c AS (SELECT law, prev, next, coalesce(sum(n) FILTER (pop = 'op'), 0) AS a, coalesce(sum(n) FILTER (pop = 'organic'), 0) AS b FROM m WHERE fold <> law GROUP BY ALL),
+    tt AS (SELECT law, prev, sum(a) AS ta, sum(b) AS tb FROM c GROUP BY ALL),
+    s AS (SELECT m.law, m.fold, pop, "user", sum(n * (ln((coalesce(a, 0) + 1.0::DOUBLE) / (coalesce(ta, 0) + 30)) - ln((coalesce(b, 0) + 1.0::DOUBLE) / (coalesce(tb, 0) + 30)))) / sum(n) AS llr FROM m LEFT JOIN c USING (law, prev, next) LEFT JOIN tt USING (law, prev) GROUP BY ALL),
+    r AS (SELECT law, avg(llr) AS mu, stddev_pop(llr) AS sd FROM s WHERE fold <> law AND pop = 'organic' GROUP BY law)
+    SELECT s.law AS fold, "user", (pop = 'op')::INT AS y, round(llr, 6) + 0.0 AS llr, round((llr - mu) / (sd + 1e-9), 4) + 0.0 AS z FROM s JOIN r USING (law) WHERE s.fold = s.law)"""
+
+
+def own_decile_llr(spark, sf, k: int = 5):
+    """Held-out ratios whose tokens take the gap deciles of each fold's own training controls."""
+    folds = S.folds(events(spark, sf).select("pop", "user").distinct(), "pop", "user", k, 1).select("user", "fold")
+    g = cut(Q.gaps(events(spark, sf), ["user"]).join(folds, "user"))
+    edges = without_each_fold(g.filter("pop = 'organic'"), ["platform"], "gap", "fold", Q.TENTHS, k, "edges")
+    edges = cut(edges.select("platform", F.col("fold").alias("law"), F.array_distinct("edges").alias("edges")))
+    moved = K.moves(K.steps(Q.tokenize(g, edges, ["platform"]), ["law", "user"]), ["law", "fold", "pop", "user"])
+    s = K.law_ratios(cut(moved), "pop", "op", "organic", 30)
+    return s.select("fold", "user", is_op().alias("y"), (F.round("llr", 6) + 0.0).alias("llr"), (F.round("z", 4) + 0.0).alias("z"))
+
+
+@query("m13d_own_deciles", f"SELECT * FROM {OWN_DECILES}")
+def m13d(spark, sf):
+    return own_decile_llr(spark, sf)
+
+
+@query(
+    "m13e_own_and_frozen_auc",
+    f"WITH o AS {OWN_DECILES}, z AS (SELECT * FROM {FOLD_LLR} WHERE repeat = 0), s AS (SELECT 'own' AS deciles, y, llr, z FROM o UNION ALL SELECT 'frozen', y, llr, z FROM z) "
+    f"SELECT a.deciles, round(a.auc, 5) AS raw, round(b.auc, 5) AS centred FROM ({auc_sql('(SELECT deciles, y, llr AS score FROM s)', 'deciles')}) a JOIN ({auc_sql('(SELECT deciles, y, z AS score FROM s)', 'deciles')}) b USING (deciles)",
+)
+def m13e(spark, sf):
+    """AUC over all folds of one repeat with each fold's own deciles and with the platforms' frozen ones."""
+    s = own_decile_llr(spark, sf).withColumn("deciles", F.lit("own")).select("deciles", "y", "llr", "z")
+    s = cut(s.unionByName(fold_llr(spark, sf).filter("repeat = 0").withColumn("deciles", F.lit("frozen")).select("deciles", "y", "llr", "z")))
+    raw, centred = (V.auc(s.withColumnRenamed(c, "score"), ["deciles"]).select("deciles", F.round("auc", 5).alias(name)) for c, name in (("llr", "raw"), ("z", "centred")))
+    return raw.join(centred, "deciles")
+
+
 @query("m13b_policy_folds", f"SELECT * FROM {FOLD_LLR}")
 def m13b(spark, sf):
     """Held-out ratios of two policies in 3 x 5 folds, and the same centred by the training controls."""

@@ -333,13 +333,15 @@ def h2(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.domain_of(F.col("url")).alias("domain"))
 
 
-@query("h3_domain_flags", f"SELECT page_id, string_split({DOM}, '.')[-1] AS tld, {DOM} IN ('twitter.com', 'facebook.com', 'reddit.com', 'youtube.com', 'instagram.com') AS social FROM pages")
+_IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
+
+
+@query("h3_domain_flags", f"SELECT page_id, string_split({DOM}, '.')[-1] AS tld, {DOM} IN {_IN(T.SOCIAL_SITES)} AS social FROM pages")
 def h3(spark, sf):
     d = T.domain_of(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", F.element_at(F.split(d, r"\."), -1).alias("tld"), d.isin(*T.SOCIAL).alias("social"))
+    return table(spark, sf, "pages").select("page_id", F.element_at(F.split(d, r"\."), -1).alias("tld"), d.isin(*T.SOCIAL_SITES).alias("social"))
 
 
-_IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
 _FLAGS = {
     "news": f"d IN {_IN(T.NEWS_SITES)}",
     "social": f"d IN {_IN(T.SOCIAL_SITES)}",

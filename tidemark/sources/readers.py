@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .records import records
 
+#: Stores that workers read in blocks of so many bytes.
+STREAMED, BLOCK = ("file", "hdfs", "s3", "gs"), 8 << 20
 SEQUENCE = "user string, ts string, action string"
 ARCHIVE = "user_screen_name string, tweet_time string, tweet_text string, hashtags string, urls string, is_retweet string, in_reply_to_tweetid string, quoted_tweet_tweetid string"
 TIMELINE = "user struct<id_str: string>, full_text string, text string, created_at string, entities struct<urls: array<struct<expanded_url: string, url: string>>>, in_reply_to_status_id bigint, _corrupt_record string"
@@ -85,18 +93,76 @@ def read_folders(spark: SparkSession, paths: str | list[str], schema: str) -> Da
     return read_named(spark, paths, schema).withColumn("user", user).drop("_path")
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256)."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
+def fingerprints(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, bytes, sha256) of every file below the paths (folders, files or globs), empty ones too.
 
-def stage(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
-    """Write a stage as Parquet and read it again; a stage that is there already is only read."""
+    Files are listed by the driver, as for any scan, and dealt to tasks, which read them in blocks, so a file may be
+    of any size. Stores that only Spark's own readers reach are read by them, which bounds a file there to 2 GB."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    files = []
+    for p in [path] if isinstance(path, str) else path:
+        system = hadoop.Path(p).getFileSystem(conf)
+        for found in system.globStatus(hadoop.Path(p)) or []:
+            below = system.listFiles(found.getPath(), True)
+            while below.hasNext():
+                status = below.next()
+                if not status.getPath().getName().startswith(("_", ".")):
+                    files.append((status.getPath().toString(), status.getLen()))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uri in batch.column(0).to_pylist():
+                if uri.startswith("file:"):
+                    system, where = pa.fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+                else:
+                    system, where = pa.fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+                sha = hashlib.sha256()
+                with system.open_input_stream(where) as stream:
+                    while block := stream.read(BLOCK):
+                        sha.update(block)
+                out.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["path", "bytes", "sha256"])
+
+    known = [f for f in files if f[0].split(":")[0] in STREAMED]
+    listed = spark.createDataFrame(known, "path string, bytes long").repartition(max(1, min(len(known), 10 * spark.sparkContext.defaultParallelism)))
+    found = listed.mapInArrow(digest, "path string, bytes long, sha256 string")
+    other = [f for f in files if f[0].split(":")[0] not in STREAMED]
+    if other:
+        content = spark.read.format("binaryFile").load([f for f, n in other if n] or [f for f, _ in other]).select("path", F.sha2("content", 256).alias("sha256"))
+        rest = spark.createDataFrame(other, "path string, bytes long").join(content, "path", "left")
+        found = found.unionByName(rest.select("path", "bytes", F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256")))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+
+
+def stage(df: DataFrame, path: str, by: list[str] | None = None, inputs: str | list[str] | None = None) -> DataFrame:
+    """Write a stage as Parquet and read it again; a stage that is there already is only read.
+
+    With `inputs` (paths), a stage that was made of other contents is made anew: the digest of its inputs' fingerprints
+    stands beside it."""
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    done, mark = hadoop.Path(f"{path}/_SUCCESS"), hadoop.Path(f"{path}/_inputs")
+    system = done.getFileSystem(conf)
+    key = None
+    if inputs is not None:
+        prints = fingerprints(spark, inputs).groupBy("sha256").count().agg(F.sort_array(F.collect_list(F.concat_ws(" ", "sha256", F.col("count").cast("string")))).alias("all"))  # a line for each file
+        key = prints.select(F.sha2(F.array_join("all", ";"), 256)).first()[0]
+    if system.exists(done) and key is not None:
+        was = None
+        if system.exists(mark):
+            stream = system.open(mark)
+            was = stream.readUTF()
+            stream.close()
+        if was != key:
+            system.delete(hadoop.Path(path), True)
+    if not system.exists(done):
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(path)
+        if key is not None:
+            stream = system.create(mark, True)
+            stream.writeUTF(key)
+            stream.close()
     return spark.read.parquet(path)
 
 
