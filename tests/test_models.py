@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as V
+from tidemark.operators import markov as K
 from tidemark.operators import models as M
 from tidemark.plans.registry import QUERIES
 
@@ -50,3 +51,67 @@ def test_scores_of_a_model_query(spark, name):
 def test_refit_on_other_accounts(spark):
     s = QUERIES["m17c_refit_symbol_scorer"](spark, "/root/testdata/sf0.01").toPandas()
     assert set(zip(s.fit, s.target, strict=True)) == {(a, b) for a in "AB" for b in "AB"} and s.auc.between(0, 1).all()
+
+
+def plain_tree(train, held, depth, symbols):
+    """{(suffix, next): p} and the kept suffixes, by recursion over counted sequences."""
+    from collections import Counter
+
+    n, v = Counter(), Counter()
+    for which, seqs in ((n, train), (v, held)):
+        for s in seqs:
+            for i, x in enumerate(s):
+                for d in range(min(depth, i) + 1):
+                    which[tuple(s[i - d : i]), x] += 1
+    total, kinds = Counter(), Counter()
+    for (s, _), c in n.items():
+        total[s] += c
+        kinds[s] += 1
+    kept = set()
+
+    def p(s, x):
+        up = p(s[1:], x) if s else 1 / symbols
+        return (n[s, x] + kinds[s] * up) / (total[s] + kinds[s]) if s in kept else up
+
+    for d in range(depth + 1):
+        for s in sorted({s for s, _ in [*n, *v] if len(s) == d}):
+            if total[s] and (not s or s[1:] in kept):
+                gain = 0.0
+                for (t, x), c in v.items():
+                    if t == s and s:
+                        up = p(s[1:], x)
+                        gain += c * (math.log((n[s, x] + kinds[s] * up) / (total[s] + kinds[s])) - math.log(up))
+                if not s or not held or gain > 0:
+                    kept.add(s)
+    return kept, p
+
+
+@pytest.mark.parametrize("grown", [False, True])
+def test_context_tree_matches_recursion(spark, grown):
+    import random
+
+    r = random.Random(5)
+
+    def sequence():
+        s = []
+        for _ in range(r.randint(1, 40)):
+            s.append((s[-1] + s[-2]) % 3 if len(s) > 1 and r.random() < 0.8 else r.randrange(3))
+        return s
+
+    train, held, test = ([sequence() for _ in range(n)] for n in (12, 8 if grown else 0, 5))
+    rows = [(f"{w}{i}", k, x, w) for w, seqs in (("train", train), ("held", held), ("test", test)) for i, s in enumerate(seqs) for k, x in enumerate(s)]
+    d = spark.createDataFrame(rows, "user string, ts int, token int, kind string").withColumn("event_id", F.col("ts"))
+    c = K.suffixes(d, ["user"], 3).cache()
+    tree = K.context_tree(c.filter("kind <> 'test'"), [], 3, 4, F.col("kind") == "held" if grown else None)
+    kept, p = plain_tree(train, held, 3, 4)
+    mine = {tuple(map(int, filter(None, x.suffix.split(",")))) for t in tree for x in t.filter("kept").select("suffix").distinct().collect()}
+    assert mine == kept
+    got = K.context_score(c.filter("kind = 'test'"), tree, [], 4, "lp").groupBy("user").agg(F.avg("lp").alias("m")).collect()
+    for x in got:
+        s = test[int(x.user[4:])]
+        assert x.m == pytest.approx(sum(math.log(p(tuple(s[max(0, i - 3) : i]), v)) for i, v in enumerate(s)) / len(s))
+
+
+def test_the_tree_is_no_worse_than_order_one(spark):
+    s = QUERIES["m19b_context_tree"](spark, "/root/testdata/sf0.01").toPandas()
+    assert len(s) == 2 and (s.tree <= s.order_0 + 0.05).all() and (s.tree <= s.order_1 + 0.05).all()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -91,3 +91,54 @@ def log_likelihoods(moved: DataFrame, train: DataFrame, pop: str, names: list[st
     each = each.join(F.broadcast(n), ["law", "prev", "next"], "left").join(F.broadcast(t), ["law", "prev"], "left")
     logp = F.log((F.coalesce("_n", F.lit(0)) + 1.0) / (F.coalesce("_t", F.lit(0)) + symbols))
     return each.groupBy(*by, "law").agg((F.sum(F.col("n") * logp) / F.sum("n")).alias("ll"))
+
+
+# ---- contexts of variable length
+def suffixes(tokens: DataFrame, by: list[str], depth: int, token: str = "token") -> DataFrame:
+    """Adds `next` and c0 .. c<depth>: the last d tokens before each, joined by commas; null where there are fewer."""
+    w = order(by)
+    past = [F.lag(token, k).over(w) for k in range(1, depth + 1)]
+    contexts = {f"c{d}": F.when(past[d - 1].isNotNull(), F.concat_ws(",", *reversed(past[:d]))) if d else F.lit("") for d in range(depth + 1)}
+    return tokens.withColumns(contexts | {"next": F.col(token).cast("int")})
+
+
+def context_tree(rows: DataFrame, by: list[str], depth: int, symbols: int, held: Column | None = None) -> list[DataFrame]:
+    """For each length d from 0 the table (by, suffix, next, n, total, kinds, kept, p) of a context tree.
+
+    A context of `total` tokens of `kinds` different ones gives the next token (n + kinds * up) / (total + kinds): as
+    many counts as it has kinds escape to the law `up` of the context without its oldest token, and at last to the
+    uniform law. With `held` (boolean) those rows are not counted; a context then stays only if its parent does and
+    its law makes the held rows that meet it likelier than the parent's; where it does not, p is the parent's. One
+    aggregate and two joins for each length."""
+    out, mark = [], F.lit(False) if held is None else held
+    for d in range(depth + 1):
+        pairs = rows.filter(F.col(f"c{d}").isNotNull()).groupBy(*by, F.col(f"c{d}").alias("suffix"), "next").agg(F.count_if(~mark).alias("n"), F.count_if(mark).alias("v"))
+        nodes = pairs.groupBy(*by, "suffix").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds"))
+        x = pairs.join(nodes, [*by, "suffix"])
+        if d:
+            parent = out[-1].select(*by, F.col("suffix").alias("_parent"), "next", F.col("p").alias("_up"), F.col("kept").alias("_above"))
+            x = x.withColumn("_parent", F.regexp_replace("suffix", "^[^,]*,?", "")).join(parent, [*by, "_parent", "next"])
+        else:
+            x = x.withColumns({"_up": F.lit(1.0 / symbols), "_above": F.lit(True)})
+        x = x.withColumn("_own", F.when(F.col("total") > 0, (F.col("n") + F.col("kinds") * F.col("_up")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("_up")))
+        stays = F.col("_above") & (F.col("total") > 0)
+        if held is not None and d:
+            gains = x.groupBy(*by, "suffix").agg((F.sum(F.col("v") * (F.log("_own") - F.log("_up"))) > 0).alias("_gains"))
+            x, stays = x.join(gains, [*by, "suffix"]), stays & F.col("_gains")
+        x = x.withColumn("kept", stays)
+        out.append(cut(x.select(*by, "suffix", "next", "n", "total", "kinds", "kept", F.when(F.col("kept"), F.col("_own")).otherwise(F.col("_up")).alias("p"))))
+    return out
+
+
+def context_score(rows: DataFrame, tree: list[DataFrame], on: list[str], symbols: int, name: str) -> DataFrame:
+    """Adds `name`: the log probability of each row's `next` under the tree, from the shortest context to the longest
+    that is kept. Tables of lengths 0 and 1 are broadcast (symbols squared rows a law at most), longer ones joined."""
+    x = rows.withColumn(name, F.lit(1.0 / symbols))
+    for d, law in enumerate(tree):
+        small = F.broadcast if d < 2 else (lambda t: t)
+        nodes = law.filter("kept").select(*on, F.col("suffix").alias(f"c{d}"), F.col("total").alias("_total"), F.col("kinds").alias("_kinds")).distinct()
+        pairs = law.filter("kept").select(*on, F.col("suffix").alias(f"c{d}"), "next", F.col("n").alias("_n"))
+        x = x.join(small(nodes), [*on, f"c{d}"], "left").join(small(pairs), [*on, f"c{d}", "next"], "left")
+        longer = (F.coalesce("_n", F.lit(0)) + F.col("_kinds") * F.col(name)) / (F.col("_total") + F.col("_kinds"))
+        x = x.withColumn(name, F.when(F.col("_total").isNotNull(), longer).otherwise(F.col(name))).drop("_total", "_kinds", "_n")
+    return x.withColumn(name, F.log(name))

@@ -168,6 +168,61 @@ def m18(spark, sf, k: int = 5):
     return V.auc(M.fit_scores(fits, ["fold"], "vec_id"), ["fold"]).agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"))
 
 
+# ---- policies over contexts of variable length
+DEPTH = 2
+
+
+def _context_sql() -> str:
+    rows = 'SELECT "user", pop, token AS next, \'\' AS c0, ' + ", ".join(
+        "CASE WHEN lag(token, {d}) OVER w IS NOT NULL THEN ".format(d=d) + " || ',' || ".join(f"lag(token, {k}) OVER w" for k in range(d, 0, -1)) + f" END::VARCHAR AS c{d}" for d in range(1, DEPTH + 1)
+    ) + f' FROM {TOKENS} WINDOW w AS (PARTITION BY "user" ORDER BY ts, event_id)'
+    parts, joins, p = [f"r AS ({rows})"], "", {"op": "(1.0::DOUBLE / 30)", "organic": "(1.0::DOUBLE / 30)"}
+    for d in range(DEPTH + 1):
+        parts.append(f"n{d} AS (SELECT pop, c{d} AS s, next, count(*) AS n FROM r WHERE c{d} IS NOT NULL GROUP BY ALL)")
+        parts.append(f"t{d} AS (SELECT pop, s, sum(n) AS total, count(*) AS kinds FROM n{d} GROUP BY ALL)")
+        for law in p:
+            t, n = f"t{d}{law}", f"n{d}{law}"
+            joins += f" LEFT JOIN t{d} {t} ON {t}.pop = '{law}' AND {t}.s = r.c{d} LEFT JOIN n{d} {n} ON {n}.pop = '{law}' AND {n}.s = r.c{d} AND {n}.next = r.next"
+            p[law] = f"(CASE WHEN {t}.total IS NULL THEN {p[law]} ELSE (coalesce({n}.n, 0) + {t}.kinds * {p[law]}) / ({t}.total + {t}.kinds) END)"
+    return f"WITH {', '.join(parts)} SELECT r.\"user\", r.pop, round(avg(ln({p['op']})) - avg(ln({p['organic']})), 6) + 0.0 AS llr FROM r{joins} GROUP BY ALL"
+
+
+@query("m11b_context_policy", _context_sql())
+def m11b(spark, sf):
+    """Each account's mean log ratio of two policies over the last two tokens, which escape to shorter contexts."""
+    rows = cut(K.suffixes(tokens(spark, sf), ["user"], DEPTH).select("user", "pop", "next", *(f"c{d}" for d in range(DEPTH + 1))))
+    tree = K.context_tree(rows, ["pop"], DEPTH, 30)
+    of = lambda law: [t.filter(F.col("pop") == law).drop("pop") for t in tree]
+    s = K.context_score(K.context_score(rows, of("op"), [], 30, "la"), of("organic"), [], 30, "lb")
+    return rounded(s.groupBy("user", "pop").agg((F.avg("la") - F.avg("lb")).alias("llr")))
+
+
+@query("m19b_context_tree")
+def m19b(spark, sf, depth: int = 4):
+    """(pop, contexts, longest, tree, order_1, order_0): nats a token of accounts that no count has seen, under trees
+    grown on other accounts where a second set of them gains."""
+    a = events(spark, sf).select("user").distinct()
+    third = F.pmod(S.draw("tree", F.col("user")), F.lit(3))
+    rows = K.suffixes(tokens(spark, sf), ["user"], depth).join(a.select("user", third.alias("third")), "user")
+    rows = cut(rows.select("user", "pop", "third", "next", *(f"c{d}" for d in range(depth + 1))))
+    seen, unseen = rows.filter("third < 2"), rows.filter("third = 2")
+    tree = K.context_tree(seen, ["pop"], depth, 30, F.col("third") == 1)
+    x = unseen
+    for name, law in (("tree", tree), ("order_1", tree_of(seen, 1)), ("order_0", tree_of(seen, 0))):
+        x = K.context_score(x, law, ["pop"], 30, name)
+    nats = x.groupBy("pop").agg(*((-F.avg(c)).alias(c) for c in ("tree", "order_1", "order_0")))
+    kept = None
+    for d, t in enumerate(tree):
+        n = t.filter("kept").select("pop", "suffix").distinct().withColumn("d", F.lit(d))
+        kept = n if kept is None else kept.unionByName(n)
+    return kept.groupBy("pop").agg(F.count(F.lit(1)).alias("contexts"), F.max("d").alias("longest")).join(nats, "pop")
+
+
+def tree_of(seen, depth: int):
+    """The same counts at a fixed depth."""
+    return K.context_tree(seen.filter("third = 0"), ["pop"], depth, 30)
+
+
 # ---- symbol n-grams as sparse features
 def symbol_terms(spark, sf):
     """(user, g, n): how often an account's symbol string has each n-gram."""
