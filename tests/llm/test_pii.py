@@ -109,3 +109,20 @@ def test_every_valid_value_changes_and_none_meet(spark):
     assert [(x.text, x.pii_kinds) for x in pii.pseudonymise(odd, key="k").collect()] == [(x.text, []) for x in odd.collect()]
     other = pii.pseudonymise(docs, key="another").collect()
     assert sum(x.text == new[x.old] for x in other) < 10  # by chance, among single characters
+
+
+def test_names_are_never_changed_in_part(spark):
+    """Accented names, apostrophes, dates with slashes; values inside words and names of other alphabets stay."""
+    texts = ["ünal.müller@x.org", "o'neil@x.org", "JOSÉ.é@x.org é@y.fr", "born 2020/01/05.", "5555555555554444x 5555555555554444", "straße@x.org ιω@x.gr", "2020/13/05", "naïve2020-01-05"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = pii.pseudonymise(d, "t", key="k")
+    got = {r.i: (r.t, list(r.pii_kinds)) for r in out.collect()}
+    name = got[0][0].split("@")[0]
+    assert got[0][1] == ["email"] and re.fullmatch("[à-þ][a-z]{3}\\.[a-z][à-þ][a-z]{4}", name) and name != "ünal.müller"
+    assert got[1][1] == ["email"] and re.fullmatch("[a-z]'[a-z]{4}@x\\.org", got[1][0]) and not got[1][0].startswith("o'neil")
+    assert got[2][1] == ["email", "email"] and re.fullmatch("[A-Z]{3}[À-Þ]\\.[à-þ]@x\\.org [à-þ]@y\\.fr", got[2][0]) and " é@" not in got[2][0]
+    assert got[3][1] == ["date"] and re.fullmatch("born \\d{4}/0[1-9]/0[1-9]\\.", got[3][0]) and "2020/01/05" not in got[3][0]
+    assert got[4][1] == ["card"] and got[4][0].startswith("5555555555554444x 5") and not got[4][0].endswith("5555555555554444")
+    assert got[5] == (texts[5], []) and got[6] == (texts[6], []) and got[7] == (texts[7], [])
+    back = pii.pseudonymise(out.select("i", "t"), "t", key="k", reverse=True)
+    assert {r.i: r.t for r in back.collect()} == dict(enumerate(texts))

@@ -24,21 +24,25 @@ BLOCK = 12
 FIRST_YEAR, YEARS = 1900, 200
 
 #: The pattern's alternatives, in order.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])(?:[\p{L}\p{N}._%+-]|(?<=\p{L})['’](?=\p{L})){1,64}@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}"
 OTHERS = (
     r"\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     r"\d{4}-\d{2}-\d{2}(?![\d-])",
+    r"\d{4}/\d{2}/\d{2}(?![\d/])",
     r"\d{1,2}[./]\d{1,2}[./]\d{4}(?![\d])",
     r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
-    r"\d{4}[ -]\d{6}[ -]\d{5}(?!\d)",
+    r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d\p{L}])",
+    r"\d{4}[ -]\d{6}[ -]\d{5}(?![\d\p{L}])",
     r"\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     r"\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
 )
-PATTERN = f"{EMAIL}|(?<![A-Za-z0-9.+])(?:{'|'.join(OTHERS)})"
+PATTERN = f"{EMAIL}|(?<![\\p{{L}}\\p{{N}}.+])(?:{'|'.join(OTHERS)})"
 KINDS = ("email", "ipv4", "phone", "date", "ssn", "card")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Letters with accents are an alphabet of their own; a pattern of all that is permuted, in lower case and in both.
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+PERMUTED, EITHER_CASE = "a-z0-9à-öø-þ", "A-Za-z0-9À-ÖØ-Þà-öø-þ"
 
 
 def _let(value: Column, use) -> Column:
@@ -77,15 +81,15 @@ def cycle(x: Column, p: Column, q: Column, key: str, kind: str | Column, reverse
 
 
 def _radix(c: Column) -> Column:
-    return F.when(c >= "a", _long(26)).otherwise(_long(10))
+    return F.when(c >= "à", _long(len(ACCENTED))).when(c >= "a", _long(26)).otherwise(_long(10))
 
 
 def _place(c: Column) -> Column:
-    return (F.ascii(c) - F.when(c >= "a", ord("a")).otherwise(ord("0"))).cast("bigint")
+    return F.when(c >= "à", F.position(c, F.lit(ACCENTED)) - 1).otherwise(F.ascii(c) - F.when(c >= "a", ord("a")).otherwise(ord("0"))).cast("bigint")
 
 
 def _block(part: Column, key: str, tweak: Column, reverse: bool) -> Column:
-    """Up to BLOCK characters a-z and 0-9, permuted among those of the same classes."""
+    """Up to BLOCK characters a-z, 0-9 and accented, permuted among those of the same classes."""
     chars = F.split(part, "")
     start = F.struct(_long(0).alias("v"), _long(1).alias("p"), _long(1).alias("q"), F.lit(0).alias("i"))
 
@@ -93,14 +97,14 @@ def _block(part: Column, key: str, tweak: Column, reverse: bool) -> Column:
         left = s.i < F.ceil(F.length(part) / 2)
         return F.struct((s.v * _radix(c) + _place(c)).alias("v"), F.when(left, s.p * _radix(c)).otherwise(s.p).alias("p"), F.when(left, s.q).otherwise(s.q * _radix(c)).alias("q"), (s.i + 1).alias("i"))
 
-    # one character has halves too: 13 x 2 letters, 5 x 2 digits
+    # one character has halves too: 13 x 2 letters, 15 x 2 accented, 5 x 2 digits
     halves = lambda s: F.when(s.i == 1, F.struct(s.v.alias("v"), F.call_function("div", s.p, _long(2)).alias("p"), _long(2).alias("q"))).otherwise(F.struct(s.v.alias("v"), s.p.alias("p"), s.q.alias("q")))
     number = F.aggregate(chars, start, read, halves)
     done = _let(number, lambda s: cycle(s.v, s.p, s.q, key, tweak, reverse))
 
     def write(s: Column, c: Column) -> Column:
         digit = F.pmod(s.v, _radix(c)).cast("int")
-        shown = F.when(c >= "a", F.substring(F.lit(LETTERS), digit + 1, F.lit(1))).otherwise(digit.cast("string"))
+        shown = F.when(c >= "à", F.substring(F.lit(ACCENTED), digit + 1, F.lit(1))).when(c >= "a", F.substring(F.lit(LETTERS), digit + 1, F.lit(1))).otherwise(digit.cast("string"))
         return F.struct(F.call_function("div", s.v, _radix(c)).alias("v"), F.concat(shown, s.out).alias("out"))
 
     spell = lambda n: F.aggregate(F.reverse(chars), F.struct(n.alias("v"), F.lit("").alias("out")), write, lambda s: s.out)
@@ -131,8 +135,8 @@ def refill(shape: Column, chars: Column) -> Column:
 
     def put(s: Column, c: Column) -> Column:
         new = F.substring(chars, s.n + 1, F.lit(1))
-        cased = F.when(c.between("A", "Z"), F.upper(new)).otherwise(new)
-        kept = ~c.rlike("[A-Za-z0-9]")
+        cased = F.when(c.rlike("[A-ZÀ-ÖØ-Þ]"), F.upper(new)).otherwise(new)
+        kept = ~c.rlike(f"[{EITHER_CASE}]")
         return F.struct(F.concat(s.out, F.when(kept, c).otherwise(cased)).alias("out"), (s.n + F.when(kept, 0).otherwise(1)).alias("n"))
 
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), put, lambda s: s.out)
@@ -157,7 +161,7 @@ def luhn_sum(digits: Column) -> Column:
 def _email(m: Column, key: str, reverse: bool) -> Column:
     """The name's letters and digits are permuted without regard to case; the host stays."""
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    plain = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+    plain = F.regexp_replace(F.lower(name), f"[^{PERMUTED}]", "")
     return F.concat(refill(name, permute(plain, key, "mail", reverse)), F.lit("@"), host)
 
 
@@ -202,7 +206,7 @@ def _ssn(m: Column, key: str, reverse: bool) -> Column:
     return _let(done, write)
 
 
-DATE = r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}[./]\d{1,2}[./]\d{4}$"
+DATE = r"^\d{4}([-/])\d{2}\1\d{2}$|^\d{1,2}[./]\d{1,2}[./]\d{4}$"
 
 
 def _days(year: Column, month: Column) -> Column:
@@ -221,7 +225,7 @@ def _read_date(m: Column) -> Column:
         return F.when(good, F.struct(y.alias("y"), mo.alias("m"), d.alias("d"), F.lit(order).alias("order")))
 
     slashed = F.coalesce(of(number(2), number(0), number(1), "mdy"), of(number(2), number(1), number(0), "dmy"))
-    return F.when(m.contains("-"), of(number(0), number(1), number(2), "ymd")).when(m.contains("/") & ~m.contains("."), slashed).when(~m.contains("/"), of(number(2), number(1), number(0), "dmy"))
+    return F.when(m.rlike(r"^\d{4}"), of(number(0), number(1), number(2), "ymd")).when(m.contains("/") & ~m.contains("."), slashed).when(~m.contains("/"), of(number(2), number(1), number(0), "dmy"))
 
 
 def _date(m: Column, key: str, reverse: bool) -> Column:
@@ -256,7 +260,7 @@ def kind_of(m: Column) -> Column:
     n = F.length(d)
     octets = ~F.exists(F.split(m, r"\."), lambda o: F.try_to_number(o, F.lit("999")) > 255)
     return (
-        F.when(m.contains("@"), F.when(m.rlike("[A-Za-z0-9].*@"), "email"))
+        F.when(m.contains("@"), F.when(m.rlike(f"[{EITHER_CASE}].*@") & ~m.rlike(rf"[\p{{L}}\p{{N}}&&[^{EITHER_CASE}]].*@"), "email"))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets & ~m.rlike(r"(^|\.)0\d"), "ipv4"))
         .when(m.rlike(DATE), F.when(_read_date(m).isNotNull(), "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(_valid_ssn(d), "ssn"))
@@ -279,8 +283,9 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str, reverse:
 
     Null texts stay null, with no kinds; empty ones stay empty. What is no valid value stays as it is, and so
     does all other text. Rows are kept, repeated ones too; very long texts are read whole; an empty table gives
-    no rows; a column named pii_kinds is replaced. A mail name without a letter or digit, an IPv4 octet
-    with a leading zero and a date of other centuries are no valid values. `reverse` gives the text back."""
+    no rows; a column named pii_kinds is replaced. A mail name without a letter or digit, or with letters beyond
+    a-z and the accented ones of Western languages (ß, Greek, Cyrillic, ..), an IPv4 octet with a leading zero and a
+    date of other centuries are no valid values; a value never begins or, for cards, ends inside a word. `reverse` gives the text back."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() == "pii_kinds" and c != text_col))
     found = fresh([*docs.columns, "pii_kinds"], "_found")
     text = F.col(text_col)
