@@ -152,3 +152,60 @@ def test_url_filter_against_brute_force(spark):
     assert [r.verdict for r in url_filter.judge(fresh, model, []).collect()] == ["allow", "block"]
     assert url_filter.judge(odd.filter("false"), model, URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge(fresh, url_filter.fit(labelled.filter("false")), []).collect()} == {"allow"}
+
+
+def plain_buckets(text):
+    """Buckets of a text's character n-grams in plain Python: letters in lower case, a run of anything else one 0."""
+    from tidemark.llm.chars import PLACES
+
+    longest, code = max(toxicity.ORDERS), []
+    for c in (text or "").lower() + "\n":
+        if c.isalpha():
+            code.append(ord(c))
+        elif not code or code[-1] != 0:
+            code.append(0)
+    if code[0] == 0:
+        scored = range(1, len(code))  # what leads a text is no place of its own
+    else:
+        scored = range(len(code))
+    lead = [0] * (longest - 1)
+    code = lead + code if code[0] != 0 else lead + code[1:]
+    out = set()
+    for i in range(longest - 1, len(code)):
+        for n in toxicity.ORDERS:
+            h = sum(code[i - k] * int(PLACES[k]) for k in range(n)) % (1 << 64)
+            out.add(((h * 0xD6E8FEB86659FD93) % (1 << 64)) >> (64 - toxicity.HASH_BITS))
+    return out if len(scored) else set()
+
+
+def test_toxicity_matches_plain_python(spark):
+    """Features, log-count ratios, the fit's optimum and the scores, recomputed for every text."""
+    import math
+    import random
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(2, 7)))
+    words = [word() for _ in range(60)]
+    rows = []
+    for i in range(300):
+        y = int(r.random() < 0.3)
+        text = [r.choice(words[: 40 if y else 60]) for _ in range(r.randint(3, 25))] + (["blight"] if y and r.random() < 0.8 else [])
+        r.shuffle(text)
+        rows.append((i, r.choice([" ", "  ", ", ", "\n"]).join(text).title(), y))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, features=200)
+    found = {i: plain_buckets(t) for i, t, _ in rows}
+    ones, zeros = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+    count = {b: [sum(b in found[i] and y == k for i, _, y in rows) for k in (0, 1)] for b in model.buckets.tolist()}
+    assert len(model.buckets) == 200 and all(sum(c) >= toxicity.MIN_TEXTS for c in count.values())
+    ratio = {b: math.log(((c[1] + 1) / (ones + 2)) / ((c[0] + 1) / (zeros + 2))) for b, c in count.items()}
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    p = {i: 1 / (1 + math.exp(-model.intercept - sum(w for b, w in weight.items() if b in found[i]))) for i, *_ in rows}
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    assert got == pytest.approx(p, rel=1e-9)
+    # the penalised loss is flat in every scaled feature: its slope is that of the loss plus the penalty's
+    for b, w in weight.items():
+        if abs(ratio[b]) > 0.05:
+            slope = sum((p[i] - y) * ratio[b] for i, _, y in rows if b in found[i]) / len(rows) + toxicity.PENALTY * w / ratio[b]
+            assert abs(slope) < 2e-3
+    assert abs(sum(p[i] - y for i, _, y in rows) / len(rows)) < 2e-3
