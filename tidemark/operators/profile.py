@@ -58,6 +58,11 @@ def profile(events: DataFrame, by: list[str], tie: str = "event_id") -> DataFram
         F.sum("_new_day").alias("_days"), F.date_diff(F.max("_day"), F.min("_day")).alias("_span"),
         F.sum(F.coalesce((gap > 0).cast("long"), F.lit(1))).alias("n_distinct_ts"),
     )
+    return _features(g, by)
+
+
+def _features(g: DataFrame, by: list[str]) -> DataFrame:
+    """The 41 features from an account's shares, counts and gap statistics."""
     hours = [F.col(f"hour_{h}") for h in range(24)]
     within = lambda lo, hi: sum((hours[h] for h in range(lo, hi + 1)), F.lit(0.0))
     weekday = F.when(F.col("_end") == 0, 5.0).otherwise(F.least(F.lit(5.0), (F.col("_week") / 5) / (F.col("_end") / 2 + EPS)))

@@ -21,6 +21,7 @@ from ..operators import sequences as Q
 from ..operators import sync as Y
 from ..session import cut, scratch
 from ..sources import readers as A
+from ..streaming import profiles as kept
 from ..streaming.ingest import daily_counts
 from .base import DRAW_SQL, events, rounded, sql, table
 from .profiles import CENTROID, DEC, ERA_COLUMNS, ORDERS_SQL, PAIR, orders, profile_sql
@@ -600,6 +601,18 @@ def s1(spark, sf):
     return daily_counts(spark, f"{base}/in", t.schema, f"{base}/out", f"{base}/state").withColumn("day", F.col("day").cast("string"))
 
 
+@query("s2_profiles_from_batches", profile_sql("$EV", 'pop, "user"'))
+def s2(spark, sf):
+    """The account profile kept up to date from a stream of four stretches of time."""
+    base = scratch(spark, "s2")
+    e = events(spark, sf).select("pop", "user", "ts", "action", "event_id")
+    week = F.least(F.floor((F.col("ts") - START) / (7 * 86400)), F.lit(3))
+    for i in range(4):
+        e.filter(week == i).coalesce(1).write.mode("append").parquet(f"{base}/in")  # one file a stretch, in order
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return rounded(kept.profile_of(kept.keep_up(spark, stream, ["pop", "user"], f"{base}/out", f"{base}/state"), ["pop", "user"]))
+
+
 # ---- further sources, populations and protocols
 @query("a3_sequence_csv_unfiltered", 'SELECT "user"::VARCHAR AS "user", CASE WHEN event_id % 4 = 0 THEN -ts ELSE ts END AS ts FROM $EV')
 def a3(spark, sf):
