@@ -138,8 +138,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     # dealt by term, so that the sums of a source and those of the language need one shuffle
     of_term = Window.partitionBy("lang", "term")
     sums = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    cells = sums.withColumn("d", F.sum("docs").over(of_term)).filter(F.col("d") >= least_documents)
-    cells = cut(cells.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("all"), (F.min("source").over(of_term) == F.col("source")).cast("long").alias("once"), F.xxhash64("term").alias("h")))
+    # a number for each term, so that the blocks below carry no strings; it is settled once the cells are written
+    cells = sums.withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.sum("docs").over(of_term)).filter(F.col("d") >= least_documents)
+    cells = cut(cells.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("all"), (F.min("source").over(of_term) == F.col("source")).cast("long").alias("once"), F.min("row").over(of_term).alias("id")))
 
     # a row for each group and each language; what follows broadcasts them only while they are small
     groups = docs.select(_text(lang_col).alias("lang"), _text(source_col).alias("source")).distinct()
@@ -166,19 +167,19 @@ def _pairs(cells: DataFrame, known: DataFrame, block_cells: int, tile: int) -> D
     placed = cells.join(known.select("lang", "source", "place", "terms", "sources", "total"), ["lang", "source"])
     # terms of like counts share a block, so a block has few levels; its number of terms is bounded by its share
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TERMS), F.floor(F.lit(block_cells) / F.col("sources"))))
-    block = F.pmod(F.col("h"), F.ceil(F.col("terms") / room)).cast("long")
-    placed = placed.select("lang", F.floor(F.log2("all") / 2).cast("int").alias("size"), block.alias("block"), "h", "term", "place", "n")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("terms") / room)).cast("long")
+    placed = placed.select("lang", F.floor(F.log2("all") / 2).cast("int").alias("size"), block.alias("block"), "id", "place", "n")
     sides = known.groupBy("lang").agg(F.first("terms").alias("terms"), F.sort_array(F.collect_list(F.struct("place", "total"))).alias("totals"))
     # only the first row of a block carries the totals of its language
     lead = placed.groupBy("lang", "size", "block").agg(F.count(F.lit(1)).alias("rows")).join(sides, "lang")
-    lead = lead.select("lang", "size", "block", F.lit(None).cast("string").alias("term"), F.lit(-1).alias("place"), F.col("terms").alias("n"), F.col("totals.total").alias("totals"))
-    rows = placed.select("lang", "size", "block", "term", "place", "n", F.lit(None).cast("array<bigint>").alias("totals")).unionByName(lead)
+    lead = lead.select("lang", "size", "block", F.lit(None).cast("long").alias("id"), F.lit(-1).alias("place"), F.col("terms").alias("n"), F.col("totals.total").alias("totals"))
+    rows = placed.select("lang", "size", "block", "id", "place", "n", F.lit(None).cast("array<bigint>").alias("totals")).unionByName(lead)
 
     def price(block: pd.DataFrame) -> pd.DataFrame:
         head = block["place"].to_numpy() < 0
         terms, totals = int(block["n"][head].iloc[0]), [int(t) for t in block["totals"][head].iloc[0]]
         body = block[~head]
-        row, names = pd.factorize(body["term"])
+        row, names = pd.factorize(body["id"])
         counts = np.zeros((len(names), len(totals)), dtype=np.int64)
         counts[row, body["place"].to_numpy()] = body["n"].to_numpy()
         n = len(totals)
