@@ -1,17 +1,24 @@
 """Main-text extraction by wrappers: union-free regular expressions inferred from the pages of one host.
 
 A page's token stream is read as elements (block tags; inline tags melt into text). The wrapper of a host is a
-sequence of places at each level, every kind of element once: where the pages disagree, what recurs becomes one
-repeated group, what a page lacks becomes optional, and a text that differs becomes a slot, so the wrapper stays
-free of unions. Two wrappers are aligned along their longest common sequence of places, which is the longest rising
-run of positions since a kind has one place; what else both hold is one place all the same, so the merge of
-counts, flags and texts depends on no order, and every page shapes the wrapper: each task merges its own pages,
-hosts then merge what tasks found, in two steps. Pages with an article element, with a main element and with neither
-are templates of their own.
-
-Each page is then matched against its host's wrapper, and the text of the places that belong to the article comes
-out: what the article or main element holds, else the slots; text that SUPPORT different pages repeat alike is
-template. A group under a menu, footer, advert or the like never belongs to it.
+sequence of groups of places at each level, every kind of element once. Pages are aligned one after another: what a
+page lacks becomes optional, what recurs becomes repeated, kinds that come before and after each other become one
+repeated group, and a text that differs becomes a slot, so the wrapper stays free of unions. The wrapper keeps which
+kind directly follows which; its groups in order are the strong components of that relation, so the merge depends
+on no order of the pages, and every page shapes the wrapper: each task merges its own pages, hosts then merge what
+tasks found, in two steps. Pages with an article element, with a main element and with neither are templates of
+their own.
+
+Slots decide what the article is. A slot weighs as many words as its texts do not share. From the root on, the
+division that holds more than two thirds of the words of its level is followed, as long as it is no repeated place;
+headings before it and other places of paragraphs with an eighth of its words come along. Where no division
+below the body leads, text that SUPPORT different pages repeat alike is template. Article and main elements are the author's own word: they bound the
+article, unless their slots hold less than a tenth of all. A group under a menu, footer, advert or the like never
+belongs to it. Hosts with fewer than SUPPORT different pages prove no slot: all that is not outside counts there.
+
+Each page is then matched against its host's wrapper, group by group in order. A page that has places in another
+order, lacks a required one or repeats one that is not repeated does not match and is read by a wrapper of its own;
+elements the wrapper does not know are as their parent.
 
 Wrappers are one row a host. They are broadcast only if their measured size is small; else pages and wrappers
 meet in a join whose key is salted, so that a host with a third of the pages spreads over many tasks.
@@ -23,8 +30,8 @@ import html as entities
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -43,17 +50,22 @@ SUPPORT = 4
 #: Elements nested deeper are read as blocks of the element at this depth; kinds of one tag beyond this number in one
 #: place are one place, so that names of their own for every page do not swell a wrapper.
 MAX_DEPTH, MAX_KINDS = 128, 200
+#: A division is followed if it holds more than this share of its level's slot words, others come along from this share
+#: of its words on, and article elements below this share of all slot words do not bound the article.
+DOMINANT, COMPANION, EXPLICIT = (2, 3), (1, 8), (1, 10)
 #: Places that a task holds before it passes its wrappers on.
 HELD_PLACES = 200_000
 
 #: HTML's block elements, those whose content is raw, those left out with their content, those that close an open one of their kind,
-#: and the elements, roles and class words that mark what is not the article.
+#: the divisions of a page, headings, and the elements, roles and class words that mark what is not the article.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = "script|style|textarea|title"
 DROPPED = set("noscript template iframe svg select button object canvas".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 VOID = {"hr"}
+DIVISIONS = {"html", "body", "main", "article", "section", "div", "center"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 OUTSIDE = {"aside", "dialog", "footer", "form", "head", "header", "menu", "nav"}
 OUTSIDE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
 OUTSIDE_WORDS = set("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
@@ -164,6 +176,7 @@ def read(page: str) -> Element:
     return root
 
 
+@lru_cache(100_000)
 def outside(kind: str) -> bool:
     tag, _, names = kind.partition(" ")
     if tag in OUTSIDE:
@@ -192,14 +205,17 @@ def template_of(root: Element) -> str:
     return found
 
 
-# A wrapper's place is a list: [optional, repeated, places by kind in order], and a text place (kind "#")
-# [optional, repeated, the text that all pages repeat or None for a slot, hashes of SUPPORT pages with it].
+# An element's place is a list [optional, repeated, places by kind, hashes of SUPPORT pages (root only), kinds that
+# directly follow each kind]; a text's place (kind "#") is [optional, repeated, the text that all pages repeat or None
+# for a slot, hashes of SUPPORT pages with it, words, texts, words that all texts share (None: those of the text)].
 def fold(element: Element, page_hash: int) -> list:
     """The wrapper of one page: siblings of one kind are one repeated place."""
-    places: dict[str, list] = {}
+    node: list = [0, 0, {}, [], {}]
+    places, last = node[2], None
     for c in element.children:
         if isinstance(c, str):
-            kind, one = "#", [0, 0, _SPACE.sub(" ", c).strip(), [page_hash]]
+            text = _SPACE.sub(" ", c).strip()
+            kind, one = "#", [0, 0, text, [page_hash], text.count(" ") + 1, 1, None]
         else:
             kind, one = c.kind, fold(c, page_hash)
         if kind in places:
@@ -207,95 +223,169 @@ def fold(element: Element, page_hash: int) -> list:
             places[kind][1] = 1
         else:
             places[kind] = one
-    return _collapsed([0, 0, places])
+        if last is not None:
+            node[4].setdefault(last, set()).add(kind)
+        last = kind
+    return _collapsed(node)
 
 
 def merge(a: list, b: list) -> list:
     """Align b with a, in place."""
     a[0], a[1] = a[0] | b[0], a[1] | b[1]
-    if len(a) == 4:
-        same = a[2] is not None and a[2] == b[2]
-        a[2], a[3] = (a[2], sorted({*a[3], *b[3]})[:SUPPORT]) if same else (None, [])
+    if isinstance(a[2], dict):
+        if b[3]:
+            a[3] = sorted({*a[3], *b[3]})[:SUPPORT]
+        return align(a, b)
+    a[4], a[5] = a[4] + b[4], a[5] + b[5]
+    if a[2] is not None and a[2] == b[2]:
+        a[3] = sorted({*a[3], *b[3]})[:SUPPORT]
     else:
-        a[2] = align(a[2], b[2])
-        _collapsed(a)
+        mine, other = (x[2].split(" ") if x[6] is None else x[6] for x in (a, b))
+        a[2], a[3], a[6] = None, [], sorted({*mine}.intersection(other)) if mine and other else []
     return a
 
 
-def align(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
-    """The places of both in one order that keeps their longest common sequence; what one lacks is optional."""
-    for kind, x in a.items():
-        if kind in b:
-            merge(x, b[kind])
+def align(a: list, b: list) -> list:
+    """Align the places of element b with those of a, in place: what one of them lacks is optional, what both hold is
+    merged, and what follows what is what either says."""
+    wide = {kind[1:] for x in (a, b) for kind in x[2] if kind[0] == "*"}
+    if wide:
+        _gather(a, wide)
+        _gather(b, wide)
+    for kind, x in a[2].items():
+        if kind in b[2]:
+            merge(x, b[2][kind])
         else:
             x[0] = 1
-    if list(a) == list(b):
-        return a
-    at = {kind: i for i, kind in enumerate(a)}
-    common = [kind for kind in b if kind in at]
-    tails: list[int] = []  # the longest rising run of a's positions
-    ends: list[str] = []
-    before: dict[str, str | None] = {}
-    for kind in common:
-        i = bisect_left(tails, at[kind])
-        before[kind] = ends[i - 1] if i else None
-        tails[i : i + 1], ends[i : i + 1] = [at[kind]], [kind]
-    run, kind = set(), ends[-1] if ends else None
-    while kind is not None:
-        run.add(kind)
-        kind = before[kind]
-    out, new = {}, []
-    rest = iter(a.items())
-    for kind, x in b.items():
-        if kind in run:  # what a holds up to this place comes first, then what b alone holds
-            for other, y in rest:
-                if other == kind:
-                    break
-                out[other] = y
-            out.update(new)
-            new = []
-            out[kind] = a[kind]
-        elif kind not in at:
-            new.append((kind, [1, *x[1:]]))
-    out.update(rest)
-    out.update(new)
-    return out
+    for kind, x in b[2].items():
+        if kind not in a[2]:
+            x[0] = 1
+            a[2][kind] = x
+    for kind, after in b[4].items():
+        a[4][kind] = {*a[4].get(kind, ()), *after}
+    return _collapsed(a)
 
 
 def _collapsed(node: list) -> list:
     """More than MAX_KINDS kinds of one tag, none of them known as outside, become one repeated place."""
     if len(node[2]) > MAX_KINDS:
-        tags: dict[str, list[str]] = {}
-        for kind in node[2]:
-            if kind != "#" and not outside(kind):
-                tags.setdefault(kind.split(" ")[0], []).append(kind)
-        for tag, kinds in tags.items():
-            if len(kinds) > MAX_KINDS:
-                whole = node[2].get(f"{tag} *") or [1, 1, {}]
-                for kind in kinds:
-                    if kind != f"{tag} *":
-                        merge(whole, node[2].pop(kind))
-                whole[:2] = [1, 1]
-                node[2][f"{tag} *"] = whole
+        tags = [kind.split(" ")[0] for kind in node[2] if kind != "#" and not outside(kind)]
+        _gather(node, {tag for tag in set(tags) if tag[0] != "*" and tags.count(tag) > MAX_KINDS})
     return node
 
 
+def _gather(node: list, tags: set[str]) -> None:
+    """All kinds of these tags that are not outside become the place * and the tag."""
+    if not tags:
+        return
+    name = lambda kind: f"*{tag}" if (tag := kind.split(" ")[0]) in tags and not outside(kind) else kind
+    for kind in [k for k in node[2] if name(k) != k]:
+        whole = node[2].setdefault(name(kind), [1, 1, {}, [], {}])
+        merge(whole, node[2].pop(kind))
+        whole[:2] = [1, 1]
+    order, node[4] = node[4], {}
+    for kind, after in order.items():
+        node[4].setdefault(name(kind), set()).update(map(name, after))
+
+
+def groups_of(node: list) -> list[list[str]]:
+    """The kinds of an element by groups in page order: kinds that lead to each other are one group (the strong
+    components of "directly follows")."""
+    after = {kind: sorted(node[4].get(kind, ())) for kind in node[2]}
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: dict[str, None] = {}
+    found: list[list[str]] = []
+    for start in sorted(after):
+        todo = [] if start in index else [(start, iter(after[start]))]
+        while todo:
+            kind, rest = todo[-1]
+            if kind not in index:
+                index[kind] = low[kind] = len(index)
+                held[kind] = None
+            for x in rest:
+                if x not in index:
+                    todo.append((x, iter(after[x])))
+                    break
+                if x in held:
+                    low[kind] = min(low[kind], index[x])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[kind])
+                if low[kind] == index[kind]:
+                    group = []
+                    while not group or group[-1] != kind:
+                        group.append(held.popitem()[0])
+                    found.append(sorted(group))
+    return found[::-1]
+
+
 def places_of(node: list) -> int:
-    return 1 if len(node) == 4 else 1 + sum(map(places_of, node[2].values()))
+    return 1 + sum(map(places_of, node[2].values())) if isinstance(node[2], dict) else 1
+
+
+def _constant(text: list) -> bool:
+    return text[2] is not None and len(text[3]) >= SUPPORT
+
+
+def slot_words(kind: str, node: list) -> int:
+    """Words of the slots at and below a place that is not outside, less those that all texts of a slot share."""
+    if isinstance(node[2], dict):
+        return 0 if outside(kind) else sum(slot_words(k, x) for k, x in node[2].items())
+    return 0 if _constant(node) else node[4] - node[5] * len(node[6] or ())
+
+
+def _paragraphs(kind: str, node: list) -> bool:
+    return kind.split(" ")[0] == "p" or (isinstance(node[2], dict) and any(_paragraphs(k, x) for k, x in node[2].items()))
+
+
+def article_places(wrapper: list) -> tuple[list[list], bool]:
+    """The places that slots choose: the division they lead to, headings before it and companions of paragraphs; and
+    whether that division lies below the body."""
+    kept, node, kind = [], wrapper, ""
+    while len(wrapper[3]) >= SUPPORT:
+        words = {k: slot_words(k, x) for k, x in node[2].items()}
+        best = max(words, key=lambda k: (words[k], k), default="#")
+        x = node[2].get(best)
+        if best.split(" ")[0] not in DIVISIONS or outside(best) or x[1] or words[best] * DOMINANT[1] <= sum(words.values()) * DOMINANT[0] or set(x[2]) <= {"#"}:
+            break
+        before = set()
+        for group in groups_of(node):
+            if best in group:
+                break
+            before.update(group)
+        kept += [y for k, y in node[2].items() if k != best and k != "#" and ((k in before and k.split(" ")[0] in HEADINGS) or (words[k] * COMPANION[1] >= words[best] * COMPANION[0] and _paragraphs(k, y)))]
+        node, kind = x, best
+    return [*kept, node], kind.split(" ")[0] not in {"", "html", "body"}
 
 
 def mark(wrapper: list, template: str) -> list:
-    """[inside, its text counts, places by kind]: which places belong to the article. Without an article or main
-    element those are all that is not outside, but for the text that SUPPORT pages repeat."""
+    """[inside, its text counts, {kind: [group, place]}, [required, repeated] of each group]: the wrapper as pages are
+    matched with it, and which of its places belong to the article."""
+
+    def explicit(kind: str, node: list) -> int:
+        if _is(kind.lstrip("*"), template):
+            return slot_words(kind, node)
+        return 0 if outside(kind) or not isinstance(node[2], dict) else sum(explicit(k, x) for k, x in node[2].items())
+
+    if template and len(wrapper[3]) >= SUPPORT and explicit("", wrapper) * EXPLICIT[1] < slot_words("", wrapper) * EXPLICIT[0]:
+        template = ""
+    places, bounded = ([], True) if template else article_places(wrapper)
+    chosen = {id(x) for x in places}
 
     def walk(kind: str, node: list, inside: bool) -> list:
-        inside = (inside or bool(template and _is(kind, template))) and not outside(kind)
+        inside = (inside or id(node) in chosen or bool(template and _is(kind.lstrip("*"), template))) and not outside(kind)
+        if outside(kind):
+            return [0, 0, {}, []]
         text = node[2].get("#")
-        constant = not template and text is not None and text[2] is not None and len(text[3]) >= SUPPORT
-        below = {} if outside(kind) else {k: walk(k, x, inside) for k, x in node[2].items() if k != "#"}
-        return [int(inside), int(inside and not constant), below]
+        groups = groups_of(node)
+        flags = [[int(any(not node[2][k][0] for k in group)), int(len(group) > 1 or node[2][group[0]][1])] for group in groups]
+        at = {k: i for i, group in enumerate(groups) for k in group}
+        below = {k: [at[k], walk(k, x, inside) if k != "#" else None] for k, x in node[2].items()}
+        return [int(inside), int(inside and (bounded or text is None or not _constant(text))), below, flags]
 
-    return walk("", wrapper, not template)
+    return walk("", wrapper, False)
 
 
 def infer(pages: list[str]) -> dict[str, list]:
@@ -307,34 +397,52 @@ def unmarked(pages: list[str], known: dict[str, list] | None = None) -> dict[str
     found = {} if known is None else known
     for page in pages:
         root = read(page)
-        template, one = template_of(root), fold(root, zlib.crc32(page.encode("utf-8", "replace")))
+        page_hash = zlib.crc32(page.encode("utf-8", "replace"))
+        template, one = template_of(root), fold(root, page_hash)
+        one[3] = [page_hash]
         found[template] = merge(found[template], one) if template in found else one
     return found
 
 
-def apply(wrappers: dict[str, list], page: str) -> str:
-    """Match a page with its template's wrapper: the text at the places that belong to the article."""
-    root = read(page)
-    wrapper = wrappers.get(template_of(root))
+def matched(wrapper: list, root: Element) -> list[str] | None:
+    """The article's blocks of a page that matches the wrapper, group by group in order; None if it does not."""
     blocks: list[str] = []
 
-    def walk(element: Element, inside: int, text: int, places: dict[str, list]) -> None:
+    def walk(element: Element, node: list) -> bool:
+        inside, text, places, groups = node
+        at = -1
         for c in element.children:
-            if isinstance(c, str):
-                if text and (t := _SPACE.sub(" ", entities.unescape(c)).strip()):
+            whole = isinstance(c, str)
+            place = places.get("#" if whole else c.kind)
+            if place is None and not whole and not outside(c.kind):
+                place = places.get(f"*{c.tag}")
+            if place is not None:
+                if place[0] < at or (place[0] == at and not groups[at][1]) or any(required for required, _ in groups[at + 1 : place[0]]):
+                    return False
+                at = place[0]
+            if whole:
+                if (text if place else inside) and (t := _SPACE.sub(" ", entities.unescape(c)).strip()):
                     blocks.append(t)
-            elif place := places.get(c.kind) or (places.get(f"{c.tag} *") if not outside(c.kind) else None):
-                walk(c, *place)
-            elif not outside(c.kind):  # no page of the fit had it: as its parent
-                walk(c, inside, inside, {})
+            elif not outside(c.kind) and not walk(c, place[1] if place else [inside, inside, {}, []]):
+                return False
+        return not any(required for required, _ in groups[at + 1 :])
+
+    return blocks if walk(root, wrapper) else None
+
 
-    if wrapper:
-        walk(root, *wrapper)
-    return "\n".join(blocks)
+def apply(wrappers: dict[str, list], page: str) -> str:
+    """Match a page with its template's wrapper: the text at the places that belong to the article. A page that does
+    not match is read by a wrapper of its own."""
+    root = read(page)
+    template = template_of(root)
+    if template not in wrappers:
+        return ""
+    blocks = matched(wrappers[template], root)
+    return "\n".join(matched(infer([page])[template], root) if blocks is None else blocks)
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): JSON of the marked wrappers of each host. Every page shapes them, copies of it not twice."""
+    """(host, wrapper): JSON of the marked wrappers of each host. Every page shapes them."""
     rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("page"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +450,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         salt = TaskContext.get().partitionId() % SALTS
 
         def passed() -> pa.RecordBatch:
-            out = [(h, json.dumps(w, separators=(",", ":"))) for h, w in held.items()]
+            out = [(h, json.dumps(w, separators=(",", ":"), default=sorted)) for h, w in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([salt] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.string())], names=["host", "salt", "wrapper"])
 
@@ -361,7 +469,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 whole[template] = merge(whole[template], w) if template in whole else w
         if last:
             whole = {t: mark(w, t) for t, w in whole.items()}
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
+        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(whole, separators=(",", ":"), default=sorted)]})
 
     found = rows.mapInArrow(own, "host string, salt int, wrapper string")
     found = found.groupBy("host", "salt").applyInPandas(lambda g: meet(g, False), "host string, wrapper string")
