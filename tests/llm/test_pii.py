@@ -126,3 +126,30 @@ def test_names_are_never_changed_in_part(spark):
     assert got[5] == (texts[5], []) and got[6] == (texts[6], []) and got[7] == (texts[7], [])
     back = pii.pseudonymise(out.select("i", "t"), "t", key="k", reverse=True)
     assert {r.i: r.t for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_account_numbers_keep_country_shape_and_check_digits(spark):
+    """Against plain Python: whole numbers and groups of four are linked, wrong ones stay, words after one stay."""
+    number = lambda text: int("".join(str(int(c, 36)) for c in text))
+
+    def expected(iban):
+        rest = permute(iban[4:].lower(), "k", "iban").upper()
+        return f"{iban[:2]}{98 - number(rest + iban[:2] + '00') % 97:02}{rest}"
+
+    known = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "BE68539007547034", "NL91ABNA0417164300", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    r = random.Random(4)
+    for country, n in pii.IBAN_LENGTHS.items():
+        rest = "".join(r.choice(string.digits + "ABC") for _ in range(n - 4))
+        known.append(f"{country}{98 - number(rest + country + '00') % 97:02}{rest}")
+    grouped = lambda v: " ".join(v[i : i + 4] for i in range(0, len(v), 4))
+    rows = [(f"pay {v} AND go, {grouped(v)} MORE", v) for v in known]
+    d = spark.createDataFrame(rows, "text string, old string")
+    out = pii.pseudonymise(d, key="k")
+    for x in out.collect():
+        new = expected(x.old)
+        assert x.text == f"pay {new} AND go, {grouped(new)} MORE" and x.pii_kinds == ["iban"] * 2
+        assert number(new[4:] + new[:4]) % 97 == 1 and new != x.old and [c.isalpha() for c in new[4:]] == [c.isalpha() for c in x.old[4:]]
+    assert {(x.text, x.old) for x in pii.pseudonymise(out, key="k", reverse=True).collect()} == set(rows)
+    wrong = ["DE88370400440532013000", "ZZ68539007547034", "BE685390075470341", "xBE68539007547034", "BE68 5390 0754 703", "be68539007547034"]
+    odd = spark.createDataFrame([(v,) for v in wrong], "text string")
+    assert [(x.text, x.pii_kinds) for x in pii.pseudonymise(odd, key="k").collect()] == [(v, []) for v in wrong]

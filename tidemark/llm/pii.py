@@ -1,9 +1,10 @@
 """Format-preserving Feistel pseudonyms for personal numbers, dates and mail names.
 
 Everything is DataFrame functions. One pattern finds candidates; each is validated (card numbers by their check
-digit, IPv4 octets, calendar dates, number areas, phone lengths) and then permuted among the values of its own
+digit, account numbers by their country's length and check digits, IPv4 octets, calendar dates, number areas, phone
+lengths) and then permuted among the values of its own
 format: the letters and digits of a mail name, the digits of a phone, the 32 bits of an address, the dates that
-are written alike, the free digits of a card, whose check digit is set anew. The permutation is a keyed Feistel
+are written alike, the free places of a card or an account number, whose check digits are set anew. The permutation is a keyed Feistel
 network P turned into one cycle, x -> P'(P(x) + 1) with P' undoing P: one to one, and no value is its own
 pseudonym. So equal values get equal pseudonyms in every document, different ones differ, and the holder of the
 key can undo it (`reverse=True`), exactly. The pass is narrow: nothing is shuffled.
@@ -25,7 +26,28 @@ FIRST_YEAR, YEARS = 1900, 200
 
 #: The pattern's alternatives, in order.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])(?:[\p{L}\p{N}._%+-]|(?<=\p{L})['’](?=\p{L})){1,64}@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}"
+#: The length of each country's international bank account numbers.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban_pattern() -> str:
+    """Each country's length exactly, in one piece or in groups of four, so that a word after it is never part of it."""
+    whole = []
+    for n in sorted(set(IBAN_LENGTHS.values())):
+        countries = "|".join(c for c, m in IBAN_LENGTHS.items() if m == n)
+        fours, rest = divmod(n - 4, 4)
+        whole.append(f"(?:{countries})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return f"(?=[A-Z]{{2}}\\d{{2}})(?:{'|'.join(whole)})(?![\\p{{L}}\\p{{N}}])"
+
+
 OTHERS = (
+    _iban_pattern(),
     r"\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     r"\d{4}-\d{2}-\d{2}(?![\d-])",
@@ -38,7 +60,7 @@ OTHERS = (
     r"\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
 )
 PATTERN = f"{EMAIL}|(?<![\\p{{L}}\\p{{N}}.+])(?:{'|'.join(OTHERS)})"
-KINDS = ("email", "ipv4", "phone", "date", "ssn", "card")
+KINDS = ("email", "ipv4", "phone", "date", "ssn", "card", "iban")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Letters with accents are an alphabet of their own; a pattern of all that is permuted, in lower case and in both.
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
@@ -188,6 +210,34 @@ def _card(m: Column, key: str, reverse: bool) -> Column:
     return refill(m, _let(body, check))
 
 
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and lower-case letters in a row, a letter being 10 to 35."""
+
+    def step(r: Column, c: Column) -> Column:
+        return F.when(c >= "a", r * 100 + F.ascii(c) - (ord("a") - 10)).otherwise(r * 10 + F.ascii(c) - ord("0")) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban_parts(m: Column) -> tuple[Column, Column, Column]:
+    """Country, check digits and the rest, in lower case without spaces."""
+    plain = F.lower(F.regexp_replace(m, " ", ""))
+    return F.substring(plain, 1, 2), F.substring(plain, 3, 2), F.substring(plain, F.lit(5), F.length(plain))
+
+
+def _valid_iban(m: Column) -> Column:
+    """Check digits below 02 and above 98 are never issued, though 97 may divide."""
+    country, check, rest = _iban_parts(m)
+    return check.between("02", "98") & (mod97(F.concat(rest, country, check)) == 1)
+
+
+def _iban(m: Column, key: str, reverse: bool) -> Column:
+    """The country stays, the check digits are set anew."""
+    country, _, rest = _iban_parts(m)
+    check = lambda b: F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+    return refill(m, _let(permute(rest, key, "iban", reverse), lambda b: F.concat(country, check(b), b)))
+
+
 def _valid_ssn(d: Column) -> Column:
     return ~F.substring(d, 1, 3).isin("000", "666") & (F.substring(d, 1, 1) != "9") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000")
 
@@ -261,6 +311,7 @@ def kind_of(m: Column) -> Column:
     octets = ~F.exists(F.split(m, r"\."), lambda o: F.try_to_number(o, F.lit("999")) > 255)
     return (
         F.when(m.contains("@"), F.when(m.rlike(f"[{EITHER_CASE}].*@") & ~m.rlike(rf"[\p{{L}}\p{{N}}&&[^{EITHER_CASE}]].*@"), "email"))
+        .when(m.rlike("^[A-Z]"), F.when(_valid_iban(m), "iban"))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets & ~m.rlike(r"(^|\.)0\d"), "ipv4"))
         .when(m.rlike(DATE), F.when(_read_date(m).isNotNull(), "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(_valid_ssn(d), "ssn"))
@@ -270,7 +321,7 @@ def kind_of(m: Column) -> Column:
 
 
 def pseudonym(m: Column, kind: Column, key: str, reverse: bool = False) -> Column:
-    by_kind = {"email": _email, "ipv4": _ipv4, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card}
+    by_kind = {"email": _email, "ipv4": _ipv4, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "iban": _iban}
     out = m
     for name in reversed(KINDS):
         out = F.when(kind == name, by_kind[name](m, key, reverse)).otherwise(out)
@@ -285,7 +336,10 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str, reverse:
     does all other text. Rows are kept, repeated ones too; very long texts are read whole; an empty table gives
     no rows; a column named pii_kinds is replaced. A mail name without a letter or digit, or with letters beyond
     a-z and the accented ones of Western languages (ß, Greek, Cyrillic, ..), an IPv4 octet with a leading zero and a
-    date of other centuries are no valid values; a value never begins or, for cards, ends inside a word. `reverse` gives the text back."""
+    date of other centuries are no valid values; a value never begins or, for cards and
+    account numbers, ends inside a word. An account number's check digits are those of all countries; what its bank code or
+    national check digits would say is not looked at. IPv6 addresses and phone numbers without any sign are no values of
+    these formats. `reverse` gives the text back."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() == "pii_kinds" and c != text_col))
     found = fresh([*docs.columns, "pii_kinds"], "_found")
     text = F.col(text_col)
