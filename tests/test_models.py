@@ -42,12 +42,33 @@ def test_the_sparse_scorer_separates_planted_terms(spark):
     assert V.auc(s, []).first().auc > 0.95
 
 
-@pytest.mark.parametrize("name", ["m1_logistic_profile", "m3_forest_profile", "m7b_symbol_scorer", "m10_vector_classifier"])
+@pytest.mark.parametrize("name", ["m1_logistic_profile", "m2_boosted_profile", "m3_forest_profile", "m7b_symbol_scorer", "m9_content_classifier", "m10_vector_classifier"])
 def test_scores_of_a_model_query(spark, name):
     s = QUERIES[name](spark, SF).toPandas()
     assert len(s) and s.score.between(0, 1).all() and s.y.isin([0, 1]).all() and not s.duplicated(s.columns[0]).any()
 
 
+def test_summaries_of_model_queries(spark):
+    """Held-out figures lie in their ranges and in order; topic shares are a distribution of each document."""
+    r = QUERIES["m5_in_platform_auc"](spark, SF).first()
+    assert 0 <= r.lo <= r.auc <= r.hi <= 1
+    r = QUERIES["m18_vector_cross_validation"](spark, SF).first()
+    assert 0 <= r["mean"] <= 1 and r.sd >= 0
+    rows = QUERIES["m8_topic_shares"](spark, SF).collect()
+    assert len({x.doc_id for x in rows}) == len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for x in rows:  # a text without a known term has no share
+        assert min(x.topics) >= 0 and (abs(sum(x.topics) - 1) < 1e-6 or sum(x.topics) == 0)
+
+
+def test_fingerprints_equal_hashlib(spark):
+    import hashlib
+
+    for x in QUERIES["a13_fingerprints"](spark, SF).collect():
+        with open(f"{SF}/{x.file}", "rb") as f:
+            whole = f.read()
+        assert (x.bytes, x.sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+
+
 def test_refit_on_other_accounts(spark):
     s = QUERIES["m17c_refit_symbol_scorer"](spark, "/root/testdata/sf0.01").toPandas()
     assert set(zip(s.fit, s.target, strict=True)) == {(a, b) for a in "AB" for b in "AB"} and s.auc.between(0, 1).all()
