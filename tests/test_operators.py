@@ -143,6 +143,31 @@ def test_overlap_meets_every_pair_with_enough_in_common(spark):
         assert all(v[1] == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for (a, b), v in got.items())
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_of_sets_find_every_pair_and_every_component(spark, kind):
+    import random
+
+    r = random.Random(7)
+    sets = {n: {r.randrange(700 if n % 2 else 30) for _ in range(r.randint(1, 25))} for n in range(90)}
+    sets |= {n: sets[4] for n in range(90, 99)}  # copies
+    d = spark.createDataFrame([(n, i) for n, s in sets.items() for i in s] + [(5, None), (None, 3)], "n long, i long").select(F.col("n").cast(kind).alias("n"), "i")
+    name = int if kind == "long" else str
+    for least in (1, 12):
+        pairs = {tuple(sorted((name(a), name(b)))): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+        for blocks, block in ((True, 1000), (True, 20)) if least > 1 else ((True, 60), (False, 60)):
+            got = N.overlap(d, "n", "i", least, blocks=blocks, block=block, strip=7).collect()
+            assert {(x.a, x.b): x.common for x in got} == pairs and len(got) == len(pairs)
+    links = N.overlap_links(d, "n", "i", 12, blocks=True, block=20, strip=7)
+    every = spark.createDataFrame(list(pairs), f"a {kind}, b {kind}")
+    assert sorted(map(tuple, N.components(links).collect())) == sorted(map(tuple, N.components(every).collect()))
+
+
+def test_sets_that_nearly_all_meet_are_compared_in_blocks(spark):
+    d = spark.range(400).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).filter(F.xxhash64("n", "i") % 2 == 0)
+    plan = N.overlap(d, "n", "i", 14)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan  # an index would list nearly all 80,000 pairs with both sets
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_numbers_do_not_depend_on_the_layout(spark, parts):
     from tidemark.operators.ranks import numbered
