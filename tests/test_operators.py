@@ -231,3 +231,15 @@ def test_lanes_bound_the_rows_of_a_key(spark):
     lanes = rows.filter("k = 'hub'").groupBy(F.pmod(F.xxhash64("id"), F.lit(40))).count()
     assert lanes.agg(F.max("count")).first()[0] < 200
     assert "_lane" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_picks_stream_past_a_hash_table_and_tasks_keep_their_size(spark):
+    from tidemark.session import ROWS_A_TASK, spread
+
+    a = spark.range(60).select(F.col("id").alias("user"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 7 / 7.0).alias("score"))
+    picks, slots = V.bootstrap_picks(a, "user", "y", 5, "t")
+    plan = V.picked(picks, slots, ["y", "slot"], 0)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    by_weights = V.auc(a.join(V.bootstrap_weights(a, "user", "y", 5, "t"), "user"), ["b"], weight=F.col("w"))
+    assert sorted(V.bootstrap_auc(a, [], "user", 5, "t").collect()) == sorted(by_weights.collect())
+    assert spread(a, 60, "user").rdd.getNumPartitions() == 4 and spread(a, 9 * ROWS_A_TASK, "user").rdd.getNumPartitions() == 9

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, spread
 from .quantiles import quantiles
 from .ranks import cumulative, midranks, numbered
 from .sampling import draw
 
+#: Slim rows that a join of picks may broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "y", weight: Column | None = None) -> DataFrame:
     """(by, auc): ties count half. Rows are first summed by score, so the ranking sees distinct scores."""
@@ -19,23 +23,38 @@ def auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "y"
     return ranked.groupBy(*by).agg((area / F.nullif(F.sum("p") * F.sum("q"), F.lit(0)).cast("double")).alias("auc"))
 
 
+def bootstrap_picks(accounts: DataFrame, key: str, label: str, draws: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(b, label, slot), draws x accounts rows, each a slot picked by hash, and (key, label, slot): the numbers, from
+    0, of the accounts of a label. The same draws for every scorer."""
+    slots = numbered(accounts.select(key, label), [label], [F.col(key)], "slot").withColumn("slot", F.col("slot") - 1)
+    n = F.broadcast(accounts.groupBy(label).agg(F.count(F.lit(1)).alias("n")))  # a row for each label
+    picks = slots.join(n, label).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return picks.select("b", label, F.pmod(draw(seed, F.col("b"), F.col(label), F.col("slot")), F.col("n")).alias("slot")), slots
+
+
+def picked(picks: DataFrame, facts: DataFrame, on: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """Each pick with the facts of its slot. Picks stream past a hash table and are never sorted: of all facts, where
+    these are `most` slim rows at most, else of the shuffle partition's."""
+    return picks.join(F.broadcast(facts) if most and facts.count() <= most else facts.hint("shuffle_hash"), on)
+
+
 def bootstrap_weights(accounts: DataFrame, key: str, label: str, draws: int, seed: str) -> DataFrame:
     """(b, key, w): accounts drawn with replacement within each label; the same draws for every scorer.
 
     Accounts of a label are numbered, and each slot of a draw picks a number by hash: draws x accounts rows,
-    summed to weights before anything meets a score."""
-    slots = numbered(accounts.select(key, label), [label], [F.col(key)], "slot").withColumn("slot", F.col("slot") - 1)
-    n = F.broadcast(accounts.groupBy(label).agg(F.count(F.lit(1)).alias("n")))  # a row for each label
-    picks = slots.join(n, label).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = picks.select("b", label, F.pmod(draw(seed, F.col("b"), F.col(label), F.col("slot")), F.col("n")).alias("slot"))
-    weights = picks.groupBy("b", label, "slot").agg(F.count(F.lit(1)).alias("w"))
-    return weights.join(slots, [label, "slot"]).select("b", key, "w")
+    summed to weights before anything meets a score, in as many tasks as keep each to some ROWS_A_TASK of them."""
+    picks, slots = bootstrap_picks(accounts, key, label, draws, seed)
+    dealt = spread(picks, slots.count() * draws, label, "slot")
+    weights = dealt.groupBy("b", label, "slot").agg(F.count(F.lit(1)).alias("w"))
+    return picked(weights, slots, [label, "slot"], 0).select("b", key, "w")
 
 
 def bootstrap_auc(scored: DataFrame, by: list[str], key: str, draws: int, seed: str, score: str = "score", label: str = "y") -> DataFrame:
-    """(by, b, auc) under shared account draws."""
-    weights = bootstrap_weights(scored.select(key, label).distinct(), key, label, draws, seed)
-    return auc(scored.join(weights, key), [*by, "b"], score, label, F.col("w"))
+    """(by, b, auc) under shared account draws. Picks are counted by score as they are drawn."""
+    picks, slots = bootstrap_picks(scored.select(key, label).distinct(), key, label, draws, seed)
+    facts = cut(scored.select(*by, key, label, score).join(slots, [key, label]).select(*by, label, "slot", score))
+    drawn = picked(picks, facts, [label, "slot"]).groupBy(*by, "b", score, label).agg(F.count(F.lit(1)).alias("w"))
+    return auc(drawn, [*by, "b"], score, label, F.col("w"))
 
 
 def interval(x: str = "auc", level: float = 0.95) -> list[Column]:

@@ -10,6 +10,7 @@ from ..operators import evaluate as V
 from ..operators import profile as P
 from ..operators import sampling as S
 from ..operators import sequences as Q
+from ..operators.quantiles import of_counts
 from ..operators.ranks import cumulative, midranks, numbered
 from .base import DRAW_SQL, events, rounded, sql, table
 
@@ -171,7 +172,8 @@ def g4(spark, sf):
     slots = numbered(s, [], [F.col("user")], "slot").withColumn("slot", F.col("slot") - 1)
     n = F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))
     picks = slots.join(n).select(F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("b"), "slot", "n").select("b", F.pmod(S.draw("med", F.col("b"), F.col("slot")), F.col("n")).alias("slot"))
-    m = picks.join(slots.select("slot", F.col("score").alias("x")), "slot").groupBy("b").agg(F.median("x").alias("m"))
+    drawn = V.picked(picks, slots.select("slot", F.col("score").alias("x")), ["slot"]).filter("x is not null").groupBy("b", "x").agg(F.count(F.lit(1)).alias("w"))
+    m = of_counts(drawn, ["b"], "x", "w", [0.5]).select("b", F.col("q")[0].alias("m"))
     return rounded(m.agg(*V.interval("m")))
 
 
@@ -182,10 +184,13 @@ COS = f"""(SELECT b, sum(p1 * p0) / (sqrt(sum(p1 * p1)) * sqrt(sum(p0 * p0)) + 1
 @query("g5_centroid_bootstrap", f"SELECT round(quantile_cont(c, 0.025), 6) AS lo, round(quantile_cont(c, 0.975), 6) AS hi, round(avg(c), 6) AS mean FROM {COS}")
 def g5(spark, sf):
     s = scored(spark, sf).select("user", "y")
-    w = V.bootstrap_weights(s, "user", "y", DRAWS, "boot")
-    rows = w.join(P.hour_shares(events(spark, sf), ["user"]), "user").join(s, "user")
-    side = lambda v: F.sum(F.when(F.col("y") == v, F.col("w") * F.col("p")).otherwise(0.0)).alias(f"p{v}")
-    c = rows.groupBy("b", "hour").agg(side(1), side(0)).groupBy("b")
+    picks, slots = V.bootstrap_picks(s, "user", "y", DRAWS, "boot")
+    hours = [F.sum(F.when(F.col("hour") == h, F.col("p")).otherwise(0.0)).alias(f"h{h}") for h in range(24)]
+    shares = P.hour_shares(events(spark, sf), ["user"]).groupBy("user").agg(*hours).join(slots, "user").drop("user")
+    sums = V.picked(picks, shares, ["y", "slot"], 0).groupBy("b", "y").agg(*(F.sum(f"h{h}").alias(f"h{h}") for h in range(24)))  # a row for each draw and label
+    each = sums.select("b", "y", F.posexplode(F.array(*(f"h{h}" for h in range(24)))).alias("hour", "s"))
+    side = lambda v: F.sum(F.when(F.col("y") == v, F.col("s")).otherwise(0.0)).alias(f"p{v}")
+    c = each.groupBy("b", "hour").agg(side(1), side(0)).groupBy("b")
     cos = F.sum(F.expr("p1 * p0")) / (F.sqrt(F.sum(F.expr("p1 * p1"))) * F.sqrt(F.sum(F.expr("p0 * p0"))) + 1e-12)
     return rounded(c.agg(cos.alias("c")).agg(*V.interval("c"), F.avg("c").alias("mean")))
 
