@@ -209,3 +209,17 @@ def test_toxicity_matches_plain_python(spark):
             slope = sum((p[i] - y) * ratio[b] for i, _, y in rows if b in found[i]) / len(rows) + toxicity.PENALTY * w / ratio[b]
             assert abs(slope) < 2e-3
     assert abs(sum(p[i] - y for i, _, y in rows) / len(rows)) < 2e-3
+
+
+def test_url_filter_counts_and_bins_every_labelled_url(spark):
+    from math import log1p
+
+    n = 9001
+    d = spark.range(n).select(F.concat(F.lit("http://h"), (F.col("id") % 5).cast("string"), F.lit(".example.com/"), F.col("id").cast("string")).alias("url"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    model = url_filter.fit(d)
+    bad = (n + 4) // 5
+    assert model.base_rate == bad / n
+    rate, weight = model.suffixes["example.com"]
+    assert rate == pytest.approx((bad + 20 * bad / n) / (n + 20)) and weight == pytest.approx(log1p(n))
+    chars = sorted(len(f"http://h0.example.com/{i}") for i in range(n))
+    assert model.bins[url_filter.FEATURES.index("url_chars")] == sorted({float(c) for c in chars})  # also the ten shortest
