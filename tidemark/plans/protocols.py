@@ -15,7 +15,7 @@ from ..operators import sampling as S
 from ..operators import sequences as Q
 from ..operators import sync as Y
 from ..operators.quantiles import without_each_fold
-from ..session import cut
+from ..session import cut, spread
 from .base import DRAW_SQL, events, rounded, sql, table
 from .cohorts import decile_matched, length_pairs
 from .policies import CTX, START, WIDTH
@@ -291,7 +291,9 @@ def own_decile_llr(spark, sf, k: int = 5):
     g = cut(Q.gaps(events(spark, sf), ["user"]).join(folds, "user"))
     edges = without_each_fold(g.filter("pop = 'organic'"), ["platform"], "gap", "fold", Q.TENTHS, k, "edges")
     edges = cut(edges.select("platform", F.col("fold").alias("law"), F.array_distinct("edges").alias("edges")))
-    moved = K.moves(K.steps(Q.tokenize(g, edges, ["platform"]), ["law", "user"]), ["law", "fold", "pop", "user"])
+    # all rows under each law: sorted and counted by as many tasks as they need
+    token = spread(Q.tokenize(g, edges, ["platform"]).select("law", "fold", "pop", "user", "ts", "event_id", "token"), g.count() * k, "law", "user")
+    moved = K.moves(K.steps(token, ["law", "user"]), ["law", "fold", "pop", "user"])
     s = K.law_ratios(cut(moved), "pop", "op", "organic", 30)
     return s.select("fold", "user", is_op().alias("y"), (F.round("llr", 6) + 0.0).alias("llr"), (F.round("z", 4) + 0.0).alias("z"))
 
