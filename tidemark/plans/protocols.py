@@ -393,7 +393,7 @@ def g14b(spark, sf):
     for name, first, count, turn in SPANS:
         start = START + first * WIDTH
         own = Y.binned(e.filter((F.col("ts") >= start) & (F.col("ts") < start + count * WIDTH)), ["user"], WIDTH, start)
-        r = Y.synchrony(own.join(sets, "user"), ["set_id"], "user", count, turn, SHIFTS).select(F.lit(name).alias("span"), "set_id", "ratio")
+        r = Y.synchrony(own, sets, "set_id", "user", count, turn, SHIFTS).select(F.lit(name).alias("span"), "set_id", "ratio")
         out = r if out is None else out.unionByName(r)
     control = F.when(F.col("set_id") >= 0, F.col("ratio"))
     s = out.groupBy("span").agg(F.count(control).alias("n_sets"), F.max(F.when(F.col("set_id") < 0, F.col("ratio"))).alias("observed"), F.avg(control).alias("mean"), F.stddev_pop(control).alias("sd"))
