@@ -133,6 +133,21 @@ def test_context_tree_matches_recursion(spark, grown):
         assert x.m == pytest.approx(sum(math.log(p(tuple(s[max(0, i - 3) : i]), v)) for i, v in enumerate(s)) / len(s))
 
 
+def test_scores_from_the_tables_match_scores_of_rows(spark):
+    rows = [(f"{w}{i}", "a" if i % 2 else "b", k, (k * (i % 5 + 2) + i // 3) % 3, w) for w, n in (("train", 9), ("held", 6), ("test", 7)) for i in range(n) for k in range(1 + (i * 5) % 13)]
+    d = spark.createDataFrame([*rows, ("rare", "b", 0, 2, "test"), ("alone", "c", 0, 1, "train")], "user string, pop string, ts int, token int, kind string").withColumn("event_id", F.col("ts"))
+    c = K.suffixes(d, ["user"], 3).cache()
+    got = {r["pop"]: r for r in K.nats(K.context_tree(c, ["pop"], 3, 4, F.col("kind") == "held", F.col("kind") == "test"), ["pop"], (1, 0)).collect()}
+    x, train = c.filter("kind = 'test'"), c.filter("kind = 'train'")
+    laws = {"tree": K.context_tree(c.filter("kind <> 'test'"), ["pop"], 3, 4, F.col("kind") == "held"), "order_1": K.context_tree(train, ["pop"], 1, 4), "order_0": K.context_tree(train, ["pop"], 0, 4)}
+    for name, law in laws.items():
+        x = K.context_score(x, law, ["pop"], 4, name)
+    expected = x.groupBy("pop").agg(*((-F.avg(n)).alias(n) for n in laws)).collect()
+    assert set(got) == {r["pop"] for r in expected} == {"a", "b"}
+    for r in expected:
+        assert [got[r["pop"]][n] for n in laws] == pytest.approx([r[n] for n in laws])
+
+
 def test_the_tree_is_no_worse_than_order_one(spark):
     s = QUERIES["m19b_context_tree"](spark, "/root/testdata/sf0.01").toPandas()
     assert len(s) == 2 and (s.tree <= s.order_0 + 0.05).all() and (s.tree <= s.order_1 + 0.05).all()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut
 from .sequences import order
@@ -102,34 +103,69 @@ def suffixes(tokens: DataFrame, by: list[str], depth: int, token: str = "token")
     return tokens.withColumns(contexts | {"next": F.col(token).cast("int")})
 
 
-def context_tree(rows: DataFrame, by: list[str], depth: int, symbols: int, held: Column | None = None) -> list[DataFrame]:
-    """For each length d from 0 the table (by, suffix, next, n, total, kinds, kept, p) of a context tree.
+def context_tree(rows: DataFrame, by: list[str], depth: int, symbols: int, held: Column | None = None, scored: Column | None = None) -> list[DataFrame]:
+    """For each length d from 0 the table (by, suffix, next, n, total, kinds, kept, own, up, p) of a context tree.
 
     A context of `total` tokens of `kinds` different ones gives the next token (n + kinds * up) / (total + kinds): as
     many counts as it has kinds escape to the law `up` of the context without its oldest token, and at last to the
     uniform law. With `held` (boolean) those rows are not counted; a context then stays only if its parent does and
-    its law makes the held rows that meet it likelier than the parent's; where it does not, p is the parent's. One
-    aggregate and two joins for each length."""
-    out, mark = [], F.lit(False) if held is None else held
+    its law makes the held rows that meet it likelier than the parent's; where it does not, p is the parent's: own and
+    up are the two.
+
+    Rows that `scored` (boolean) names are neither counted nor held, but their contexts and symbols have rows too, with
+    further columns: `met`, how many of them there are, and `ends`, how many of these have no longer context within
+    `depth`. So `nats` scores them without a join.
+
+    Rows are read once, to counts of their longest contexts, which all lengths are summed from. Each length takes an
+    aggregate, a join and windows over the symbols of a context."""
+    mark, seen = F.lit(False) if held is None else held, F.lit(True) if scored is None else ~scored
+    contexts = [F.col(f"c{d}") for d in range(depth + 1)]
+    length = sum((c.isNotNull().cast("int") for c in contexts[1:]), F.lit(0))
+    counts = [F.count_if(seen & ~mark).alias("n"), F.count_if(seen & mark).alias("v")] + ([] if scored is None else [F.count_if(scored).alias("met")])
+    cells = cut(rows.groupBy(*by, length.alias("_length"), F.coalesce(*reversed(contexts)).alias("_context"), "next").agg(*counts))
+    out, around = [], Window.partitionBy(*by, "suffix")
     for d in range(depth + 1):
-        pairs = rows.filter(F.col(f"c{d}").isNotNull()).groupBy(*by, F.col(f"c{d}").alias("suffix"), "next").agg(F.count_if(~mark).alias("n"), F.count_if(mark).alias("v"))
-        nodes = pairs.groupBy(*by, "suffix").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds"))
-        x = pairs.join(nodes, [*by, "suffix"])
+        suffix = F.substring_index("_context", ",", -d) if d else F.lit("")
+        ends = [] if scored is None else [F.sum("met").alias("met"), F.sum(F.when(F.col("_length") == d, F.col("met")).otherwise(0)).alias("ends")]
+        x = cells.filter(F.col("_length") >= d).groupBy(*by, suffix.alias("suffix"), "next").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *ends)
         if d:
             parent = out[-1].select(*by, F.col("suffix").alias("_parent"), "next", F.col("p").alias("_up"), F.col("kept").alias("_above"))
             x = x.withColumn("_parent", F.regexp_replace("suffix", "^[^,]*,?", "")).join(parent, [*by, "_parent", "next"])
         else:
             x = x.withColumns({"_up": F.lit(1.0 / symbols), "_above": F.lit(True)})
+        x = x.withColumns({"total": F.sum("n").over(around), "kinds": F.count_if(F.col("n") > 0).over(around)})
         x = x.withColumn("_own", F.when(F.col("total") > 0, (F.col("n") + F.col("kinds") * F.col("_up")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("_up")))
         stays = F.col("_above") & (F.col("total") > 0)
         if held is not None and d:
-            gains = x.groupBy(*by, "suffix").agg((F.sum(F.col("v") * (F.log("_own") - F.log("_up"))) > 0).alias("_gains"))
-            x, stays = x.join(gains, [*by, "suffix"]), stays & F.col("_gains")
+            x = x.withColumn("_gains", F.sum(F.col("v") * (F.log("_own") - F.log("_up"))).over(around) > 0)
+            stays = stays & F.col("_gains")
         x = x.withColumn("kept", stays)
-        out.append(cut(x.select(*by, "suffix", "next", "n", "total", "kinds", "kept", F.when(F.col("kept"), F.col("_own")).otherwise(F.col("_up")).alias("p"))))
+        own, up = F.col("_own").alias("own"), F.col("_up").alias("up")
+        p = F.when(F.col("kept"), F.col("_own")).otherwise(F.col("_up")).alias("p")
+        out.append(cut(x.select(*by, "suffix", "next", "n", "total", "kinds", "kept", own, up, p, *(() if scored is None else ("met", "ends")))))
     return out
 
 
+def nats(tree: list[DataFrame], by: list[str], fixed: tuple[int, ...] = ()) -> DataFrame:
+    """(by, tree, order_<d>): mean nats a token of the rows that `context_tree` had to score, under the tree, and for
+    each d of `fixed` (0 or 1) under the same counts at this depth, where no held rows judge a context.
+
+    A row is met with at the longest of its contexts, where p is its probability: sums of the tables alone. A key of
+    no such rows has no row here."""
+
+    def part(t: DataFrame, n: Column, name: str, p: str) -> DataFrame:
+        return t.select(*by, F.lit(name).alias("law"), n.alias("n"), (n * F.log(p)).alias("l")).filter("n > 0")
+
+    parts = [part(t, F.col("ends"), "tree", "p") for t in tree]
+    # at a fixed depth a row with fewer tokens before it has them all as context
+    parts += [part(t, F.col("met" if d == k else "ends"), f"order_{k}", "own") for k in fixed for d, t in enumerate(tree[: k + 1])]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    means = every.groupBy(*by, "law").agg((-F.sum("l") / F.sum("n")).alias("m"))
+    return means.groupBy(*by).agg(*(F.max(F.when(F.col("law") == c, F.col("m"))).alias(c) for c in ("tree", *(f"order_{k}" for k in fixed))))
+
+
 def context_score(rows: DataFrame, tree: list[DataFrame], on: list[str], symbols: int, name: str) -> DataFrame:
     """Adds `name`: the log probability of each row's `next` under the tree, from the shortest context to the longest
     that is kept. Tables of lengths 0 and 1 are broadcast (symbols squared rows a law at most), longer ones joined."""

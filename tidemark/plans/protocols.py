@@ -204,13 +204,9 @@ def m19b(spark, sf, depth: int = 4):
     a = events(spark, sf).select("user").distinct()
     third = F.pmod(S.draw("tree", F.col("user")), F.lit(3))
     rows = K.suffixes(tokens(spark, sf), ["user"], depth).join(a.select("user", third.alias("third")), "user")
-    rows = cut(rows.select("user", "pop", "third", "next", *(f"c{d}" for d in range(depth + 1))))
-    seen, unseen = rows.filter("third < 2"), rows.filter("third = 2")
-    tree = K.context_tree(seen, ["pop"], depth, 30, F.col("third") == 1)
-    x = unseen
-    for name, law in (("tree", tree), ("order_1", tree_of(seen, 1)), ("order_0", tree_of(seen, 0))):
-        x = K.context_score(x, law, ["pop"], 30, name)
-    nats = x.groupBy("pop").agg(*((-F.avg(c)).alias(c) for c in ("tree", "order_1", "order_0")))
+    # the last third's tokens have rows in the tables too, so none of them meets a law in a join
+    tree = K.context_tree(rows, ["pop"], depth, 30, F.col("third") == 1, F.col("third") == 2)
+    nats = K.nats(tree, ["pop"], (1, 0))
     kept = None
     for d, t in enumerate(tree):
         n = t.filter("kept").select("pop", "suffix").distinct().withColumn("d", F.lit(d))
@@ -218,11 +214,6 @@ def m19b(spark, sf, depth: int = 4):
     return kept.groupBy("pop").agg(F.count(F.lit(1)).alias("contexts"), F.max("d").alias("longest")).join(nats, "pop")
 
 
-def tree_of(seen, depth: int):
-    """The same counts at a fixed depth."""
-    return K.context_tree(seen.filter("third = 0"), ["pop"], depth, 30)
-
-
 # ---- symbol n-grams as sparse features
 def symbol_terms(spark, sf):
     """(user, g, n): how often an account's symbol string has each n-gram."""
