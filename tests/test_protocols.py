@@ -67,3 +67,19 @@ def test_fold_policies_leave_their_fold_out(spark):
     # fold 0 is judged by fold 1's counts: op 2 of token 1, organic 5 of token 0
     assert got[1] == pytest.approx(math.log(3 / 4) - math.log(1 / 7))
     assert got[3] == pytest.approx(math.log(1 / 4) - math.log(6 / 7))
+
+
+def test_sequences_cut_in_runs_match_sequences_repeated_for_runs(spark):
+    from tidemark.operators import sequences as Q
+    from tidemark.plans import protocols as R
+
+    rows = [(u, 100 * u + k, (k * 7) % 11, (u * k + k // 2) % 3) for u in range(12) for k in range(1 + (u * 5) % 9)]
+    placed = Q.positions(spark.createDataFrame(rows, "user long, event_id long, ts long, action long"), ["user"])
+    chosen = spark.createDataFrame([(r, u, (u + r) % 2, (u * r) % 10) for r in range(4) for u in range(12) if (u + r) % 5], "run long, user long, y int, length long")
+    inside = placed.drop("n").join(chosen, "user").filter((F.col("y") == 1) | (F.col("pos") < F.col("length")))
+    expected = R.action_vectors(inside, ["run", "user", "y"])
+    got = R.cut_vectors(placed, chosen)
+    read = lambda d: sorted(tuple(r) for r in d.select("run", "user", "y", *R.CELLS).collect())
+    assert read(got) == read(expected) and got.count() > 20
+    # runs meet an account's list, not its events
+    assert [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "run" in x] == []

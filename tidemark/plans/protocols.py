@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import evaluate as V
 from ..operators import markov as K
@@ -15,7 +16,7 @@ from ..operators import sampling as S
 from ..operators import sequences as Q
 from ..operators import sync as Y
 from ..operators.quantiles import without_each_fold
-from ..session import cut, spread
+from ..session import cut, discard, scratch, spread
 from .base import DRAW_SQL, events, rounded, sql, table
 from .cohorts import decile_matched, length_pairs
 from .policies import CTX, START, WIDTH
@@ -116,6 +117,25 @@ def action_vectors(placed, by):
     return p.groupBy(*by).pivot("cell", CELLS).agg(F.first("p")).na.fill(0.0)
 
 
+def cut_vectors(placed, chosen):
+    """(run, user, y, nine transition shares) of sequences cut in each run: `chosen` (run, user, y, length) names
+    members (y = 1), whose sequences stay whole, and controls, who keep their first `length` events; without a
+    transition there is no row.
+
+    Events are not repeated for the runs: an account's transitions are counted along its events once, and each run
+    reads its counts at the event where it cuts."""
+    along = Q.order(["user"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = placed.select("user", "ts", "event_id", "pos", "n", "action", F.lag("action").over(Q.order(["user"])).alias("_s"))
+    counts = [F.count_if((F.col("_s") == s) & (F.col("action") == a)).over(along).alias(f"t{s}{a}") for s in range(3) for a in range(3)]
+    at = F.when(F.col("y") == 1, F.lit(2**62)).otherwise(F.col("length") - 1)
+    of = chosen.groupBy("user").agg(F.collect_list(F.struct("run", "y", at.cast("long").alias("at"))).alias("_of"))  # an entry for each run
+    here = F.filter("_of", lambda x: F.col("pos") == F.least(x.at, F.col("n") - 1))
+    each = moved.select("user", "pos", "n", *counts).join(of, "user").select("user", *CELLS, F.explode(here).alias("x")).select("x.run", "user", "x.y", *CELLS)
+    sums = {s: F.col(f"t{s}0") + F.col(f"t{s}1") + F.col(f"t{s}2") for s in range(3)}
+    share = lambda c: F.coalesce(F.col(c) / F.nullif(sums[int(c[1])], F.lit(0)), F.lit(0.0)).alias(c)
+    return each.filter(sum(sums.values()) > 0).select("run", "user", "y", *map(share, CELLS))
+
+
 @query("m6_cross_validated")
 def m6(spark, sf, repeats: int = 2, k: int = 5):
     """Repeated stratified folds shared by six representations and models; the mean, deviation and range over repeats
@@ -144,14 +164,17 @@ def m16(spark, sf, runs: int = 25, k: int = 3):
     pairs = length_pairs(n, "pop", "op", "organic", "user", "n", runs)
     chosen = pairs.select("run", F.explode(F.array(*(F.struct(F.col(c).alias("user"), F.lit(y).alias("y"), F.col("length")) for c, y in (("member", 1), ("control", 0))))).alias("x"))
     chosen = cut(chosen.select("run", "x.*"))
-    inside = placed.drop("n").join(chosen, "user").filter((F.col("y") == 1) | (F.col("pos") < F.col("length")))
-    v = action_vectors(inside, ["run", "user", "y"])
-    folded = cut(S.folds(v.withColumn("class", F.concat_ws("/", "run", "y")), "class", "user", k, 1))
+    v = cut_vectors(placed, chosen)
+    folded = S.folds(v.withColumn("class", F.concat_ws("/", "run", "y")), "class", "user", k, 1)
+    # a folder for each run: its fits read its rows alone
+    path = scratch(spark, "runs")
+    folded.write.partitionBy("run").parquet(path)
     fits = {}
     for r in range(runs):
-        of = folded.filter(F.col("run") == r)
+        of = spark.read.schema(folded.drop("run").schema).parquet(f"{path}/run={r}")
         fits |= {(r, i): (of.filter(F.col("fold") != i), of.filter(F.col("fold") == i), CELLS, "rf") for i in range(k)}
     s = cut(M.fit_scores(fits, ["run", "fold"], "user").withColumn("f", (F.col("score") >= 0.5).cast("int")))
+    discard(spark, path)
     measures = V.auc(s, ["run"]).join(V.macro_f1(s, "y", "f", ["run"]), "run")
     at = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
     q = measures.agg(F.count(F.lit(1)).alias("runs"), *(F.percentile(c, at).alias(c) for c in ("macro_f1", "auc")))
