@@ -83,3 +83,17 @@ def test_sequences_cut_in_runs_match_sequences_repeated_for_runs(spark):
     assert read(got) == read(expected) and got.count() > 20
     # runs meet an account's list, not its events
     assert [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "run" in x] == []
+
+
+def test_draws_of_cohorts_match_weights_joined_to_every_row(spark):
+    rows = [(f, m, u, u % 2, ((u * 7 + len(f) * 3) % 9) / 8.0 + (0.01 * u if m == "lr" else 0)) for f in ("one", "three") for m in ("lr", "gbt") for u in range(60)]
+    scored = spark.createDataFrame(rows, "features string, model string, user long, y int, score double")
+    cohorts = {"all": F.col("user") >= 0, "few": F.col("user") % 5 < 2, "none": F.col("user") < 0}
+    got = V.cohort_draws(scored, ["features", "model"], "user", cohorts, 7, "t")
+    # what is shipped along the scores has a row for each score, not for each draw
+    weights = V.bootstrap_weights(scored.select("user", "y").distinct(), "user", "y", 7, "t")
+    expected = {}
+    for name, condition in cohorts.items():
+        for r in V.auc(scored.filter(condition).join(weights, "user"), ["features", "model", "b"], weight=F.col("w")).collect():
+            expected[name, r["features"], r["model"], r["b"]] = r["auc"]
+    assert {tuple(r[c] for c in ("cohort", "features", "model", "b")): r["auc"] for r in got.collect()} == expected and len(expected) == 56

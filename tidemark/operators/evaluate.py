@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..session import cut, spread
 from .quantiles import quantiles
@@ -28,7 +32,9 @@ def bootstrap_picks(accounts: DataFrame, key: str, label: str, draws: int, seed:
     0, of the accounts of a label. The same draws for every scorer."""
     slots = numbered(accounts.select(key, label), [label], [F.col(key)], "slot").withColumn("slot", F.col("slot") - 1)
     n = F.broadcast(accounts.groupBy(label).agg(F.count(F.lit(1)).alias("n")))  # a row for each label
-    picks = slots.join(n, label).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # slots are few and slim, so adaptive execution would let one task draw all their picks
+    dealt = slots.repartition(max(1, accounts.sparkSession.sparkContext.defaultParallelism), label, "slot")
+    picks = dealt.join(n, label).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     return picks.select("b", label, F.pmod(draw(seed, F.col("b"), F.col(label), F.col("slot")), F.col("n")).alias("slot")), slots
 
 
@@ -57,6 +63,82 @@ def bootstrap_auc(scored: DataFrame, by: list[str], key: str, draws: int, seed:
     return auc(drawn, [*by, "b"], score, label, F.col("w"))
 
 
+def cohort_draws(scored: DataFrame, by: list[str], key: str, cohorts: dict[str, Column], draws: int, seed: str, score: str = "score", label: str = "y") -> DataFrame:
+    """(cohort, by, b, auc) under shared account draws, for each cohort that a condition on the rows of `scored` makes.
+
+    An account's weights in all draws are one vector, so a row is shipped once to its place along the scores and not once
+    for each draw and cohort that has it. Rows are dealt by range of (by, score); a task walks its range in order and
+    keeps sums of vectors: weights of both labels and the area inside the range. What lies in earlier ranges comes to
+    that from a row for each range, cohort and draw."""
+    picks, slots = bootstrap_picks(scored.select(key, label).distinct(), key, label, draws, seed)
+    dealt = spread(picks, slots.count() * draws, label, "slot")
+    lists = dealt.groupBy(label, "slot").agg(F.collect_list(F.col("b").cast("int")).alias("b"))  # some `draws` entries for each account
+
+    def packed(batches):
+        for batch in batches:
+            b = batch.column(2)
+            row = np.repeat(np.arange(len(b)), b.value_lengths().to_numpy(zero_copy_only=False))
+            w = np.bincount(row * draws + b.flatten().to_numpy(zero_copy_only=False), minlength=len(b) * draws).reshape(len(b), draws)
+            kind = "<u2" if w.max(initial=0) < 1 << 16 else "<u8"
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in w.astype(kind)], pa.binary())], [label, "slot", "w"])
+
+    names = list(cohorts)
+    mask = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(cohorts.values())), F.lit(0))
+    weights = cut(lists.mapInArrow(packed, StructType([picks.schema[label], picks.schema["slot"], StructField("w", BinaryType())])).join(slots, [label, "slot"]).select(key, "w"))
+    rows = scored.select(*by, key, F.col(score).cast("double").alias("_s"), (F.col(label) == 1).alias("_y"), mask.alias("_in")).join(weights, key).drop(key)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, 1)
+    rows = rows.repartitionByRange(parts, *by, "_s").sortWithinPartitions(*by, "_s").select(*by, "_s", "_y", "_in", "w")
+
+    def areas(batches):
+        at, first, last, below, area, total, ties = None, None, None, None, None, None, None
+
+        def ended():  # the last ties of a range count, and its sums go out
+            a = area + ties[0] * (2 * below + ties[1])
+            p, q = total[0] + ties[0], below + ties[1]
+            n = len(names) * draws
+            columns = [pa.array([x] * n) for x in at] + [pa.array([first] * n), pa.array(np.repeat(names, draws).tolist()), pa.array(np.tile(np.arange(draws, dtype=np.int32), len(names)))]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(x.ravel()) for x in (p, q, a))], [*by, "first", "cohort", "b", "p", "q", "a"])
+
+        for batch in batches:
+            values = [batch.column(k).to_pylist() for k in range(len(by))]
+            s, y, of = (batch.column(len(by) + k).to_numpy(zero_copy_only=False) for k in range(3))
+            w = np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * draws else "<u8") for x in batch.column(len(by) + 3).to_pylist()]).astype(np.int64)
+            keys = list(zip(*values, strict=True))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if keys[i] != at:
+                    if at is not None:
+                        yield ended()
+                    at, first, last = keys[i], float(s[i]), s[i]
+                    below, area, total, ties = (np.zeros(x, np.int64) for x in ((len(names), draws), (len(names), draws), (1, len(names), draws), (2, len(names), draws)))
+                starts = np.flatnonzero(np.r_[True, s[i + 1 : j] != s[i : j - 1]])
+                here = (of[i:j, None] >> np.arange(len(names)) & 1).astype(np.int64)
+                for c in range(len(names)):
+                    mine = w[i:j] * here[:, c, None]
+                    p, q = (np.add.reduceat(np.where((y[i:j] == one)[:, None], mine, 0), starts, axis=0) for one in (True, False))
+                    if s[i] == last:
+                        p[0] += ties[0, c]
+                        q[0] += ties[1, c]
+                    else:
+                        p, q = np.vstack([ties[0, c], p]), np.vstack([ties[1, c], q])
+                    before = below[c] + np.cumsum(q, axis=0) - q
+                    area[c] += (p[:-1] * (2 * before[:-1] + q[:-1])).sum(axis=0)
+                    total[0, c] += p[:-1].sum(axis=0)
+                    below[c] = before[-1]
+                    ties[0, c], ties[1, c] = p[-1], q[-1]
+                last = s[j - 1]
+        if at is not None:
+            yield ended()
+
+    out = [*(rows.schema[c] for c in by), StructField("first", DoubleType()), StructField("cohort", StringType()), StructField("b", IntegerType()), *(StructField(c, LongType()) for c in "pqa")]
+    sums = rows.mapInArrow(areas, StructType(out))
+    keys = [*by, "cohort", "b"]
+    earlier = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = F.sum(F.col("a") / 2 + F.col("p") * F.col("_q"))
+    drawn = sums.withColumn("_q", earlier).groupBy("cohort", *by, "b").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), area.alias("a"))
+    return drawn.filter("p > 0 or q > 0").select("cohort", *by, "b", (F.col("a") / F.nullif(F.col("p") * F.col("q"), F.lit(0)).cast("double")).alias("auc"))
+
+
 def interval(x: str = "auc", level: float = 0.95) -> list[Column]:
     lo = (1 - level) / 2
     return [F.percentile(x, F.lit(lo)).alias("lo"), F.percentile(x, F.lit(1 - lo)).alias("hi")]

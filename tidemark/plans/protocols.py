@@ -86,8 +86,10 @@ def m4(spark, sf, draws: int = 200):
             cohorts = one if cohorts is None else cohorts.unionByName(one)
     long = cut(scores.join(cohorts, "user"))
     by = ["cohort", "features", "model"]
-    weights = V.bootstrap_weights(long.select("user", "y").distinct(), "user", "y", draws, "m4")
-    drawn = cut(V.auc(long.join(weights, "user"), [*by, "b"], weight=F.col("w")))
+    # an account's scores once, however many cohorts have it
+    own = scores.join(cohorts.groupBy("user").agg(F.collect_set("cohort").alias("of")), "user")
+    conditions = {f"{c}{m}": F.array_contains("of", f"{c}{m}") for c in ("all", "strict") for m in ("", "_matched")}
+    drawn = cut(V.cohort_draws(cut(own), ["features", "model"], "user", conditions, draws, "m4"))
     point = V.auc(long, by)
     out = point.join(drawn.groupBy(*by).agg(*V.interval()), by).select("cohort", "model", F.col("features").alias("quantity"), F.col("auc").alias("value"), "lo", "hi")
     pairs = spark.createDataFrame(CONTRASTS, "a string, b string")  # five rows
