@@ -52,7 +52,9 @@ def features(ready: DataFrame, words: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` and the 61 features; rows need `ts` and `is_reply`, `words` is the one row of `vocabulary`."""
     t = F.col("text")
     plain = F.regexp_replace(t, r"https?://\S+", " ")
-    n_words = F.size(F.regexp_extract_all(plain, F.lit(r"(\S+)"), 1))
+    n_words = F.regexp_count(plain, F.lit(r"\S+"))
+    # six lists of at most k terms: as constants a word is looked up by its hash, not compared with each term
+    known = words.first()
     letters = F.length(F.regexp_replace(plain, r"\s+", ""))
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
 
@@ -61,11 +63,11 @@ def features(ready: DataFrame, words: DataFrame, keep: list[str]) -> DataFrame:
         out |= {n: X.count_of(t, s) for n, s in (("hashes", "#"), ("ats", "@"), ("bangs", "!"), ("questions", "?"))}
         out |= {"upper": X.ratio_of(t, r"\p{Lu}"), "digits": X.ratio_of(t, r"\p{Nd}"), "word_length": F.coalesce(letters / F.nullif(n_words, F.lit(0)), F.lit(0.0))}
         for y in (1, 0):
-            out |= {f"top_words_{y}": X.share_in(F.col("_tokens"), F.col(f"word_{y}")), f"top_bigrams_{y}": X.share_in(F.col("_bigrams"), F.col(f"bigram_{y}"))}
-            out[f"top_domain_{y}"] = flag(F.array_contains(f"domain_{y}", F.col("_domain")))
+            out |= {f"top_words_{y}": X.share_in(F.col("_tokens"), known[f"word_{y}"]), f"top_bigrams_{y}": X.share_in(F.col("_bigrams"), known[f"bigram_{y}"])}
+            out[f"top_domain_{y}"] = flag(F.col("_domain").isin(known[f"domain_{y}"]))
         out |= X.domain_classes(F.col("_domain"))
         out |= {h: flag(F.hour(timed(F.col("ts"))) == i) for i, h in enumerate(HOURS)}
         return out | {d: flag(F.weekday(timed(F.col("ts"))) == i) for i, d in enumerate(WEEKDAYS)}
 
     every = named()
-    return ready.join(F.broadcast(words)).select(*keep, *(every[f].cast("double").alias(f) for f in FEATURES))
+    return ready.select(*keep, *(every[f].cast("double").alias(f) for f in FEATURES))

@@ -116,20 +116,21 @@ TOPICS = 20
 
 
 def with_topics(rows):
-    """Adds TOPICS topic shares, learned from the training posts' words."""
+    """Adds TOPICS topic shares, learned from the training posts' words, and drops the text: words become counts once, which
+    the steps of the fit read."""
     words = rows.withColumn("w", X.tokens(F.col("text")))
     counter = CountVectorizer(inputCol="w", outputCol="counts", vocabSize=5000, minDF=5.0).fit(words.filter("train"))
-    counted = counter.transform(words)
+    counted = cut(counter.transform(words).drop("w", "text"))
     lda = LDA(k=TOPICS, optimizer="online", maxIter=5, seed=1, featuresCol="counts").fit(counted.filter("train").select("counts"))
     shares = vector_to_array("topicDistribution")
-    return lda.transform(counted).select("*", *(shares[i].alias(f"topic_{i}") for i in range(TOPICS))).drop("w", "counts", "topicDistribution")
+    return lda.transform(counted).select("*", *(shares[i].alias(f"topic_{i}") for i in range(TOPICS))).drop("counts", "topicDistribution")
 
 
 @query("m9_content_classifier")
 def m9(spark, sf):
     """Feature block and topics, a forest on the posts of training accounts, at most two organic posts for each other
     one; the mean score of each held-out account."""
-    rows = cut(with_topics(block(spark, sf)).drop("text"))
+    rows = cut(with_topics(block(spark, sf)))
     train = rows.filter("train")
     n = train.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     share = F.least(F.lit(1.0), 2.0 * F.col("p") / F.nullif(F.col("q"), F.lit(0)))
