@@ -267,3 +267,13 @@ def test_chi_square():
 def test_quality_runs_no_python_worker(graded):
     plan = quality.quality_rules(graded)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_settled_estimates_of_quality_meet_no_further_steps(spark, monkeypatch):
+    from tidemark.llm import quality as Q
+
+    met, step = [], Q._step
+    monkeypatch.setattr(Q, "_step", lambda cells, found: met.append(found.count()) or step(cells, found))
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    Q.fit(Q.statistics(d, "doc_id", "text", "lang", "source").cache())
+    assert met[-1] < met[0] and sum(met) < met[0] * len(met) and len(met) < Q.STEPS

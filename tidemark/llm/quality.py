@@ -195,16 +195,27 @@ def fit(stats: DataFrame, *, least_rows: int = LEAST_ROWS, steps: int = STEPS) -
     starts = starts.unionByName(middle.select("pool", *centre, *diagonal(lambda i: F.lit(0.0))).withColumn("start", F.lit(1)))
     deviation = lambda i: F.pow(F.col(f"d{i}") * (1.4826 / GRID), 2)
     starts = starts.unionByName(middle.join(apart, "pool").select("pool", *centre, *diagonal(deviation)).withColumn("start", F.lit(2)))
-    found = cut(_factor(starts, ["pool", "start"]))
-
-    for _ in range(steps):
-        before = found.select("pool", "start", F.col("log_det").alias("was"))
-        found = cut(_step(cells, found).join(before, ["pool", "start"]))
-        moved = found.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        found = found.drop("was")
+    # a step that gives an estimate back, or the one before it, would do so for ever: what the last step gives is known
+    # then, and its cells meet no further steps
+    found = _factor(starts, ["pool", "start"])
+    names = [c for c in found.columns if c not in ("pool", "start")]
+    now, none = F.struct(*names), F.lit(None)
+    found = cut(found.withColumns({"still": F.lit(True), "before": F.when(none.cast("boolean"), now)}))
+    for k in range(1, steps + 1):
+        going = found.filter("still")
+        was = going.select("pool", "start", now.alias("_now"), F.col("before").alias("_before"))
+        new = _step(cells, going.drop("still", "before")).select("pool", "start", now.alias("_new")).join(was, ["pool", "start"])
+        same, turns = F.col("_new").eqNullSafe(F.col("_now")), F.col("_new").eqNullSafe(F.col("_before"))
+        moved = F.abs(F.col("_new.log_det") - F.col("_now.log_det"))
+        last = F.col("_new") if (steps - k) % 2 == 0 else F.when(turns, F.col("_now")).otherwise(F.col("_new"))
+        new = new.select("pool", "start", last.alias("_last"), (~same & ~turns).alias("still"), F.col("_now").alias("before"), moved.alias("moved"))
+        new = new.select("pool", "start", *(F.col(f"_last.{c}").alias(c) for c in names), "still", "before", "moved")
+        found = cut(found.filter("not still").withColumn("moved", F.lit(0.0)).unionByName(new))
+        moved = found.filter("still").agg(F.max("moved")).first()[0]
+        found = found.drop("moved")
         if moved is None or moved < 1e-9:
             break
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("pool").orderBy(F.round("log_det", 6), "start"))).filter("_r = 1").drop("_r", "start", "log_det")
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("pool").orderBy(F.round("log_det", 6), "start"))).filter("_r = 1").drop("_r", "start", "log_det", "still", "before")
     return pooled, cut(best)
 
 
