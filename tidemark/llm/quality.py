@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
 from .common import cut, fresh
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -210,7 +211,8 @@ def fit(stats: DataFrame, *, least_rows: int = LEAST_ROWS, steps: int = STEPS) -
         last = F.col("_new") if (steps - k) % 2 == 0 else F.when(turns, F.col("_now")).otherwise(F.col("_new"))
         new = new.select("pool", "start", last.alias("_last"), (~same & ~turns).alias("still"), F.col("_now").alias("before"), moved.alias("moved"))
         new = new.select("pool", "start", *(F.col(f"_last.{c}").alias(c) for c in names), "still", "before", "moved")
-        found = cut(found.filter("not still").withColumn("moved", F.lit(0.0)).unionByName(new))
+        # from a table of known size: a checkpoint's estimate, which joins multiply, would have every cell shuffled for it
+        found = written(found.filter("not still").withColumn("moved", F.lit(0.0)).unionByName(new), "estimates")[0]
         moved = found.filter("still").agg(F.max("moved")).first()[0]
         found = found.drop("moved")
         if moved is None or moved < 1e-9:
