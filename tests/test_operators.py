@@ -243,3 +243,48 @@ def test_picks_stream_past_a_hash_table_and_tasks_keep_their_size(spark):
     by_weights = V.auc(a.join(V.bootstrap_weights(a, "user", "y", 5, "t"), "user"), ["b"], weight=F.col("w"))
     assert sorted(V.bootstrap_auc(a, [], "user", 5, "t").collect()) == sorted(by_weights.collect())
     assert spread(a, 60, "user").rdd.getNumPartitions() == 4 and spread(a, 9 * ROWS_A_TASK, "user").rdd.getNumPartitions() == 9
+
+
+def test_all_tasks_draw_the_picks_of_a_median_and_once(spark, monkeypatch):
+    from tidemark.operators.quantiles import of_counts
+    from tidemark.plans.registry import QUERIES
+
+    seen, plain = {}, V.picked
+    monkeypatch.setattr(V, "picked", lambda picks, *rest: seen.setdefault("found", plain(seen.setdefault("picks", picks), *rest)))
+    for place in ("tidemark.operators.evaluate.of_counts", "tidemark.plans.scores.of_counts"):
+        monkeypatch.setattr(place, lambda counts, *rest: of_counts(seen.setdefault("counts", counts), *rest), raising=False)
+    QUERIES["g4_bootstrap_median"](spark, SF)
+    by_task = seen["picks"].groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(by_task) >= 4 and max(r["count"] for r in by_task) <= 2 * min(r["count"] for r in by_task)
+    assert sum(r["count"] for r in by_task) == 2000 * 15
+    assert "Join" not in seen["counts"]._jdf.queryExecution().optimizedPlan().toString()  # kept, so what ranks and sums them does not draw again
+
+
+def test_draws_along_numbers_equal_those_of_rows(spark):
+    import hashlib
+
+    for start in ("", "a", "ab|", "med|", "med|7|", "é|", "x" * 36):
+        for first, end in ((0, 1200), (99_990, 100_010), (7, 7), (2**40, 2**40 + 5), (10**18 - 3, 10**18 + 3)):
+            assert S.draws_along(start, first, end).tolist() == [int(hashlib.md5(f"{start}{i}".encode()).hexdigest()[:8], 16) for i in range(first, end)]
+    rows = spark.range(95, 105).select(S.draw("med", F.lit(3), F.col("id")).alias("d")).collect()
+    assert S.draws_along("med|3|", 95, 105).tolist() == [r.d for r in rows]
+    with pytest.raises(ValueError):
+        S.draws_along("x" * 37, 0, 1)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_bootstrap_median_of_hashed_picks(spark, monkeypatch, most):
+    import statistics
+
+    plain = V.picked
+    monkeypatch.setattr(V, "picked", lambda picks, facts, on: plain(picks, facts, on, most))
+    rows = [(u, None if u % 4 == 0 else float(u * 7 % 11)) for u in range(30)]
+    for some in (rows, [(1, None), (2, None)], []):
+        d = spark.createDataFrame(some, "user long, score double").repartition(5)
+        got = {r.b: r.m for r in V.bootstrap_median(d, "user", "score", 9, "t").collect()}
+        want = {}
+        for b in range(9 if some else 0):
+            x = [some[p][1] for p in (S.draws_along(f"t|{b}|", 0, len(some)) % len(some)).tolist()]
+            if x := [v for v in x if v is not None]:
+                want[b] = statistics.median(x)
+        assert got == want

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..session import cut, spread
-from .quantiles import quantiles
+from ..session import ROWS_A_TASK, cut, spread
+from .quantiles import of_counts, quantiles
 from .ranks import cumulative, midranks, numbered
-from .sampling import draw
+from .sampling import draw, draws_along
 
 #: Slim rows that a join of picks may broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Picks that are drawn at once.
+PICKS = 16_384
 
 
 def auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "y", weight: Column | None = None) -> DataFrame:
@@ -38,6 +40,32 @@ def bootstrap_picks(accounts: DataFrame, key: str, label: str, draws: int, seed:
     return picks.select("b", label, F.pmod(draw(seed, F.col("b"), F.col(label), F.col("slot")), F.col("n")).alias("slot")), slots
 
 
+def all_picks(spark: SparkSession, n: int, draws: int, seed: str) -> DataFrame:
+    """(b, slot), draws x n rows: each of n slots from 0 picks a slot by hash in each draw. Draws are dealt to as many
+    tasks as keep each to some ROWS_A_TASK picks, and at least to the session's parallelism."""
+    parts = min(draws, max(spark.sparkContext.defaultParallelism, -(-n * draws // ROWS_A_TASK)))
+
+    def drawn(batches):
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                for first in range(0, n, PICKS):
+                    slot = draws_along(f"{seed}|{b}|", first, min(n, first + PICKS)) % n
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), b, np.int32)), pa.array(slot)], ["b", "slot"])
+
+    return spark.range(0, draws, 1, parts).mapInArrow(drawn, "b int, slot long")
+
+
+def bootstrap_median(facts: DataFrame, key: str, value: str, draws: int, seed: str) -> DataFrame:
+    """(b, m): the median of `value` over as many rows as there are, drawn with replacement; null values do not count,
+    and a draw of nothing else has no row. `key` tells the rows apart.
+
+    Picks are counted by value as they are drawn, and drawn once: the counts are kept before they are ranked."""
+    slots = numbered(facts.select(key, value), [], [F.col(key)], "slot").select((F.col("slot") - 1).alias("slot"), F.col(value).alias("x"))
+    found = picked(all_picks(facts.sparkSession, slots.count(), draws, seed), slots, ["slot"])
+    counts = cut(found.filter("x is not null").groupBy("b", "x").agg(F.count(F.lit(1)).alias("w")))
+    return of_counts(counts, ["b"], "x", "w", [0.5]).select("b", F.col("q")[0].alias("m"))
+
+
 def picked(picks: DataFrame, facts: DataFrame, on: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """Each pick with the facts of its slot. Picks stream past a hash table and are never sorted: of all facts, where
     these are `most` slim rows at most, else of the shuffle partition's."""

@@ -10,8 +10,7 @@ from ..operators import evaluate as V
 from ..operators import profile as P
 from ..operators import sampling as S
 from ..operators import sequences as Q
-from ..operators.quantiles import of_counts
-from ..operators.ranks import cumulative, midranks, numbered
+from ..operators.ranks import cumulative, midranks
 from .base import DRAW_SQL, events, rounded, sql, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -168,12 +167,7 @@ MEDIANS = f"""(SELECT b, median(x) AS m FROM (SELECT b, d.x FROM (SELECT b, {DRA
 
 @query("g4_bootstrap_median", f"SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM {MEDIANS}")
 def g4(spark, sf):
-    s = scored(spark, sf).select("user", "score")
-    slots = numbered(s, [], [F.col("user")], "slot").withColumn("slot", F.col("slot") - 1)
-    n = F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))
-    picks = slots.join(n).select(F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("b"), "slot", "n").select("b", F.pmod(S.draw("med", F.col("b"), F.col("slot")), F.col("n")).alias("slot"))
-    drawn = V.picked(picks, slots.select("slot", F.col("score").alias("x")), ["slot"]).filter("x is not null").groupBy("b", "x").agg(F.count(F.lit(1)).alias("w"))
-    m = of_counts(drawn, ["b"], "x", "w", [0.5]).select("b", F.col("q")[0].alias("m"))
+    m = V.bootstrap_median(scored(spark, sf), "user", "score", 2000, "med")
     return rounded(m.agg(*V.interval("m")))
 
 
