@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluate as V
 from tidemark.operators import markov as K
 from tidemark.operators import models as M
+from tidemark.operators import topics as Z
 from tidemark.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -151,3 +152,80 @@ def test_scores_from_the_tables_match_scores_of_rows(spark):
 def test_the_tree_is_no_worse_than_order_one(spark):
     s = QUERIES["m19b_context_tree"](spark, "/root/testdata/sf0.01").toPandas()
     assert len(s) == 2 and (s.tree <= s.order_0 + 0.05).all() and (s.tree <= s.order_1 + 0.05).all()
+
+
+def plain_digamma(x: float) -> float:
+    below = 0.0
+    while x < 60:
+        below, x = below + 1 / x, x + 1
+    return math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - below
+
+
+def plain_mixture(doc, law, prior):
+    """The weights of one document {term: count} by loops, and its share in the terms' weights."""
+    g = [1.0] * len(prior)
+    while True:
+        t = [math.exp(plain_digamma(x) - plain_digamma(sum(g))) for x in g]
+        r = {w: c / sum(a * b for a, b in zip(t, law[w], strict=True)) for w, c in doc.items()}
+        new = [t[z] * sum(x * law[w][z] for w, x in r.items()) + prior[z] for z in range(len(prior))]
+        moved, g = sum(abs(a - b) for a, b in zip(new, g, strict=True)) / len(g), new
+        if moved < 1e-3:
+            t = [math.exp(plain_digamma(x)) for x in g]
+            return g, {w: [t[z] * law[w][z] * c / sum(a * b for a, b in zip(t, law[w], strict=True)) for z in range(len(prior))] for w, c in doc.items()}
+
+
+def test_topics_match_loops_over_every_document(spark):
+    import random
+
+    import numpy as np
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    r, k, width, batches = random.Random(3), 3, 8, 4
+    docs = {i: {w: float(r.randint(1, 4)) for w in range(width) if r.random() < (0.8 if w % 2 == i % 2 else 0.1)} for i in range(23)} | {23: {}}
+    one = F.udf(lambda i: Vectors.sparse(width, docs[i]), VectorUDT())
+    counts = Z.dealt(spark.range(24).repartition(3).select(F.col("id").alias("doc_id"), one("id").alias("features")), "doc_id", batches)
+    of = {x.doc_id: x.batch for x in counts.select("doc_id", "batch").collect()}
+    assert len(of) == 24 and set(of.values()) == set(range(batches))
+    got = Z.fit(counts, width, k, 2, batches, seed=4)
+    terms, prior = np.random.default_rng(4).gamma(100.0, 0.01, (width, k)), np.full(k, 1 / k)
+    for step in range(2 * batches):
+        law = [[math.exp(plain_digamma(terms[w, z]) - plain_digamma(terms[:, z].sum())) for z in range(k)] for w in range(width)]
+        mine = [docs[i] for i in docs if of[i] == step % batches]
+        found = [plain_mixture(d, law, prior) for d in mine if d]
+        rate, total = (1024 + step + 1) ** -0.51, np.zeros((width, k))
+        for _, shares in found:
+            for w, s in shares.items():
+                total[w] += s
+        terms = (1 - rate) * terms + rate * (total * 24 / len(mine) + 1 / k)
+        mean = np.mean([[plain_digamma(x) - plain_digamma(sum(g)) for x in g] for g, _ in found], axis=0)
+        prior = Z.learned(prior, mean, len(found), rate)
+    assert got.terms == pytest.approx(terms, rel=1e-6) and got.prior == pytest.approx(prior, rel=1e-6) and got.prior.std() > 0
+    law = [[math.exp(plain_digamma(terms[w, z]) - plain_digamma(terms[:, z].sum())) for z in range(k)] for w in range(width)]
+    for x in Z.shares(got, counts, ["doc_id"]).collect():
+        g = plain_mixture(docs[x.doc_id], law, prior)[0] if docs[x.doc_id] else [0.0] * k
+        assert x.topics == pytest.approx([a / (sum(g) or 1) for a in g], abs=1e-6)
+
+
+def test_a_document_settles_alike_alone_and_among_others():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    laws, prior = rng.gamma(1.0, 0.01, (50, 4)), np.array([0.1, 0.2, 0.3, 0.4])
+    docs = [sorted(rng.choice(50, n, replace=False)) for n in (1, 40, 0, 3, 17, 17, 50, 2)]
+    vectors = lambda some: pa.array([{"indices": list(map(int, d)), "values": [1.0 + i % 3 for i in range(len(d))]} for d in some])
+    every = Z.mixtures(vectors(docs), laws, prior)
+    assert [w.tolist() for w in every] == [pytest.approx(Z.mixtures(vectors([d]), laws, prior)[0].tolist(), rel=1e-9) for d in docs]
+    assert not every[2].any() and every[[0, 1, 3]].sum(axis=1) == pytest.approx([1 + prior.sum(), 79 + prior.sum(), 6 + prior.sum()])
+
+
+def test_every_document_has_its_part_in_the_topics(spark, tmp_path):
+    names = "alpha bravo charlie delta echo foxtrot golf hotel".split()
+    rows = [(i, " ".join(w for j, w in enumerate(names) for _ in range((8 - j) * (1 + (i * 7 + j * j) % 5)))) for i in range(120)]
+    found = []
+    for which, more in (("one", ""), ("other", " alpha" * 50)):
+        table = [(i, text + (more if i == 7 else "")) for i, text in rows]
+        spark.createDataFrame(table, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{which}/documents.parquet")
+        found.append({x.doc_id: x.topics for x in QUERIES["m8_topic_shares"](spark, f"{tmp_path}/{which}").collect()})
+    one, other = found
+    assert all(max(abs(a - b) for a, b in zip(one[i], other[i], strict=True)) > 1e-9 for i in range(120))
